@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary.
 
-Texts are cut into pieces by the vocabulary's pattern, and a slice of texts keeps each distinct piece once.
-The merges run in Spark: a higher-order fold over each distinct piece's array of byte tokens takes the
-adjacent pair of lowest rank (the leftmost of equals), replaces it by its merged token, and asks a literal
-rank map for the two new neighbours.  Pieces that are in the vocabulary as they stand are one token.
-Decoding concatenates the tokens' bytes (as hexadecimal digits, which Spark joins in linear time).
-
-The fold copies a piece's array at every merge, so pieces of more than `LONG_PIECE` bytes (runs without
-spaces) are merged by a heap in the task that cuts them; the result is the same for either way.
+Texts are cut into pieces by the vocabulary's pattern.  A piece that is in the vocabulary as it stands is one
+token; any other starts as its bytes' tokens, and the adjacent pair of lowest rank (the leftmost of equals) is
+replaced by its merged token until no pair has a rank.  A task merges the distinct pieces that it meets, all
+of a slice at once: each step finds every piece's best pair in numpy arrays, asking a rank map of fixed size.
+Pieces of more than `LONG_PIECE` bytes (runs without spaces) are merged by a heap, with the same result.
+Decoding concatenates the tokens' bytes.
+
+The form named first, a fold by Spark's higher-order functions with a literal rank map, gave the same ids but
+took several times the time allowed; the README has the figures.
 """
 
 from __future__ import annotations
@@ -15,18 +16,18 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text
 
-#: Bytes of text whose distinct pieces are kept together, and of the longest piece that the fold takes.
-SLICE_BYTES = 4 << 20
-LONG_PIECE = 128
+#: Bytes of text that are merged together, of the longest piece that the arrays take, and pieces that a task remembers.
+SLICE_BYTES, LONG_PIECE, KNOWN_PIECES = 4 << 20, 128, 300_000
 
 #: Sizes of the two halves of the rank map (primes); a pair is in the one place or the other.
 FIRST, SECOND = 181_081, 229_937
@@ -41,11 +42,6 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def load_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
-    """The rank file, read by the driver; tasks get it in the broadcast, so they need no such file."""
-    return ranks(path)
-
-
 def rank_map(vocabulary: dict[bytes, int]) -> list[int]:
     """Every mergeable pair of tokens in one of its two places: pair << BITS | merged token; empty places hold -1."""
     slots = [-1] * (FIRST + SECOND)
@@ -67,51 +63,81 @@ def rank_map(vocabulary: dict[bytes, int]) -> list[int]:
     return slots
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Binds a value that an expression uses several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _literal(values: list, kind: str) -> Column:
-    """A literal array, made from one string; Catalyst folds it once."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
-def _rank(slots: Column, left: Column, right: Column) -> Column:
-    def search(key: Column) -> Column:
-        one, other = F.get(slots, (key % FIRST).cast("int")), F.get(slots, (F.lit(FIRST) + key % SECOND).cast("int"))
-        return F.when(F.shiftright(one, BITS) == key, one.bitwiseAND(F.lit(NONE))).when(F.shiftright(other, BITS) == key, other.bitwiseAND(F.lit(NONE))).otherwise(F.lit(NONE).cast("bigint"))
-
-    return _let(left * 65536 + right, search)
-
-
-def fold(slots: Column, piece: Column) -> Column:
-    """The tokens of a piece (struct of tokens and merge), by ranked merges over its byte tokens."""
-    tokens = piece["tokens"]
-    start = F.struct(tokens.alias("t"), F.zip_with(F.slice(tokens, F.lit(1), F.size(tokens) - 1), F.slice(tokens, F.lit(2), F.size(tokens) - 1), lambda a, b: _rank(slots, a, b)).alias("r"))
-
-    def merge(state: Column, _: Column) -> Column:
-        def at(rank: Column) -> Column:
-            def replaced(p: Column) -> Column:
-                t, r = state["t"], state["r"]
-                size = F.size(t)
-                before = F.when(p > 1, F.array(F.struct(F.element_at(t, p - 1).alias("a"), rank.alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
-                after = F.when(p + 1 < size, F.array(F.struct(rank.alias("a"), F.element_at(t, p + 2).alias("b")))).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
-                return F.struct(
-                    F.concat(F.slice(t, F.lit(1), p - 1), F.array(rank), F.slice(t, p + 2, F.greatest(size - p - 1, F.lit(0)))).alias("t"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), F.transform(F.concat(before, after), lambda x: _rank(slots, x["a"], x["b"])), F.slice(r, p + 2, F.greatest(size - p - 2, F.lit(0)))).alias("r"),
-                )
-
-            return F.when(rank.isNull() | (rank == NONE), state).otherwise(_let(F.array_position(state["r"], rank).cast("int"), replaced))
-
-        return _let(F.array_min(state["r"]), at)
-
-    steps = F.slice(tokens, F.lit(2), F.size(tokens) - 1)
-    return F.when(piece["merge"], F.aggregate(steps, start, merge)["t"]).otherwise(tokens)
+class Merger:
+    """Merges pieces of one task; it remembers the distinct pieces met, up to a bound, as arrays of tokens."""
+
+    def __init__(self, vocabulary: dict[bytes, int], slots: np.ndarray, most: int = KNOWN_PIECES):
+        self.vocabulary, self.slots, self.most = vocabulary, slots, most
+        self.byte_token = np.array([vocabulary[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.tokens, self.bounds = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 16 | right
+        one, other = self.slots[key % FIRST], self.slots[FIRST + key % SECOND]
+        return np.where(one >> BITS == key, one & NONE, np.where(other >> BITS == key, other & NONE, NONE))
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Merges new pieces and appends their tokens to the arrays."""
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        active, raws = [], []
+        for k, raw in enumerate(pieces):
+            whole = self.vocabulary.get(raw)
+            if whole is None and len(raw) <= LONG_PIECE:
+                active.append(k)
+                raws.append(raw)
+            else:
+                ids = [whole] if whole is not None else merge_long(raw, self.vocabulary)
+                done.append((np.array([k]), np.array([len(ids)]), np.array(ids)))
+        number, size = np.array(active, dtype=np.int64), np.array([len(r) for r in raws], dtype=np.int64)
+        tokens = self.byte_token[np.frombuffer(b"".join(raws), dtype=np.uint8)]
+        while len(number):
+            first = np.cumsum(size) - size
+            rank = np.full(len(tokens), NONE, dtype=np.int64)
+            rank[:-1] = self.rank(tokens[:-1], tokens[1:])
+            rank[first + size - 1] = NONE
+            best = np.minimum.reduceat(rank << 40 | np.arange(len(tokens)), first)
+            ended = best >> 40 == NONE
+            if ended.any():
+                of_ended = np.repeat(ended, size)
+                done.append((number[ended], size[ended], tokens[of_ended]))
+            keep = ~np.repeat(ended, size)
+            at = best[~ended] & ((1 << 40) - 1)
+            tokens[at] = best[~ended] >> 40
+            keep[at + 1] = False
+            tokens, number, size = tokens[keep], number[~ended], size[~ended] - 1
+        numbers, sizes, flat = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64) for i in range(3))
+        order = np.argsort(numbers, kind="stable")
+        starts = (np.cumsum(sizes) - sizes)[order]
+        self.tokens = np.concatenate([self.tokens, flat[_ranges(starts, sizes[order])].astype(np.int32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes[order])])
+
+    def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The tokens of texts, each given as its pieces."""
+        if len(self.known) > self.most:
+            self.forget()
+        known, new, codes = self.known, [], []
+        for found in texts:
+            for piece in dict.fromkeys(found):
+                if piece not in known:
+                    known[piece] = len(known)
+                    new.append(piece.encode())
+            codes.append(np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found)))
+        if new:
+            self.learn(new)
+        return [self.tokens[_ranges(self.bounds[c], self.bounds[c + 1] - self.bounds[c])] for c in codes]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 def merge_long(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
-    """The same merges by a heap, for pieces too long to copy at every merge."""
+    """The same merges by a heap, for pieces too long to be looked through at every merge."""
     n = len(piece)
     end, before, after, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
     rank = lambda i: vocabulary.get(piece[i : end[after[i]]]) if after[i] < n else None
@@ -132,75 +158,64 @@ def merge_long(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
     return [vocabulary[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-_CUT = "docs array<struct<doc_id:{kind},codes:array<int>>>, pieces array<struct<tokens:array<bigint>,merge:boolean>>"
-
+def encode(documents: DataFrame, vocabulary: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token ids of every whole text: doc_id, ids (array of int).
 
-def _cut(documents: DataFrame, vocabulary: dict[bytes, int], pattern: str, kind: str) -> DataFrame:
-    """Slices of texts: for each text the numbers of its pieces, and the slice's distinct pieces."""
-    held = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    One row for each row of documents, repeated ones included; null and empty texts have no ids.  Special
+    tokens are ordinary text.  Other columns are ignored, whatever their names.
+    """
+    held = documents.sparkSession.sparkContext.broadcast((vocabulary, np.array(rank_map(vocabulary), dtype=np.int64)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        vocabulary = held.value
-        byte_token = np.array([vocabulary[bytes([b])] for b in range(256)], dtype=np.int64)
-        find = regex.compile(pattern).findall
+        merger, find = Merger(*held.value), regex.compile(pattern).findall
         for batch in batches:
-            texts = batch.column(1).fill_null("")
-            sizes = np.cumsum([0, *(len(t.as_buffer()) for t in texts)])
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            sizes = np.cumsum([0, *pc.binary_length(texts).to_pylist()])
             row = 0
             while row < len(texts):
                 stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + SLICE_BYTES, side="right")) - 1)
-                known: dict[str, int] = {}
-                codes = []
-                for text in texts.slice(row, stop - row).to_pylist():
-                    found = find(text)
-                    for piece in dict.fromkeys(found):
-                        if piece not in known:
-                            known[piece] = len(known)
-                    codes.append(np.fromiter(map(known.__getitem__, found), dtype=np.int32, count=len(found)))
-                tokens, merge = [], []
-                for piece in known:
-                    raw = piece.encode()
-                    whole = vocabulary.get(raw)
-                    merge.append(whole is None and len(raw) <= LONG_PIECE)
-                    tokens.append([whole] if whole is not None else byte_token[np.frombuffer(raw, dtype=np.uint8)] if merge[-1] else merge_long(raw, vocabulary))
-                docs = pa.StructArray.from_arrays([batch.column(0).slice(row, stop - row), _text.list_column(codes, pa.int32())], ["doc_id", "codes"])
-                pieces = pa.StructArray.from_arrays([_text.list_column(tokens, pa.int64()), pa.array(merge, pa.bool_())], ["tokens", "merge"])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)], names=["docs", "pieces"])
+                ids = merger.encode([find(text) for text in texts.slice(row, stop - row).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), _text.list_column(ids, pa.int32())], names=["doc_id", "ids"])
                 row = stop
 
-    return documents.mapInArrow(cut, _CUT.format(kind=kind))
-
-
-def encode(documents: DataFrame, vocabulary: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token ids of every whole text: doc_id, ids (array of bigint).
-
-    One row for each row of documents, repeated ones included; null and empty texts have no ids.  Special
-    tokens are ordinary text.  Other columns are ignored, whatever their names.
-    """
     kind = documents.schema[doc_id].dataType.simpleString()
-    cut = _cut(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), vocabulary, pattern, kind)
-    slots = _literal(rank_map(vocabulary), "bigint")
-    merged = _let(slots, lambda held: F.transform("pieces", lambda piece: fold(held, piece)))
-    # explode keeps Catalyst from pushing the fold into the lambda below, where it would run for every text
-    merged = cut.select("docs", F.explode(F.array(merged)).alias("merged"))
-    ids = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["codes"], lambda c: F.get("merged", c))).alias("ids")))
-    return merged.select(F.inline(ids))
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes that ids stand for (binary); null where ids is null or holds an unknown id."""
-    pieces: list[str] = [""] * (max(vocabulary.values()) + 1)
+    """Adds the bytes that ids stand for (binary); null where ids is null or holds a null or unknown id."""
+    size = max(vocabulary.values()) + 1
+    pieces = [b""] * size
     for token, rank in vocabulary.items():
-        pieces[rank] = token.hex()
-    digits = _let(_literal(pieces, "string"), lambda held: F.transform(ids, lambda i: F.get(held, i.cast("int"))))
-    whole = ~F.exists(ids, lambda i: i.isNull() | (i < 0) | (i >= len(pieces)))
-    return encoded.withColumn(out, F.when(whole, F.unhex(F.array_join(digits, ""))))
+        pieces[rank] = token
+    bounds = np.cumsum([0, *map(len, pieces)])
+    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), bounds, np.isin(np.arange(size), list(vocabulary.values()))))
+
+    @F.arrow_udf("binary")
+    def join(column: pa.Array) -> pa.Array:
+        flat, bounds, given = held.value
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+        ids = column.flatten()
+        value = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = (value >= 0) & (value < len(given))
+        value = np.where(known, value, 0)
+        known &= given[value]
+        sizes = (bounds[value + 1] - bounds[value]) * known
+        body = flat[_ranges(bounds[value], sizes)]
+        at = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        wrong = np.concatenate([[0], np.cumsum(~known)])[ends]
+        null = (np.diff(wrong) > 0) | pc.is_null(column).to_numpy(zero_copy_only=False)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)])
+        return pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+
+    return encoded.withColumn(out, join(F.col(ids)))
 
 
 def op10_byte_bpe(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    vocabulary = load_ranks(documents.sparkSession, path)
+    vocabulary = ranks(path)
     done = decode(encode(documents, vocabulary, pattern), vocabulary)
-    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    listed = F.btrim(F.to_json("ids"), F.lit("[]"))  # to_json writes [1,2,3]
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
