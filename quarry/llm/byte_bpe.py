@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm import _text
 
 #: Bytes of text that are merged together, of the longest piece that the arrays take, and pieces that a task remembers.
-SLICE_BYTES, LONG_PIECE, KNOWN_PIECES = 4 << 20, 128, 300_000
+SLICE_BYTES, LONG_PIECE, KNOWN_PIECES = 2 << 20, 128, 200_000
 
 #: Sizes of the two halves of the rank map (primes); a pair is in the one place or the other.
 FIRST, SECOND = 181_081, 229_937
@@ -193,12 +193,10 @@ def decode(encoded: DataFrame, vocabulary: dict[bytes, int], ids: str = "ids", o
     bounds = np.cumsum([0, *map(len, pieces)])
     held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), bounds, np.isin(np.arange(size), list(vocabulary.values()))))
 
-    @F.arrow_udf("binary")
-    def join(column: pa.Array) -> pa.Array:
+    def pieces_of(column: pa.ListArray) -> pa.Array:
         flat, bounds, given = held.value
         ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
-        ids = column.flatten()
-        value = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        value = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         known = (value >= 0) & (value < len(given))
         value = np.where(known, value, 0)
         known &= given[value]
@@ -210,6 +208,16 @@ def decode(encoded: DataFrame, vocabulary: dict[bytes, int], ids: str = "ids", o
         whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)])
         return pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
 
+    @F.arrow_udf("binary")
+    def join(column: pa.Array) -> pa.Array:
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
+        row, parts = 0, [pa.array([], pa.binary())]
+        while row < len(column):  # bounded ids at a time, or one longer row
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE_BYTES // 4, side="right")) - 1)
+            parts.append(pieces_of(column.slice(row, stop - row)))
+            row = stop
+        return pa.concat_arrays(parts)
+
     return encoded.withColumn(out, join(F.col(ids)))
 
 
