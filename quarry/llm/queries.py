@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, decontaminate, quality, toxicity
+from quarry.llm import byte_bpe, decontaminate, near_dedup, quality, toxicity
 from quarry.llm._work import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components_of(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,8 +32,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op7_toxicity, op8_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op7_toxicity, op8_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE}
+    return {"op1_near_dedup": near_dedup.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
