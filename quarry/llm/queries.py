@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, decontaminate, near_dedup, quality, toxicity
+from quarry.llm import byte_bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
 from quarry.llm._work import table
 
 
@@ -27,12 +27,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op9_line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op10_byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op7_toxicity, op8_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
