@@ -167,6 +167,30 @@ def minhashes(items: np.ndarray, seeds: np.ndarray, block: int = 2048) -> np.nda
     return best
 
 
+def minwise(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, half: bool = False) -> np.ndarray:
+    """Minwise values (uint32) of many runs of scrambled hashes (of one item at least), one row a run.
+
+    With half, only items of even hash count, so near-equal sets still agree; a run's first item stands in
+    where none would be left.
+    """
+    least = np.empty((len(starts), len(seeds)), dtype=np.uint32)
+    row = 0
+    while row < len(starts):  # blocks that stay in the processor's cache
+        ends = np.cumsum(sizes[row : row + 512])
+        count = min(max(1, int(np.searchsorted(ends, 1 << 15, side="right"))), len(ends))
+        part = np.concatenate([hashes[a : a + n] for a, n in zip(starts[row : row + count], sizes[row : row + count], strict=True)])
+        bounds = ends[:count] - sizes[row : row + count]
+        if half:
+            even = (part & np.uint64(1)) == 0
+            even[bounds] = True
+            part, bounds = part[even], np.concatenate([[0], np.cumsum(even)])[bounds]
+        values = (part >> np.uint64(32)).astype(np.uint32)
+        for k, seed in enumerate(seeds):
+            least[row : row + count, k] = np.minimum.reduceat((values ^ seed) * np.uint32(0x9E3779B1), bounds)
+        row += count
+    return least
+
+
 def seeds(count: int, salt: int = 1) -> np.ndarray:
     return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 

@@ -50,25 +50,8 @@ def _windows(data: np.ndarray) -> np.ndarray:
 
 
 def _signatures(windows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Minwise values of lines (of at least one window each), over windows whose hash is even."""
-    mixed = _text.mix(windows)
-    least = np.empty((len(starts), len(_SEEDS)), dtype=np.uint32)
-    sizes = stops - starts - SHINGLE + 1
-    row = 0
-    while row < len(starts):  # blocks that stay in the processor's cache
-        ends = np.cumsum(sizes[row : row + 512])
-        count = max(1, int(np.searchsorted(ends, 1 << 15, side="right")))
-        count = min(count, len(ends))
-        part = np.concatenate([mixed[a : a + n] for a, n in zip(starts[row : row + count], sizes[row : row + count], strict=True)])
-        bounds = ends[:count] - sizes[row : row + count]
-        even = (part & np.uint64(1)) == 0
-        even[bounds] = True  # the first window stands in where none would be left; it is an ordinary one
-        kept = np.concatenate([[0], np.cumsum(even)])[bounds]
-        values = (part[even] >> np.uint64(32)).astype(np.uint32)
-        for k, seed in enumerate(_SEEDS):
-            least[row : row + count, k] = np.minimum.reduceat((values ^ seed) * np.uint32(0x9E3779B1), kept)
-        row += count
-    return least
+    """Minwise values of lines, over windows whose hash is even."""
+    return _text.minwise(_text.mix(windows), starts, stops - starts - SHINGLE + 1, _SEEDS, half=True)
 
 
 def _contents(source: DataFrame, least_bytes: int) -> DataFrame:
