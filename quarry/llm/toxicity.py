@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._work import saved
 from quarry.llm.quality import held_out
 
 #: Bounds of what the driver and tasks hold of the lexicon, and of rows that fit the curve.
@@ -151,7 +152,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", least_w
     Counts cover all labelled rows; candidates stand in at least `least_share` of toxic texts (5 texts at least), and
     at most CANDIDATES of them, most common first, are weighed.  The curve is fitted on at most CURVE_ROWS rows.
     """
-    rows = _labelled(documents, labels, label)
+    rows = saved(_labelled(documents, labels, label))  # its join moves texts, so once
     spark = documents.sparkSession
     first = _counts(rows.where("y"), lambda: lambda text: _terms(set(text.split())))
     total = first.where("term IS NULL").agg(F.sum("toxic")).first()[0] or 0
