@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: Lower-cases A-Z and leaves every other byte alone.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -114,13 +114,11 @@ def slices(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> Iterator[t
     """The texts of a string column in slices of bounded bytes, with the row each slice begins at."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    column = column.fill_null("")
     rows = len(column)
     if rows == 0:
         return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + rows + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + rows + 1].astype(np.int64)
     body = column.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, dtype=np.uint8)
     row = 0
