@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import byte_bpe, decontaminate, katz, line_dedup, near_dedup, paragraphs, quality, toxicity
+from quarry.llm import ann, byte_bpe, decontaminate, katz, line_dedup, near_dedup, paragraphs, quality, toxicity
 from quarry.llm._work import table
 
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_of(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op2_nn_descent(table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op3_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +48,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_paragraph_dedup, op5_katz, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
