@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, byte_bpe, decontaminate, katz, line_dedup, near_dedup, paragraphs, quality, toxicity
+from quarry.llm import ann, byte_bpe, decontaminate, katz, licenses, line_dedup, near_dedup, paragraphs, quality, toxicity
 from quarry.llm._work import table
 
 
@@ -31,6 +31,10 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.op5_katz(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op6_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op6_licenses, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
