@@ -25,11 +25,11 @@ from quarry.llm._work import saved
 from quarry.llm.components import connected_components
 
 #: Minwise values of a document; independent trees; first and last level of a path; documents of a small node.
-VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 14, 2, 8, 24
+VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 14, 3, 8, 16
 #: Differing bits of two 128-bit sketches beyond which a pair isn't a candidate (13 expected at a similarity of 0.8, 62 at 0.03).
 SKETCH_BITS = 38
 
-_SKETCH = "n bigint, f1 bigint, f2 bigint, path array<bigint>, b1 bigint, b2 bigint"
+_SKETCH = "n bigint, f1 bigint, f2 bigint, path array<int>, b1 bigint, b2 bigint"
 
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
@@ -45,10 +45,10 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
                     least = _text.mix(_text.minhashes(items, seeds))
                     sizes.append(len(items))
                     prints.append((_text.mix(items).sum(), np.bitwise_xor.reduce(_text.mix(items + np.uint64(7)), initial=np.uint64(len(items)))))
-                    paths.append(least.view(np.int64))
+                    paths.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     bits.append((((least & np.uint64(1)) * ones).sum(), ((least >> np.uint64(1) & np.uint64(1)) * ones).sum()))
                 pair = [np.array(x, dtype=np.uint64).view(np.int64) for x in (*zip(*prints, strict=True), *zip(*bits, strict=True))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(sizes, pa.int64()), *map(pa.array, pair[:2]), _text.list_column(paths, pa.int64()), *map(pa.array, pair[2:])], names=["id", "n", "f1", "f2", "path", "b1", "b2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(sizes, pa.int64()), *map(pa.array, pair[:2]), _text.list_column(paths, pa.int32()), *map(pa.array, pair[2:])], names=["id", "n", "f1", "f2", "path", "b1", "b2"])
 
     return documents.mapInArrow(sketch, "id bigint, " + _SKETCH)
 
@@ -83,34 +83,33 @@ def _pair(a: str, b: str) -> list[Column]:
     return [side("id", b, a).alias("a"), side("f1", b, a).alias("fa"), side("id", a, b).alias("b"), side("f1", a, b).alias("fb"), _bits(a, b).alias("bits")]
 
 
-def _coordinate(tree: int, level: int) -> int:
-    """Which minwise value a tree's level branches by: a walk with a step of its own for each tree, so levels differ."""
-    return (tree * 23 + level * (2 * tree + 5)) % VALUES
-
-
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs whose sketches are alike (a, fa, b, fb, bits), and rows of nodes still large at the last level."""
     levels = range(FIRST_LEVEL, LAST_LEVEL + 1)
 
-    def keys(tree: int) -> Column:
-        return F.array(*(F.xxhash64(F.lit(tree), *(F.get("path", F.lit(_coordinate(tree, d))) for d in range(1, level + 1))) for level in levels))
+    def key(level: int) -> Column:
+        """The node at a level: the minwise values along the tree's walk."""
+        step = lambda d: (F.col("tree") * 23 + (2 * F.col("tree") + 5) * d) % VALUES
+        return F.xxhash64("tree", *(F.get("path", step(F.lit(d))) for d in range(1, level + 1)))
 
-    walk = nodes.select("id", "f1", "n", "b1", "b2", F.explode(F.array(*map(keys, range(TREES)))).alias("keys")).withColumn("key", F.get("keys", F.lit(0)))
+    # only keys and ids are dealt by key; sketches and paths join the rows whose nodes hold others
+    walk = nodes.select("id", "f1", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "f1", "tree", key(FIRST_LEVEL).alias("key"))
     pairs = []
-    for k, _ in enumerate(levels):
-        pivot = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "f1", "n", "b1", "b2")).alias("p")
-        sized = walk.join(walk.groupBy("key").agg(F.count("*").alias("size"), pivot).where("size > 1"), "key")
-        sized = saved(sized)
+    for k, level in enumerate(levels):
+        shared = walk.join(walk.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+        sized = saved(shared.join(nodes, ["id", "f1"]))
         small = sized.where(F.col("size") <= SMALL).select("key", "id", "f1", "n", "b1", "b2")
         same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _alike("x", "y", percent))
+        pairs.append(same.select(*_pair("x", "y")))
         large = sized.where(F.col("size") > SMALL)
-        with_pivot = large.select(F.struct("id", "f1", "n", "b1", "b2").alias("x"), "p").where("x.id <> p.id").where(_alike("x", "p", percent))
-        pairs += [same.select(*_pair("x", "y")), with_pivot.select(*_pair("x", "p"))]
-        walk = large.select("id", "f1", "n", "b1", "b2", "keys", "key")
-        if k + 1 < len(levels):
-            walk = walk.withColumn("key", F.get("keys", F.lit(k + 1)))
-            if walk.isEmpty():
-                break
+        if k % 2 == 0:  # every other level, against the node's pivot
+            pivot = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "f1", "n", "b1", "b2")).alias("p"))
+            with_pivot = large.join(pivot, "key").select(F.struct("id", "f1", "n", "b1", "b2").alias("x"), "p").where("x.id <> p.id").where(_alike("x", "p", percent))
+            pairs.append(with_pivot.select(*_pair("x", "p")))
+        if level == LAST_LEVEL or large.isEmpty():
+            break
+        walk = large.select("id", "f1", "tree", key(level + 1).alias("key"))
+    walk = large.select("key", "id", "f1", "n", "b1", "b2")
     found = pairs[0]
     for more in pairs[1:]:
         found = found.unionByName(more)
@@ -155,7 +154,7 @@ def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sketched = saved(sketches(source, width))
     known = sketched.where("n > 0 AND id IS NOT NULL")
     classes = saved(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last")))
-    nodes = saved(known.join(classes.select("id", "f1"), ["id", "f1"]).dropDuplicates(["id", "f1"]))
+    nodes = saved(known.join(classes.select("id", "f1"), ["id", "f1"]).select("id", "f1", "n", "path", "b1", "b2").dropDuplicates(["id", "f1"]))
     pairs, residual = _candidates(nodes, percent)
     pairs, residual = saved(pairs), saved(residual)
     ends = pairs.select("a").union(pairs.select("b")).union(residual.select("id")).distinct().withColumnRenamed("a", "id")
