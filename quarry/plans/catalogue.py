@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.numeric import Constraint
 from quarry.functions.text import clip, range_text, stable_id, words, year_of
-from quarry.operators import access, changes, chunking, entities, facts, graph, retrieval, summaries
+from quarry.operators import access, changes, chunking, entities, extraction, facts, graph, retrieval, summaries
 from quarry.plans.views import PRELUDE, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,3 +359,31 @@ def chunk_words(v: Views) -> DataFrame:
 def chunk_pages(v: Views) -> DataFrame:
     return chunking.chunk_pages(v.table("conversations"), "conv_id", "turn", "text")
 
+
+
+def _templated(v: Views) -> DataFrame:
+    """A sentence of each order line's figures."""
+    share = F.round(F.col("l_discount") * 100).cast("int")
+    rows = v.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), share.alias("share"), "l_linenumber").distinct()
+    key = F.concat_ws("-", *rows.columns)
+    return rows.select(key.alias("chunk_id"), F.format_string("Throughput of %d t/day at a temperature of %d-%d degC; copper recovery not less than %d %%.", "q", F.col("q") + 5, F.col("q"), "share").alias("text"))
+
+
+@query("""SELECT chunk_id, parameter, value, value_min, value_max, comparator, unit FROM (
+SELECT DISTINCT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_quantity::INTEGER, round(l_discount * 100)::INTEGER, l_linenumber) AS chunk_id, l_quantity::INTEGER AS q, round(l_discount * 100)::INTEGER AS share FROM lineitem),
+LATERAL (SELECT 'productivity' AS parameter, q::DOUBLE AS value, NULL::DOUBLE AS value_min, NULL::DOUBLE AS value_max, '=' AS comparator, 't/day' AS unit
+UNION ALL SELECT 'temperature', NULL, q::DOUBLE, q + 5.0, 'range', 'degC' UNION ALL SELECT 'extraction_recovery', share::DOUBLE, NULL, NULL, '>=', '%')""", prelude=False)
+def numeric_extract_templated(v: Views) -> DataFrame:
+    return extraction.numeric_values(_templated(v)).select("chunk_id", "parameter", "value", "value_min", "value_max", "comparator", "unit")
+
+
+@query()
+def contextual_guard(v: Views) -> DataFrame:
+    texts = _templated(v)
+    return extraction.near_material(extraction.numeric_values(texts).where("parameter = 'extraction_recovery' AND value >= 5"), texts, ["copper"]).select("chunk_id", "value")
+
+
+@query()
+def organisation_mentions(v: Views) -> DataFrame:
+    named = v.sources().select(F.col("source_id").alias("chunk_id"), F.concat(F.lit("Tests by the Institute of "), F.initcap(F.lower("country")), F.lit(" and by LLC \""), "title", F.lit('" ended.')).alias("text"))
+    return extraction.experts(extraction.mentions(named, extraction.ORGANISATION))
