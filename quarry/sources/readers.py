@@ -21,7 +21,8 @@ MAX_BYTES, MAX_TEXT, MAX_PAGE, MAX_PAGES, MAX_SHEETS, MAX_ROWS = 50 << 20, 200_0
 def json_lines(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, keep_bad: bool = False) -> DataFrame:
     """Rows of JSON lines; lines that aren't JSON are left out, or kept in _corrupt for counting."""
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("row")).select("row.*")
     return rows if keep_bad else rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
