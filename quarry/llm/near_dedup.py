@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text
-from quarry.llm._work import saved
+from quarry.llm._work import MaybeAmong, saved
 from quarry.llm.components import connected_components
 
 #: Minwise values of a document; independent trees; first and last level of a path; documents of a small node.
@@ -158,7 +158,8 @@ def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs, residual = _candidates(nodes, percent)
     pairs, residual = saved(pairs), saved(residual)
     ends = pairs.select("a").union(pairs.select("b")).union(residual.select("id")).distinct().withColumnRenamed("a", "id")
-    sets = saved(shingle_table(source.join(ends, "id", "left_semi").dropDuplicates(), width))
+    ends = saved(ends)
+    sets = saved(shingle_table(source.where(MaybeAmong(ends).passes("id")).join(ends, "id", "left_semi").dropDuplicates(), width))
     # first each document with its most promising partner, then only pairs that still lie in different components
     turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("a").alias("b"), F.col("fa").alias("fb"), "bits"))
     best = turned.groupBy("a", "fa").agg(F.min(F.struct(F.col("bits") > 20, "b", "fb")).alias("p")).select("a", "fa", "p.b", "p.fb")
