@@ -17,15 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text
-from quarry.llm._work import saved
-from quarry.llm.linking import band_keys, linked_components, sketch_bits
+from quarry.llm._work import MaybeAmong, saved
+from quarry.llm.linking import band_keys, linked_components, shared_buckets
 
 #: Bytes of a shingle; bands and minwise values of each (a pair at 0.85 shares a band with a chance of 0.9998).
 SHINGLE, BANDS, ROWS = 8, 12, 4
 #: Least bytes of a line, and percent of similarity.
 LEAST, PERCENT = 24, 85
 
-BAND_COLUMNS = [f"k{k}" for k in range(BANDS)]
 _SEEDS = _text.seeds(BANDS * ROWS, salt=9).astype(np.uint32)
 
 
@@ -54,21 +53,23 @@ def _signatures(windows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> n
     return _text.minwise(_text.mix(windows), starts, stops - starts - SHINGLE + 1, _SEEDS, half=True)
 
 
-def _contents(source: DataFrame, least_bytes: int) -> DataFrame:
-    """Contents of lines of each slice of documents: id (hash), bits, a key for each band; equal ones may recur in other slices."""
+def _long_lines(texts: _text.Texts, least_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct lines of a slice that are long enough: ids (hashes of their content), starts and stops."""
+    starts, stops, _ = _trimmed(texts)
+    long = stops - starts >= max(least_bytes, SHINGLE)
+    starts, stops = starts[long], stops[long]
+    ids, at = np.unique(texts.hashes(starts, stops).view(np.int64), return_index=True)
+    return ids, starts[at], stops[at]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in _text.slices(batch.column(1)):
-                starts, stops, _ = _trimmed(texts)
-                long = stops - starts >= max(least_bytes, SHINGLE)
-                starts, stops = starts[long], stops[long]
-                ids, at = np.unique(texts.hashes(starts, stops).view(np.int64), return_index=True)
-                least = _signatures(_windows(texts.data), starts[at], stops[at])
-                bands = band_keys(least, ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sketch_bits(least)), *(pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS))], names=["id", "bits", *BAND_COLUMNS])
 
-    return source.mapInArrow(cut, "id bigint, bits bigint, " + ", ".join(f"{c} bigint" for c in BAND_COLUMNS))
+def _buckets(source: DataFrame, least_bytes: int) -> DataFrame:
+    """Buckets of contents: key, id."""
+
+    def signatures(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
+        ids, starts, stops = _long_lines(texts, least_bytes)
+        return ids, band_keys(_signatures(_windows(texts.data), starts, stops), ROWS)
+
+    return shared_buckets(source, signatures)
 
 
 def _places(source: DataFrame, least_bytes: int) -> DataFrame:
@@ -87,18 +88,16 @@ def _places(source: DataFrame, least_bytes: int) -> DataFrame:
     return source.mapInArrow(cut, "doc_id bigint, line int, id bigint")
 
 
-def _texts_of(source: DataFrame, least_bytes: int) -> DataFrame:
-    """Contents with their bytes: id, content (binary), once a slice."""
+def _texts_of(source: DataFrame, wanted: MaybeAmong, least_bytes: int) -> DataFrame:
+    """Contents with their bytes, of wanted ids (and a few others): id, content (binary), once a slice."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _text.slices(batch.column(1)):
-                starts, stops, _ = _trimmed(texts)
-                long = stops - starts >= max(least_bytes, SHINGLE)
-                starts, stops = starts[long], stops[long]
-                ids, at = np.unique(texts.hashes(starts, stops).view(np.int64), return_index=True)
+                ids, starts, stops = _long_lines(texts, least_bytes)
+                some = wanted.mask(ids)
                 body = texts.data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([body[a:b] for a, b in zip(starts[at], stops[at], strict=True)], pa.binary())], names=["id", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([body[a:b] for a, b in zip(starts[some], stops[some], strict=True)], pa.binary())], names=["id", "content"])
 
     return source.mapInArrow(cut, "id bigint, content binary")
 
@@ -124,7 +123,8 @@ def _confirmer(source: DataFrame, least_bytes: int, percent: int):  # noqa: ANN2
         if kept:  # contents read for an earlier call serve again
             ends = ends.join(kept[0].select("id"), "id", "left_anti")
         if not kept or not ends.isEmpty():
-            new = _texts_of(source, least_bytes).join(ends, "id", "left_semi").dropDuplicates(["id"])
+            ends = saved(ends)
+            new = _texts_of(source, MaybeAmong(ends), least_bytes).join(ends, "id", "left_semi").dropDuplicates(["id"])
             kept[:] = [saved(new if not kept else kept[0].unionByName(new))]
         left = kept[0].select(F.col("id").alias("a"), F.col("content").alias("x"))
         right = kept[0].select(F.col("id").alias("b"), F.col("content").alias("y"))
@@ -140,8 +140,7 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     line numbers: of equal places the lines of all rows stay or go together.
     """
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    contents = _contents(source, least_bytes).groupBy("id").agg(*(F.first(c).alias(c) for c in ("bits", *BAND_COLUMNS))).select("id", "bits", F.array(*BAND_COLUMNS).alias("bands"))
-    components = linked_components(contents, _confirmer(source, least_bytes, percent))
+    components = linked_components(_buckets(source, least_bytes), _confirmer(source, least_bytes, percent))
     places = saved(_places(source, least_bytes).where("id IS NOT NULL"))
     firsts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
     named = firsts.join(components, "id", "left")

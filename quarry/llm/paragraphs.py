@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text
-from quarry.llm._work import saved
-from quarry.llm.linking import band_keys, linked_components, sketch_bits
+from quarry.llm._work import MaybeAmong, saved
+from quarry.llm.linking import band_keys, linked_components, shared_buckets
 
 #: Words of a shingle; bands and minwise values of each; least words of a paragraph; percent of similarity.
 WIDTH, BANDS, ROWS, LEAST, PERCENT = 5, 16, 4, 40, 80
 
-BAND_COLUMNS = [f"k{k}" for k in range(BANDS)]
 _SEEDS = _text.seeds(BANDS * ROWS, salt=4).astype(np.uint32)
 
 
@@ -47,17 +46,15 @@ class _Paragraphs:
         return np.unique(self.shingles[self.begin[k] : self.begin[k] + self.words[k] - WIDTH + 1]).view(np.int64)
 
 
-def _contents(source: DataFrame, least: int) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in _text.slices(batch.column(1)):
-                found = _Paragraphs(texts, least)
-                at = found.distinct()
-                values = _text.minwise(found.shingles, found.begin[at], found.words[at] - WIDTH + 1, _SEEDS)
-                bands = band_keys(values, ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(found.ids[at]), pa.array(sketch_bits(values)), *(pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS))], names=["id", "bits", *BAND_COLUMNS])
+def _buckets(source: DataFrame, least: int) -> DataFrame:
+    """Buckets of contents: key, id."""
+
+    def signatures(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
+        found = _Paragraphs(texts, least)
+        at = found.distinct()
+        return found.ids[at], band_keys(_text.minwise(found.shingles, found.begin[at], found.words[at] - WIDTH + 1, _SEEDS), ROWS)
 
-    return source.mapInArrow(cut, "id bigint, bits bigint, " + ", ".join(f"{c} bigint" for c in BAND_COLUMNS))
+    return shared_buckets(source, signatures)
 
 
 def _places(source: DataFrame, least: int) -> DataFrame:
@@ -70,12 +67,13 @@ def _places(source: DataFrame, least: int) -> DataFrame:
     return source.mapInArrow(cut, "doc_id bigint, paragraph int, n_words int, id bigint")
 
 
-def _sets(source: DataFrame, least: int) -> DataFrame:
+def _sets(source: DataFrame, wanted: MaybeAmong, least: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _text.slices(batch.column(1)):
                 found = _Paragraphs(texts, least)
                 at = found.distinct()
+                at = at[wanted.mask(found.ids[at])]
                 yield pa.RecordBatch.from_arrays([pa.array(found.ids[at]), _text.list_column([found.items(k) for k in at], pa.int64())], names=["id", "items"])
 
     return source.mapInArrow(cut, "id bigint, items array<bigint>")
@@ -89,7 +87,8 @@ def _confirmer(source: DataFrame, least: int, percent: int):  # noqa: ANN202
         if kept:  # sets made for an earlier call serve again
             ends = ends.join(kept[0].select("id"), "id", "left_anti")
         if not kept or not ends.isEmpty():
-            new = _sets(source, least).join(ends, "id", "left_semi").dropDuplicates(["id"])
+            ends = saved(ends)
+            new = _sets(source, MaybeAmong(ends), least).join(ends, "id", "left_semi").dropDuplicates(["id"])
             kept[:] = [saved(new if not kept else kept[0].unionByName(new))]
         left = kept[0].select(F.col("id").alias("a"), F.col("items").alias("x"))
         right = kept[0].select(F.col("id").alias("b"), F.col("items").alias("y"))
@@ -107,8 +106,7 @@ def repeated_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str
     paragraphs; rows without a doc_id are left alone; rows that share one share paragraph numbers.
     """
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    contents = _contents(source, least).groupBy("id").agg(*(F.first(c).alias(c) for c in ("bits", *BAND_COLUMNS))).select("id", "bits", F.array(*BAND_COLUMNS).alias("bands"))
-    components = linked_components(contents, _confirmer(source, least, percent))
+    components = linked_components(_buckets(source, least), _confirmer(source, least, percent))
     places = saved(_places(source, least))
     firsts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "paragraph")).alias("first"))
     named = firsts.join(components, "id", "left")
