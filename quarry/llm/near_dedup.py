@@ -25,7 +25,7 @@ from quarry.llm._work import MaybeAmong, saved
 from quarry.llm.components import connected_components
 
 #: Minwise values of a document; independent trees; first and last level of a path; documents of a small node.
-VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 14, 3, 8, 16
+VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 20, 3, 5, 16
 #: Differing bits of two 128-bit sketches beyond which a pair isn't a candidate (13 expected at a similarity of 0.8, 62 at 0.03).
 SKETCH_BITS = 38
 
@@ -153,7 +153,7 @@ def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     source = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     sketched = saved(sketches(source, width))
     known = sketched.where("n > 0 AND id IS NOT NULL")
-    classes = saved(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.max("id").alias("last")))
+    classes = saved(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
     nodes = saved(known.join(classes.select("id", "f1"), ["id", "f1"]).select("id", "f1", "n", "path", "b1", "b2").dropDuplicates(["id", "f1"]))
     pairs, residual = _candidates(nodes, percent)
     pairs, residual = saved(pairs), saved(residual)
@@ -178,10 +178,15 @@ def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
         late = saved(few.select(*_pair("x", "y")).distinct())
         if not late.isEmpty():
             components = _joined(components, _labelled(saved(_confirmed(late, sets, percent)), components))
+    # rows that share an id link their classes
+    ranks = known.join(classes.withColumnRenamed("id", "rank"), ["f1", "f2", "n"]).select("id", "rank").distinct()
+    least = ranks.groupBy("id").agg(F.min("rank").alias("b"), F.count("*").alias("k")).where("k > 1")
+    same = ranks.join(least, "id").where("rank <> b").select(F.col("rank").alias("a"), "b")
+    components = _joined(components, saved(_labelled(same, components)))
     # equal sets share the component of the document that stands for them; a repeated id joins its classes
     of_class = classes.join(components, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = sketched.join(of_class, ["f1", "f2", "n"], "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
