@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _text
 from quarry.llm._work import MaybeAmong, saved
-from quarry.llm.linking import band_keys, linked_components, shared_buckets
+from quarry.llm.linking import linked_components, shared_buckets
 
 #: Bytes of a shingle; bands and minwise values of each (a pair at 0.85 shares a band with a chance of 0.9998).
 SHINGLE, BANDS, ROWS = 8, 12, 4
@@ -67,9 +67,9 @@ def _buckets(source: DataFrame, least_bytes: int) -> DataFrame:
 
     def signatures(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
         ids, starts, stops = _long_lines(texts, least_bytes)
-        return ids, band_keys(_signatures(_windows(texts.data), starts, stops), ROWS)
+        return ids, _signatures(_windows(texts.data), starts, stops)
 
-    return shared_buckets(source, signatures)
+    return shared_buckets(source, signatures, ROWS)
 
 
 def _places(source: DataFrame, least_bytes: int) -> DataFrame:
@@ -89,7 +89,7 @@ def _places(source: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def _texts_of(source: DataFrame, wanted: MaybeAmong, least_bytes: int) -> DataFrame:
-    """Contents with their bytes, of wanted ids (and a few others): id, content (binary), once a slice."""
+    """Contents of wanted ids (and a few others), once a slice: id, n (distinct shingles), content (binary)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,9 +97,12 @@ def _texts_of(source: DataFrame, wanted: MaybeAmong, least_bytes: int) -> DataFr
                 ids, starts, stops = _long_lines(texts, least_bytes)
                 some = wanted.mask(ids)
                 body = texts.data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([body[a:b] for a, b in zip(starts[some], stops[some], strict=True)], pa.binary())], names=["id", "content"])
+                chosen = list(zip(starts[some], stops[some], strict=True))
+                windows = _windows(texts.data)
+                sizes = [len(np.unique(windows[a : b - SHINGLE + 1])) for a, b in chosen]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(sizes, pa.int64()), pa.array([body[a:b] for a, b in chosen], pa.binary())], names=["id", "n", "content"])
 
-    return source.mapInArrow(cut, "id bigint, content binary")
+    return source.mapInArrow(cut, "id bigint, n bigint, content binary")
 
 
 def _similar(x: pa.Array, y: pa.Array, percent: int) -> pa.Array:
@@ -116,21 +119,14 @@ def _confirmer(source: DataFrame, least_bytes: int, percent: int):  # noqa: ANN2
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
         return _similar(x, y, percent)
 
-    kept: list[DataFrame] = []
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if kept:  # contents read for an earlier call serve again
-            ends = ends.join(kept[0].select("id"), "id", "left_anti")
-        if not kept or not ends.isEmpty():
-            ends = saved(ends)
-            new = _texts_of(source, MaybeAmong(ends), least_bytes).join(ends, "id", "left_semi").dropDuplicates(["id"])
-            kept[:] = [saved(new if not kept else kept[0].unionByName(new))]
-        left = kept[0].select(F.col("id").alias("a"), F.col("content").alias("x"))
-        right = kept[0].select(F.col("id").alias("b"), F.col("content").alias("y"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").where(similar("x", "y")).select("a", "b")
-
-    return confirm
+    def prepare(ids: DataFrame):  # noqa: ANN202
+        kept = saved(_texts_of(source, MaybeAmong(ids), least_bytes).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        left = kept.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("content").alias("x"))
+        right = kept.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("content").alias("y"))
+        sizes = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
+        return lambda pairs: pairs.select("a", "b").join(left, "a").join(right, "b").where(sizes).where(similar("x", "y")).select("a", "b")
+
+    return prepare
 
 
 def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least_bytes: int = LEAST, percent: int = PERCENT) -> DataFrame:

@@ -22,6 +22,8 @@ from quarry.llm.components import connected_components
 SMALL = 16
 #: Keys that a task looks through before it sends them; bytes of text for each partition that keys are dealt to.
 BUFFER_KEYS, PART_BYTES = 1_000_000, 16 << 20
+#: Differing bits of two 64-bit sketches beyond which a pair isn't a candidate (about 5 expected at a similarity of 0.85).
+SKETCH_BITS = 19
 
 
 def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
@@ -33,25 +35,37 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _pack(keys: np.ndarray, ids: np.ndarray) -> tuple[bytes, bytes]:
-    return np.ascontiguousarray(keys).tobytes(), np.ascontiguousarray(ids).tobytes()
+def sketch_bits(least: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first 32 minwise values."""
+    mixed = _text.mix(least[:, :32].astype(np.uint64))
+    shift = np.arange(32, dtype=np.uint64) * np.uint64(2)
+    return ((mixed & np.uint64(3)) << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order of keys, and whether each pair's key has others."""
+def _alike(x: str, y: str) -> Column:
+    return F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= SKETCH_BITS
+
+
+def _pack(*columns: np.ndarray) -> tuple[bytes, ...]:
+    return tuple(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _pairs(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct members in order of keys, and whether each one's key has others."""
     order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
+    keys, ids, bits = keys[order], ids[order], bits[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[new], ids[new]
+    keys, ids, bits = keys[new], ids[new], bits[new]
     same = keys[1:] == keys[:-1]
-    return keys, ids, np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(keys) else new[:0]
+    return keys, ids, bits, np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(keys) else new[:0]
 
 
-def shared_buckets(source: DataFrame, signatures: Callable[[_text.Texts], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Buckets that hold two things at least: key, id.
+def shared_buckets(source: DataFrame, signatures: Callable[[_text.Texts], tuple[np.ndarray, np.ndarray]], rows: int) -> DataFrame:
+    """Buckets that hold two things at least: key, id, bits (a sketch).
 
-    source: doc_id, text; signatures gives the ids of a slice's things and their band keys (a row each).  Keys are
+    source: doc_id, text; signatures gives the ids of a slice's things and their minwise
+    values (a row each), of which `rows` make a band.  Keys are
     dealt to partitions as packed arrays, once a task; a key that a task itself finds shared is sent only as one
     member for others to meet, and its members go out at once, so a frequent key doesn't gather in one place.
     """
@@ -59,29 +73,30 @@ def shared_buckets(source: DataFrame, signatures: Callable[[_text.Texts], tuple[
     parts = max(1, size // PART_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, ids, shared = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            keys, ids, bits, shared = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
             first = np.ones(len(keys), dtype=bool)
             first[1:] = keys[1:] != keys[:-1]
-            rows = []
+            out = []
             for chosen, sign in ((first, 1), (shared, -1)):
                 part = (keys[chosen].view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 names, begin = np.unique(part[order], return_index=True)
-                rows += [(int(p) if sign > 0 else -1 - int(p), *_pack(keys[chosen][own], ids[chosen][own])) for p, own in zip(names, np.split(order, begin[1:]) if len(names) else [], strict=True)]
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["part", "keys", "ids"])
+                out += [(int(p) if sign > 0 else -1 - int(p), *_pack(keys[chosen][own], ids[chosen][own], bits[chosen][own])) for p, own in zip(names, np.split(order, begin[1:]) if len(names) else [], strict=True)]
+            if out:
+                parts_of, *columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(parts_of, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "keys", "ids", "bits"])
 
         waiting = 0
         for batch in batches:
             for _, texts in _text.slices(batch.column(1)):
-                ids, bands = signatures(texts)
+                ids, least = signatures(texts)
                 if len(ids):
-                    held.append((bands.ravel(), np.repeat(ids, bands.shape[1])))
+                    bands = band_keys(least, rows)
+                    held.append((bands.ravel(), np.repeat(ids, bands.shape[1]), np.repeat(sketch_bits(least), bands.shape[1])))
                     waiting += bands.size
                 if waiting >= BUFFER_KEYS:
                     yield from flush()
@@ -90,14 +105,14 @@ def shared_buckets(source: DataFrame, signatures: Callable[[_text.Texts], tuple[
             yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int64) for c in ("keys", "ids"))
+        keys, ids, bits = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=np.int64) for c in ("keys", "ids", "bits"))
         if table.column("part")[0].as_py() >= 0:
-            keys, ids, shared = _pairs(keys, ids)
-            keys, ids = keys[shared], ids[shared]
-        return pa.table({"key": pa.array(keys), "id": pa.array(ids)})
+            keys, ids, bits, shared = _pairs(keys, ids, bits)
+            keys, ids, bits = keys[shared], ids[shared], bits[shared]
+        return pa.table({"key": pa.array(keys), "id": pa.array(ids), "bits": pa.array(bits)})
 
-    sent = source.mapInArrow(send, "part bigint, keys binary, ids binary")
-    return sent.groupBy("part").applyInArrow(meet, "key bigint, id bigint").distinct()
+    sent = source.mapInArrow(send, "part bigint, keys binary, ids binary, bits binary")
+    return sent.groupBy("part").applyInArrow(meet, "key bigint, id bigint, bits bigint").distinct()
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -122,19 +137,21 @@ def _widened(components: DataFrame, links: DataFrame) -> DataFrame:
     return saved(components.unionByName(new).join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
 
 
-def linked_components(rows: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components (id, component: the smallest id) of things that have links, from their buckets (key, id).
+def linked_components(rows: DataFrame, confirmer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Components (id, component: the smallest id) of things that have links, from their buckets (key, id, bits).
 
-    confirm(pairs) gets candidate pairs (a < b) and returns those that are links.  Things without links may be
+    confirmer(ids) gets all things that may have links, once, and gives a function that returns those of candidate
+    pairs (a < b) that are links.  Things without links may be
     absent.
     """
     rows = saved(rows)
-    pivot = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id"))["id"].alias("p")
+    pivot = F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "bits")).alias("p")
     sized = saved(rows.join(rows.groupBy("key").agg(F.count("*").alias("size"), pivot), "key"))
-    small = sized.where(F.col("size") <= SMALL).select("key", "id")
+    confirm = confirmer(saved(sized.select("id").distinct()))
+    small = sized.where(F.col("size") <= SMALL).select("key", "id", "bits")
     large = sized.where(F.col("size") > SMALL)
-    same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(*_ordered("x", "y"))
-    starred = large.select(F.struct("id").alias("x"), F.struct(F.col("p").alias("id")).alias("y")).where("x.id <> y.id").select(*_ordered("x", "y"))
+    same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _alike("x", "y")).select(*_ordered("x", "y"))
+    starred = large.select(F.struct("id", "bits").alias("x"), "p").where("x.id <> p.id").where(_alike("x", "p")).select(*_ordered("x", "p"))
     pairs = saved(same.unionByName(starred).distinct())
     # first each thing with one partner, then only pairs that still lie in different components
     turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -143,10 +160,10 @@ def linked_components(rows: DataFrame, confirm: Callable[[DataFrame], DataFrame]
     rest = saved(_open(pairs, components).select("a", "b"))
     if not rest.isEmpty():
         components = _widened(components, saved(confirm(rest)))
-    named = saved(large.select("key", "id").join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    named = saved(large.select("key", "id", "bits").join(components, "id", "left").withColumn("component", F.coalesce("component", "id")))
     top = named.groupBy("key", "component").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "component")).alias("m")).select("key", F.col("m.component").alias("top"))
     named = named.join(top, "key")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y")
     late = saved(named.where("component <> top").alias("x").join(named.alias("y"), near).select(*_ordered("x", "y")).distinct())
     if not late.isEmpty():
         components = _widened(components, saved(confirm(late)))

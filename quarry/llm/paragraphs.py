@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _text
 from quarry.llm._work import MaybeAmong, saved
-from quarry.llm.linking import band_keys, linked_components, shared_buckets
+from quarry.llm.linking import linked_components, shared_buckets
 
 #: Words of a shingle; bands and minwise values of each; least words of a paragraph; percent of similarity.
 WIDTH, BANDS, ROWS, LEAST, PERCENT = 5, 16, 4, 40, 80
@@ -52,9 +52,9 @@ def _buckets(source: DataFrame, least: int) -> DataFrame:
     def signatures(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
         found = _Paragraphs(texts, least)
         at = found.distinct()
-        return found.ids[at], band_keys(_text.minwise(found.shingles, found.begin[at], found.words[at] - WIDTH + 1, _SEEDS), ROWS)
+        return found.ids[at], _text.minwise(found.shingles, found.begin[at], found.words[at] - WIDTH + 1, _SEEDS)
 
-    return shared_buckets(source, signatures)
+    return shared_buckets(source, signatures, ROWS)
 
 
 def _places(source: DataFrame, least: int) -> DataFrame:
@@ -80,22 +80,19 @@ def _sets(source: DataFrame, wanted: MaybeAmong, least: int) -> DataFrame:
 
 
 def _confirmer(source: DataFrame, least: int, percent: int):  # noqa: ANN202
-    kept: list[DataFrame] = []
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        if kept:  # sets made for an earlier call serve again
-            ends = ends.join(kept[0].select("id"), "id", "left_anti")
-        if not kept or not ends.isEmpty():
-            ends = saved(ends)
-            new = _sets(source, MaybeAmong(ends), least).join(ends, "id", "left_semi").dropDuplicates(["id"])
-            kept[:] = [saved(new if not kept else kept[0].unionByName(new))]
-        left = kept[0].select(F.col("id").alias("a"), F.col("items").alias("x"))
-        right = kept[0].select(F.col("id").alias("b"), F.col("items").alias("y"))
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("t"))
-        return both.where(F.col("s") * 100 >= percent * (F.col("t") - F.col("s"))).select("a", "b")
-
-    return confirm
+    def prepare(ids: DataFrame):  # noqa: ANN202
+        kept = saved(_sets(source, MaybeAmong(ids), least).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+        left = kept.select(F.col("id").alias("a"), F.col("items").alias("x"))
+        right = kept.select(F.col("id").alias("b"), F.col("items").alias("y"))
+
+        def confirm(pairs: DataFrame) -> DataFrame:
+            both = pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
+            counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("t"))
+            return counted.where(F.col("s") * 100 >= percent * (F.col("t") - F.col("s"))).select("a", "b")
+
+        return confirm
+
+    return prepare
 
 
 def repeated_paragraphs(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, percent: int = PERCENT) -> DataFrame:
