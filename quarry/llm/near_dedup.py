@@ -26,8 +26,8 @@ from quarry.llm.components import connected_components
 
 #: Minwise values of a document; independent trees; first and last level of a path; documents of a small node.
 VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 20, 3, 5, 16
-#: Differing bits of two 128-bit sketches beyond which a pair isn't a candidate (13 expected at a similarity of 0.8, 62 at 0.03).
-SKETCH_BITS = 38
+#: Standard deviations by which a pair's sketches may differ beyond what its least similarity lets expect.
+DEVIATIONS = 5
 
 _SKETCH = "n bigint, f1 bigint, f2 bigint, path array<int>, b1 bigint, b2 bigint"
 
@@ -69,7 +69,14 @@ def shingle_table(documents: DataFrame, width: int) -> DataFrame:
 def _alike(a: str, b: str, percent: int) -> Column:
     """Whether two sketches may belong to a link: sizes allow it and few bits differ."""
     sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return sizes & (_bits(a, b) <= SKETCH_BITS)
+    return sizes & (_bits(a, b) <= _most_bits(percent))
+
+
+def _most_bits(percent: int) -> int:
+    """Bits that may differ: of each value that differs (a share of 1 - similarity of them) one of two on average."""
+    apart = 1 - percent / 100
+    mean, variance = VALUES * apart, VALUES * apart * (1 - apart) + VALUES * apart / 2
+    return int(mean + DEVIATIONS * variance**0.5)
 
 
 def _bits(a: str, b: str) -> Column:
