@@ -67,7 +67,7 @@ class Scanner:
         self.known: dict[str, list[dict]] = {}
 
     def scan(self, block: str) -> list[dict]:
-        """Licenses confirmed in a block, the largest saving first: license, saved, missing and added words."""
+        """Licenses confirmed in a block, the least different first: license, saved, missing and added words."""
         if block not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -79,10 +79,10 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         # against the notice's own part of the block, so that long blocks rank alike
         ranked = sorted(((1 - len(compressor.compress(raw)) / alone) * max(1.0, alone / max(1, 6 * len(words))), license_id, words) for license_id, words, compressor in self.notices)[::-1]
-        found: dict[str, dict] = {}
+        found: list[tuple[int, float, int, int, dict]] = []
         own = WORD.findall(block)
         for saving, license_id, words in ranked[:RANKED]:
-            if saving < SAVED or license_id in found:
+            if saving < SAVED:
                 continue
             matches = [m for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if m.size]
             shared = sum(m.size for m in matches)
@@ -93,8 +93,13 @@ class Scanner:
             missing = [w for i, w in enumerate(words) if i not in taken]
             added = [w for j, w in enumerate(own[matches[0].b : matches[-1].b + matches[-1].size], matches[0].b) if j not in inside]
             if len(added) <= (1 - WORDING) * len(words):
-                found[license_id] = {"license": license_id, "saved": round(saving, 6), "missing": missing, "added": added}
-        return list(found.values())
+                found.append((len(missing) + len(added), -saving, matches[0].b, matches[-1].b + matches[-1].size, {"license": license_id, "saved": round(saving, 6), "missing": missing, "added": added}))
+        # of notices that claim the same words, the one that differs least
+        kept: list[tuple[int, float, int, int, dict]] = []
+        for notice in sorted(found, key=lambda x: (x[:4], x[4]["license"])):
+            if all(notice[2] >= k[3] or k[2] >= notice[3] for k in kept):
+                kept.append(notice)
+        return [k[4] for k in kept]
 
 
 _FOUND = "doc_id {kind}, line int, license string, saved double, missing array<string>, added array<string>, exact boolean"
