@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._work import saved
+from quarry.llm._work import MaybeAmong, saved
 from quarry.llm.quality import held_out
 
 #: Bounds of what the driver and tasks hold of the lexicon, and of rows that fit the curve.
@@ -101,9 +101,15 @@ def evidence(text: str, find: Callable[[str], list[tuple[int, int, float]]]) ->
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts of labelled rows outside the held-out part: y, text.  The label side is small: two numbers a row."""
+    """Texts of labelled rows outside the held-out part: y, text.
+
+    Other texts are mostly left out before the join, which is by shuffle at every size.
+    """
     given = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).alias("y"))
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).join(given, "doc_id").select("y", "text")
+    given = saved(given)
+    among = MaybeAmong(given.select(F.xxhash64("doc_id")))
+    texts = documents.select("doc_id", F.xxhash64("doc_id").alias("mark"), F.col("text").cast("string").alias("text"))
+    return texts.where(among.passes("mark")).join(given.hint("merge"), "doc_id").select("y", "text")
 
 
 def _counts(rows: DataFrame, begin: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
