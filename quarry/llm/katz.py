@@ -340,8 +340,3 @@ def scored(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", cla
     given = answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
     found = _scores(chunks.join(given, "chunk"), Model(vocabulary, by_history), vocabulary)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
-
-
-def op5_katz(documents: DataFrame) -> DataFrame:
-    """The result of `scored` over all documents."""
-    return scored(documents)

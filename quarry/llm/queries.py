@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, byte_bpe, decontaminate, katz, licenses, line_dedup, near_dedup, paragraphs, quality, toxicity
+from quarry.llm import ann, byte_bpe, decontaminate, licenses, line_dedup, near_dedup, ngrams, paragraphs, quality, toxicity
 from quarry.llm._work import table
 
 
@@ -28,7 +28,7 @@ def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.op5_katz(table(spark, sf_dir, "documents"))
+    return ngrams.op5_katz(table(spark, sf_dir, "documents"))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
