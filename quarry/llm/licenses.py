@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of lines that hold a word of licensing (a gap of `GAP` lines stays inside a block).
-A block is compressed by itself and with each license notice as a raw zstandard dictionary; the notices that
-save most of its size are ranked, and the best few are confirmed by comparing words: all but a small share
-of the notice's words must stand in the block in order.  What differs is returned.
+On both sides a block takes in lines with as many words as the longest notice, since wrapped notices begin and end in
+lines without such words; blocks that touch are one.
+Every notice is looked for in every block, at all places: all but a small share of the notice's words must stand
+there in order.  The place is compressed by itself and with the notice as a raw zstandard dictionary, which must save
+enough of its size.  What differs is returned.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines without a licensing word inside a block; notices that are compared word by word; least saved share of a
-#: block's size; least share of a notice's words; blocks that a task remembers.
-GAP, RANKED, SAVED, WORDING, REMEMBERED = 2, 3, 0.15, 0.9, 20_000
+#: Lines without a licensing word inside a block; least saved share of a place's size; least share of a notice's
+#: words; blocks that a task remembers.
+GAP, SAVED, WORDING, REMEMBERED = 2, 0.15, 0.9, 20_000
 
-TRIGGER = r"(?i)licen[cs]e|copyright|spdx|warrant|redistribut|public domain|permission|all rights reserved"
+TRIGGER = r"(?i)licen[cs]e|copyright|spdx|warrant|redistribut|public\W+domain|permission|all\W+rights\W+reserved"
 
 # fixed values: wordings of public license notices
 NOTICES = {
@@ -41,17 +43,69 @@ NOTICES = {
 WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
+#: Words before and after a licensing word among which a whole notice may stand.
+MARGIN = max(int((2 - WORDING) * len(WORD.findall(wording.lower()))) for wordings in NOTICES.values() for wording in wordings)
+
+
 def blocks(text: str) -> list[tuple[int, str]]:
     """Candidate blocks of a text: number of the first line (from 0), and the lines."""
     lines = text.split("\n")
     found: list[list[int]] = []
-    for k, line in enumerate(lines):
-        if re.search(TRIGGER, line):
-            if found and k - found[-1][1] <= GAP + 1:
-                found[-1][1] = k
-            else:
-                found.append([k, k])
-    return [(a, "\n".join(lines[a : b + 1])) for a, b in found]
+    line = at = 0
+    for match in re.finditer(TRIGGER, text):
+        line, at = line + text.count("\n", at, match.start()), match.start()
+        end = line + match.group().count("\n")
+        if found and line - found[-1][1] <= GAP + 1:
+            found[-1][1] = max(end, found[-1][1])
+        else:
+            found.append([line, end])
+    wide: list[list[int]] = []
+    for a, b in found:
+        words = MARGIN
+        while a > 0 and words > 0:
+            a -= 1
+            words -= len(WORD.findall(lines[a].lower()))
+        words = MARGIN
+        while b < len(lines) - 1 and words > 0:
+            b += 1
+            words -= len(WORD.findall(lines[b].lower()))
+        if wide and a <= wide[-1][1] + 1:
+            wide[-1][1] = max(b, wide[-1][1])
+        else:
+            wide.append([a, b])
+    return [(a, "\n".join(lines[a : b + 1])) for a, b in wide]
+
+
+def places(words: list[str], own: list[str], matcher: SequenceMatcher) -> list[tuple[int, int, list[str], list[str]]]:
+    """Where a notice stands among a block's words: begin, end, missing and added words.
+
+    matcher: of the notice and the block.
+    """
+    size, spare = len(words), int((1 - WORDING) * len(words) + 1e-9)
+    least = max(1, (size - spare) // (2 * spare + 1))  # a confirmed notice has a run as long as this without a change
+    found, open_ = [], [(0, len(own))]
+    while open_:
+        low, high = open_.pop()
+        run = matcher.find_longest_match(0, size, low, high)
+        if run.size < least:
+            continue
+        begin, end = run.b, run.b + run.size
+        start = max(low, run.b - run.a - spare)
+        part = own[start : min(high, run.b + size - run.a + spare)]
+        matches = [m for m in SequenceMatcher(None, words, part, autojunk=False).get_matching_blocks() if m.size]
+        # words of the surroundings that happen to stand in the notice too
+        while len(matches) > 1 and matches[0].size <= matches[1].b - matches[0].b - matches[0].size:
+            matches.pop(0)
+        while len(matches) > 1 and matches[-1].size <= matches[-1].b - matches[-2].b - matches[-2].size:
+            matches.pop()
+        taken = {i for m in matches for i in range(m.a, m.a + m.size)}
+        inside = {j for m in matches for j in range(m.b, m.b + m.size)}
+        added = [part[j] for j in range(matches[0].b, matches[-1].b + matches[-1].size) if j not in inside]
+        if size - len(taken) <= spare and len(added) <= spare:
+            begin, end = start + matches[0].b, start + matches[-1].b + matches[-1].size
+            found.append((begin, end, [w for i, w in enumerate(words) if i not in taken], added))
+        open_ += [(low, begin), (end, high)]
+    return found
 
 
 class Scanner:
@@ -67,7 +121,7 @@ class Scanner:
         self.known: dict[str, list[dict]] = {}
 
     def scan(self, block: str) -> list[dict]:
-        """Licenses confirmed in a block, the least different first: license, saved, missing and added words."""
+        """Licenses confirmed in a block, the least different first: license, saved, missing and added words, line of the block."""
         if block not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -75,38 +129,34 @@ class Scanner:
         return self.known[block]
 
     def _scan(self, block: str) -> list[dict]:
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        # against the notice's own part of the block, so that long blocks rank alike
-        ranked = sorted(((1 - len(compressor.compress(raw)) / alone) * max(1.0, alone / max(1, 6 * len(words))), license_id, words) for license_id, words, compressor in self.notices)[::-1]
-        found: list[tuple[int, float, int, int, dict]] = []
-        own = WORD.findall(block)
-        for saving, license_id, words in ranked[:RANKED]:
-            if saving < SAVED:
-                continue
-            matches = [m for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if m.size]
-            shared = sum(m.size for m in matches)
-            if shared < WORDING * len(words):
-                continue
-            taken = {i for m in matches for i in range(m.a, m.a + m.size)}
-            inside = {j for m in matches for j in range(m.b, m.b + m.size)}
-            missing = [w for i, w in enumerate(words) if i not in taken]
-            added = [w for j, w in enumerate(own[matches[0].b : matches[-1].b + matches[-1].size], matches[0].b) if j not in inside]
-            if len(added) <= (1 - WORDING) * len(words):
-                found.append((len(missing) + len(added), -saving, matches[0].b, matches[-1].b + matches[-1].size, {"license": license_id, "saved": round(saving, 6), "missing": missing, "added": added}))
-        # of notices that claim the same words, the one that differs least
-        kept: list[tuple[int, float, int, int, dict]] = []
-        for notice in sorted(found, key=lambda x: (x[:4], x[4]["license"])):
-            if all(notice[2] >= k[3] or k[2] >= notice[3] for k in kept):
+        found: list[tuple[int, int, float, int, int, dict]] = []
+        at = list(WORD.finditer(block))
+        own = [m.group() for m in at]
+        matcher = SequenceMatcher(None, (), own, autojunk=False)
+        for license_id, words, compressor in self.notices:
+            matcher.set_seq1(words)
+            for begin, end, missing, added in places(words, own, matcher):
+                # of the place alone: in a whole block, notices that share wordings hide each other's savings
+                raw = block[at[begin].start() : at[end - 1].end()].encode()
+                saving = 1 - len(compressor.compress(raw)) / len(self.plain.compress(raw))
+                if saving < SAVED:
+                    continue
+                line = block.count("\n", 0, at[begin].start())
+                found.append((len(missing) + len(added), begin - end, -saving, begin, end, {"license": license_id, "saved": round(saving, 6), "missing": missing, "added": added, "line": line}))
+        # of notices that claim the same words, the one that differs least, then the longest
+        kept: list[tuple[int, int, float, int, int, dict]] = []
+        for notice in sorted(found, key=lambda x: (x[:5], x[5]["license"])):
+            if all(notice[3] >= k[4] or k[3] >= notice[4] for k in kept):
                 kept.append(notice)
-        return [k[4] for k in kept]
+        return [k[5] for k in kept]
 
 
 _FOUND = "doc_id {kind}, line int, license string, saved double, missing array<string>, added array<string>, exact boolean"
 
 
 def licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every confirmed notice: doc_id, line, license, saved (ranking figure), missing, added, exact.
+    """Every confirmed notice: doc_id, line (of its first word), license, saved (share of its size), missing,
+    added, exact.
 
     Documents without notices do not appear; null and empty texts have none; repeated rows are each reported.
     """
@@ -120,7 +170,7 @@ def licenses(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 for line, block in blocks(whole):
                     for notice in scanner.scan(block):
                         at.append(k)
-                        rows.append(notice | {"line": line, "exact": not notice["missing"] and not notice["added"]})
+                        rows.append(notice | {"line": line + notice["line"], "exact": not notice["missing"] and not notice["added"]})
             strings = pa.list_(pa.string())
             columns = [("line", pa.int32()), ("license", pa.string()), ("saved", pa.float64()), ("missing", strings), ("added", strings), ("exact", pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in columns)], names=["doc_id", *(c for c, _ in columns)])
