@@ -155,24 +155,28 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     """The k nearest others found for each row that `queries` chooses: query_id, rank, vec_id, score.
 
     Nearest first, ties to the smaller id.  Vectors that are null, zero or hold a null or non-finite component take no
-    part, nor do rows without id and vectors of another size than most; a repeated id counts once for each vector.
+    part, nor do rows without id and vectors of another size than most; a repeated id counts once for each vector, and
+    asks for each.
     """
     rows = vectors.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), queries.alias("asks"))
     size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     rows = saved(rows.where(F.size("v") == (size["size"] if size else 0)).withColumn("key", F.xxhash64("v")))
-    classes = rows.groupBy("key", "v").agg(F.min("vec_id").alias("id"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
-    nodes = saved(classes.dropDuplicates(["id"]))
+    classes = rows.groupBy("key", "v").agg(F.min("vec_id").alias("least"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
+    # a number of each vector's own: ids may be repeated, and hashes may meet
+    again = F.row_number().over(Window.partitionBy("id").orderBy("v"))
+    numbered = classes.withColumn("id", F.xxhash64("key", "least")).withColumn("again", again)
+    nodes = saved(numbered.withColumn("id", F.when(F.col("again") > 1, F.xxhash64("id", "again")).otherwise(F.col("id"))).drop("again"))
     graph = neighbour_graph(nodes.select("id", "v"))
     found = search(nodes.select("id", "v"), graph, nodes.where("asks").select(F.col("id").alias("q"), "v"))
-    best = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
-    found = found.withColumn("best", best).where(F.col("best") <= k + 1).drop("best")
+    best = F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))
+    found = found.join(nodes.select("id", "least"), "id").withColumn("best", best).where(F.col("best") <= k + 1).drop("best", "least")
     # equal vectors: the k + 1 smallest ids of a node are enough
-    named = rows.join(nodes.select("key", "v", "id"), ["key", "v"]).select("id", "vec_id", "asks")
+    named = rows.join(nodes.select("key", "v", "id"), ["key", "v"]).groupBy("id", "vec_id").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
     first = F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))
     members = named.select("id", "vec_id").withColumn("first", first).where(F.col("first") <= k + 1).drop("first")
     asking = named.where("asks").select(F.col("id").alias("q"), F.col("vec_id").alias("query_id"))
     pairs = asking.join(found, "q").join(members, "id").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("d", "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("d").alias("score"))
 
 
