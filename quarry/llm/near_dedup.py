@@ -24,7 +24,7 @@ from quarry.llm import _text
 from quarry.llm._work import MaybeAmong, saved
 from quarry.llm.components import connected_components
 
-#: Minwise values of a document; independent trees; first and last level of a path; documents of a small node.
+#: Minwise values of a sketch; independent trees; first and last level of a path; documents of a small node.
 VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 20, 3, 5, 16
 #: Standard deviations by which a pair's sketches may differ beyond what its least similarity lets expect.
 DEVIATIONS = 5
@@ -33,8 +33,9 @@ _SKETCH = "n bigint, f1 bigint, f2 bigint, path array<int>, b1 bigint, b2 bigint
 
 
 def sketches(documents: DataFrame, width: int) -> DataFrame:
-    """Of each document: id, set size n, fingerprints of the set, its minwise values and a sketch of two bits of each."""
-    seeds = _text.seeds(VALUES)
+    """Of each document: id, set size n, fingerprints of the set, a minwise value for each tree and level, and a sketch of
+    two bits of each of `VALUES` others."""
+    seeds = _text.seeds(VALUES + TREES * LAST_LEVEL)
     ones = np.uint64(1) << np.arange(VALUES, dtype=np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,7 +46,8 @@ def sketches(documents: DataFrame, width: int) -> DataFrame:
                     least = _text.mix(_text.minhashes(items, seeds))
                     sizes.append(len(items))
                     prints.append((_text.mix(items).sum(), np.bitwise_xor.reduce(_text.mix(items + np.uint64(7)), initial=np.uint64(len(items)))))
-                    paths.append((least >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    paths.append((least[VALUES:] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    least = least[:VALUES]
                     bits.append((((least & np.uint64(1)) * ones).sum(), ((least >> np.uint64(1) & np.uint64(1)) * ones).sum()))
                 pair = [np.array(x, dtype=np.uint64).view(np.int64) for x in (*zip(*prints, strict=True), *zip(*bits, strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(sizes, pa.int64()), *map(pa.array, pair[:2]), _text.list_column(paths, pa.int32()), *map(pa.array, pair[2:])], names=["id", "n", "f1", "f2", "path", "b1", "b2"])
@@ -90,21 +92,21 @@ def _pair(a: str, b: str) -> list[Column]:
     return [side("id", b, a).alias("a"), side("f1", b, a).alias("fa"), side("id", a, b).alias("b"), side("f1", a, b).alias("fb"), _bits(a, b).alias("bits")]
 
 
+def node_key(level: int) -> Column:
+    """The node at a level: the minwise values along the tree's walk, which no other tree or level has."""
+    return F.xxhash64("tree", *(F.get("path", F.col("tree") * LAST_LEVEL + d) for d in range(level)))
+
+
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs whose sketches are alike (a, fa, b, fb, bits), and rows of nodes still large at the last level."""
     levels = range(FIRST_LEVEL, LAST_LEVEL + 1)
 
-    def key(level: int) -> Column:
-        """The node at a level: the minwise values along the tree's walk."""
-        step = lambda d: (F.col("tree") * 23 + (2 * F.col("tree") + 5) * d) % VALUES
-        return F.xxhash64("tree", *(F.get("path", step(F.lit(d))) for d in range(1, level + 1)))
-
     # only keys and ids are dealt by key; sketches and paths join the rows whose nodes hold others
-    walk = nodes.select("id", "f1", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "f1", "tree", key(FIRST_LEVEL).alias("key"))
+    walk = nodes.select("id", "f1", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "f1", "tree", node_key(FIRST_LEVEL).alias("key"))
     pairs = []
     for k, level in enumerate(levels):
         shared = walk.join(walk.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-        sized = saved(shared.join(nodes, ["id", "f1"]))
+        sized = saved(shared.join(nodes, ["id", "f1"]).withColumn("next", node_key(min(level + 1, LAST_LEVEL))).drop("path"))
         small = sized.where(F.col("size") <= SMALL).select("key", "id", "f1", "n", "b1", "b2")
         same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _alike("x", "y", percent))
         pairs.append(same.select(*_pair("x", "y")))
@@ -115,7 +117,7 @@ def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             pairs.append(with_pivot.select(*_pair("x", "p")))
         if level == LAST_LEVEL or large.isEmpty():
             break
-        walk = large.select("id", "f1", "tree", key(level + 1).alias("key"))
+        walk = large.select("id", "f1", "tree", F.col("next").alias("key"))
     walk = large.select("key", "id", "f1", "n", "b1", "b2")
     found = pairs[0]
     for more in pairs[1:]:
