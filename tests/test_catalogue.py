@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quarry.plans import catalogue
@@ -13,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
-    if value is None or value != value:
+    if not isinstance(value, list | dict) and pd.isna(value):
         return ""
     return f"{value:.6g}" if isinstance(value, float) and math.isfinite(value) else str(value)
 
