@@ -54,12 +54,14 @@ def with_sources(facts: DataFrame, sources: DataFrame, role: str) -> DataFrame:
 
 def satisfying(facts: DataFrame, values: DataFrame, constraints: Sequence[Constraint], mode: str = "range") -> DataFrame:
     """Facts with a stored value for each constraint (one value may satisfy several)."""
-    for c in constraints:
-        wanted = values.where((F.col("parameter") == c.parameter) & numeric_predicate(c, mode))
-        if c.unit is not None:
-            wanted = wanted.where(F.col("unit") == c.unit)
-        facts = facts.join(wanted.select("fact_id"), "fact_id", "left_semi")
-    return facts
+    if not constraints:
+        return facts
+    met = [(F.col("parameter") == c.parameter) & numeric_predicate(c, mode) & (F.lit(True) if c.unit is None else F.col("unit") == c.unit) for c in constraints]
+    some = met[0]
+    for m in met[1:]:
+        some = some | m
+    each = values.where(some).groupBy("fact_id").agg(*(F.max(m).alias(f"met{k}") for k, m in enumerate(met)))
+    return facts.join(each.where(" AND ".join(f"met{k}" for k in range(len(met)))).select("fact_id"), "fact_id", "left_semi")
 
 
 def about(facts: DataFrame, links: DataFrame, entities: DataFrame, condition: Column) -> DataFrame:

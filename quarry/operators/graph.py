@@ -10,38 +10,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import saved
+
 # fixed values: the deepest neighbourhood and the longest path that may be asked for
 MAX_DEPTH, MAX_HOPS = 4, 6
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def _grown(edges: DataFrame, seen: DataFrame, hop: int) -> DataFrame:
-    frontier = seen.where(F.col("hops") == hop - 1)
-    new = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-    return seen.unionByName(new.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+def _spread(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """Nodes within some hops of seeds, with the fewest: node, hops.  Each hop's frontier is saved, so a plan holds one
+    hop; Spark broadcasts a small frontier, and the edges then aren't shuffled."""
+    both, seen = undirected(edges), saved(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    frontier = seen
+    for hop in range(1, depth + 1):
+        met = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = saved(met.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes within `depth` hops of seeds (node), with the fewest hops: node, hops."""
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
-    both, seen = undirected(edges), seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    for hop in range(1, depth + 1):
-        seen = _grown(both, seen, hop)
-    return seen
+    return _spread(edges, seeds, depth)
 
 
 def path_lengths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most: int = MAX_HOPS) -> DataFrame:
     """Hops of the shortest path from seeds to each target that is within `most`: node, hops."""
     if not 1 <= most <= MAX_HOPS:
         raise ValueError(f"paths have at most {MAX_HOPS} hops")
-    both, seen = undirected(edges), seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    for hop in range(1, most + 1):
-        seen = _grown(both, seen, hop).checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else _grown(both, seen, hop)
-    return seen.join(targets.select("node").distinct(), "node", "left_semi")
+    return _spread(edges, seeds, most).join(targets.select("node").distinct(), "node", "left_semi")
+
+
+def path_nodes(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most: int = MAX_HOPS, limit: int = 50) -> DataFrame:
+    """One shortest path from seeds to each of the nearest targets: node, hops, path (nodes from a seed on).
+
+    Of equally short paths the one whose nodes are smallest, from the target backwards.  Targets come by hops, then
+    node, at most `limit` of them.  Only nodes on the way back from targets are visited again, one join a hop.
+    """
+    if not 1 <= most <= MAX_HOPS:
+        raise ValueError(f"paths have at most {MAX_HOPS} hops")
+    both, seen = undirected(edges), saved(_spread(edges, seeds, most))
+    ends = seen.join(targets.select("node").distinct(), "node", "left_semi").orderBy("hops", "node").limit(limit)
+    paths = saved(ends.select("node", "hops", F.array("node").alias("path")))
+    for left in range(most, 0, -1):
+        open_ones = paths.where(F.size("path") == F.col("hops") - left + 1).withColumn("dst", F.get("path", F.lit(0)))
+        before = seen.where(F.col("hops") == left - 1).select(F.col("node").alias("src"))
+        step = open_ones.join(both, "dst").join(before, "src").groupBy("node", "hops", "path").agg(F.min("src").alias("src"))
+        grown = step.select("node", "hops", F.concat(F.array("src"), "path").alias("path"))
+        paths = saved(grown.unionByName(paths.where(F.size("path") != F.col("hops") - left + 1)))
+    return paths
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:

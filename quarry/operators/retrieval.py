@@ -1,7 +1,7 @@
 """Retrieval over chunks (chunk_id, document_id, text and attributes): lexical, dense, fused, filtered, reranked.
 
 Branches are chunk_id and score.  A query's terms and vector are small and given by the caller; statistics of the
-corpus are one row, gathered first, so scoring is one pass without a shuffle until the top k.
+corpus are one row, so scoring has no shuffle until the top k; with an index, only the postings of its terms are read.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import words
+from quarry.functions.text import SEPARATORS, words
 
 # fixed values: public constants of BM25, and weights of fusion
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -24,20 +24,52 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def bm25(chunks: DataFrame, terms: Sequence[str], k: int) -> DataFrame:
-    """The k chunks of highest BM25 score for terms: chunk_id, score (6 digits)."""
-    from math import log
+def term_counts(chunks: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Of each chunk: chunk_id, n (words), tf (an array: how often it has each term).  One split of each text."""
+    pieces = chunks.select("chunk_id", F.split(F.lower("text"), SEPARATORS).alias("pieces"))
+    # a split leaves an empty piece where separators end a text
+    empty = F.size("pieces") - F.size(F.array_remove("pieces", ""))
+    tf = F.array(*(F.size("pieces") - F.size(F.array_remove("pieces", t)) for t in terms)).cast("array<int>")
+    return pieces.select("chunk_id", (F.size("pieces") - empty).alias("n"), tf.alias("tf"))
 
-    own = words("text")
-    counted = chunks.select("chunk_id", F.size(own).alias("n"), F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(own, lambda w: w == t))).alias("tf"))
-    has = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"d{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *has).first()
+
+def _idf(docs: Column, df: Column) -> Column:
+    return F.greatest(F.lit(FLOOR), F.log((docs - df + 0.5) / (df + 0.5)))
+
+
+def _gain(tf: Column, n: Column, mean: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
+
+
+def bm25(counts: DataFrame, places: Sequence[int], k: int) -> DataFrame:
+    """The k chunks of highest BM25 score for some of the terms that were counted (by place): chunk_id, score (6 digits).
+
+    The corpus' statistics are one row, joined to every chunk.
+    """
+    width = max(places, default=-1) + 1
+    has = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"d{i}") for i in range(width)]
+    stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *has)
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = max(FLOOR, log((stats["docs"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)))
-        tf = F.get("tf", F.lit(i))
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n") / F.lit(stats["mean"] or 1.0)))
-    return top(counted.select("chunk_id", F.round(score, 6).alias("score")).where("score > 0"), k)
+    for i in places:
+        score = score + _idf(F.col("docs"), F.col(f"d{i}")) * _gain(F.get("tf", F.lit(i)), F.col("n"), F.col("mean"))
+    some = counts.where(F.exists("tf", lambda x: x > 0))
+    return top(some.join(F.broadcast(stats)).select("chunk_id", F.round(score, 6).alias("score")).where("score > 0"), k)  # one row
+
+
+def bm25_from_index(index: DataFrame, terms: DataFrame, corpus: DataFrame, asked: Sequence[str], k: int) -> DataFrame:
+    """The same from the tables of an index: postings (of which only the asked terms' are read), df of terms, one row of
+    docs and mean."""
+    wanted = F.col("term").isin(list(asked))
+    weighted = terms.where(wanted).join(F.broadcast(corpus)).select("term", _idf(F.col("docs"), F.col("df")).alias("idf"), "mean")
+    hits = index.where(wanted).join(weighted, "term")
+    score = F.round(F.sum(F.col("idf") * _gain(F.col("tf"), F.col("n"), F.col("mean"))), 6)
+    return top(hits.groupBy("chunk_id").agg(score.alias("score")).where("score > 0"), k)
+
+
+def corpus_statistics(chunks: DataFrame) -> DataFrame:
+    """One row: docs (chunks) and mean (their words)."""
+    counts = term_counts(chunks, [])
+    return counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
 
 
 def term_statistics(chunks: DataFrame) -> DataFrame:

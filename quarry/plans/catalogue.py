@@ -11,6 +11,7 @@ from quarry.functions.numeric import Constraint
 from quarry.functions.text import clip, range_text, stable_id, words, year_of
 from quarry.operators import access, changes, chunking, entities, extraction, facts, graph, retrieval, summaries
 from quarry.plans.views import PRELUDE, Views
+from quarry.sources.shared import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -141,7 +142,12 @@ _DENSE = "(SELECT vec_id AS chunk_id, round(list_dot_product(embedding::DOUBLE[]
 
 @query(f"SELECT * FROM {_bm25_sql(TERMS, 50)}")
 def bm25_topk(v: Views) -> DataFrame:
-    return retrieval.bm25(v.chunks(), TERMS, 50)
+    return retrieval.bm25(retrieval.term_counts(v.chunks(), TERMS), range(len(TERMS)), 50)
+
+
+@query(f"SELECT * FROM {_bm25_sql(TERMS, 50)}")
+def bm25_postings(v: Views) -> DataFrame:
+    return retrieval.bm25_from_index(retrieval.postings(v.chunks()), retrieval.term_statistics(v.chunks()), retrieval.corpus_statistics(v.chunks()), TERMS, 50)
 
 
 _overlay = " + ".join(f"CASE WHEN contains(t, '{t}') THEN 1 + 0.15 * least((length(t) - length(replace(t, '{t}', ''))) / {len(t)}, 8) ELSE 0 END" for t in TERMS)
@@ -165,7 +171,10 @@ _FUSED = f"(SELECT chunk_id, round(sum(part), 8) AS score FROM ({_branch_sql(_DE
 
 
 def _fused(v: Views) -> DataFrame:
-    branches = [(retrieval.dense(v.vectors(), v.query_vector(), 100), retrieval.DENSE_WEIGHT), (retrieval.bm25(v.chunks(), TERMS, 100), retrieval.ORIGINAL_WEIGHT), (retrieval.bm25(v.chunks(), WIDER, 100), retrieval.EXPANDED_WEIGHT)]
+    terms = list(dict.fromkeys([*TERMS, *WIDER]))
+    counts = saved(retrieval.term_counts(v.chunks(), terms))
+    lexical = [(retrieval.bm25(counts, [terms.index(t) for t in asked], 100), weight) for asked, weight in ((TERMS, retrieval.ORIGINAL_WEIGHT), (WIDER, retrieval.EXPANDED_WEIGHT))]
+    branches = [(retrieval.dense(v.vectors(), v.query_vector(), 100), retrieval.DENSE_WEIGHT), *lexical]
     return retrieval.fuse(branches)
 
 

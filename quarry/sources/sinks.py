@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import relation_type
 from quarry.operators.changes import repeated_keys, typed, upserted
-from quarry.operators.retrieval import postings, term_statistics
+from quarry.operators.retrieval import corpus_statistics, postings, term_statistics
 
 
 def explode_documents(documents: DataFrame) -> dict[str, DataFrame]:
@@ -44,6 +44,7 @@ def build_index(chunks: DataFrame, values: DataFrame, folder: str) -> None:
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     postings(chunks).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
     term_statistics(chunks).write.mode("overwrite").parquet(f"{folder}/terms")
+    corpus_statistics(chunks).write.mode("overwrite").parquet(f"{folder}/corpus")
     values.repartitionByRange("parameter", "fact_id").sortWithinPartitions("parameter").write.mode("overwrite").parquet(f"{folder}/values")
 
 
