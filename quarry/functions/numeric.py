@@ -40,7 +40,17 @@ def compare(value: Column, c: Constraint) -> Column:
         return F.lit(True) if c.high is None else value < c.high if c.operator == "<" else value <= c.high
     if c.operator in (">", ">="):
         return F.lit(True) if c.low is None else value > c.low if c.operator == ">" else value >= c.low
-    return F.abs(value - F.lit(c.low)) <= 1e-9
+    return F.lit(True) if c.low is None else F.abs(value - F.lit(c.low)) <= 1e-9
+
+
+def holds(value: float, c: Constraint) -> bool:
+    """The same for a number in Python."""
+    low, high = c.low, c.high
+    if c.operator == "=":
+        return low is None or abs(value - low) <= 1e-9
+    above = {">": lambda: value > low, ">=": lambda: value >= low, "between": lambda: value >= low}.get(c.operator)
+    below = {"<": lambda: value < high, "<=": lambda: value <= high, "between": lambda: value <= high}.get(c.operator)
+    return (above is None or low is None or above()) and (below is None or high is None or below())
 
 
 def numeric_predicate(c: Constraint, mode: str = "range", value: str = "value", low: str = "value_min", high: str = "value_max") -> Column:

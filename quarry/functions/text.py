@@ -14,14 +14,6 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != "")
 
 
-def query_terms(query: str, stop: frozenset[str] = frozenset(), most: int = 24) -> list[str]:
-    """A query's terms: distinct, in order, without stop words and single characters."""
-    import re
-
-    found = re.findall(r"[^\W_][\w+.\-]+", query.lower())
-    return [t for t in dict.fromkeys(found) if t not in stop][:most]
-
-
 def clip(text: Column | str, size: int) -> Column:
     """At most `size` characters, with an ellipsis where more were cut."""
     kept = F.trim(text)

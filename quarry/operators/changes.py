@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import relation_type
@@ -59,14 +59,43 @@ def versions(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def patched(facts: DataFrame, patches: DataFrame, fields: Sequence[str] = ("status", "confidence", "geo_scope", "year")) -> DataFrame:
-    """Facts after partial updates (fact_id and some fields; null leaves a field)."""
-    renamed = patches.select("fact_id", *(F.col(f).alias("_" + f) for f in fields if f in patches.columns))
-    joined = facts.join(renamed, "fact_id", "left")
-    for f in fields:
-        if f in patches.columns:
-            joined = joined.withColumn(f, F.coalesce("_" + f, f))
-    return joined.select(facts.columns)
+def patched(facts: DataFrame, patches: DataFrame, fields: Sequence[str] = ("status", "confidence", "geo_scope", "year"), stamp: Column | None = None) -> DataFrame:
+    """Facts after partial updates (fact_id and some fields; null leaves a field), with updated_at where one changed.
+
+    stamp is the time of the update, now by default.  facts without updated_at get the column.
+    """
+    given = [f for f in fields if f in patches.columns]
+    some = F.coalesce(*(F.col(f).cast("string") for f in given)).isNotNull() if given else F.lit(False)
+    renamed = patches.where(some).select("fact_id", *(F.col(f).alias("_" + f) for f in given), F.lit(True).alias("_changed"))
+    joined = facts if "updated_at" in facts.columns else facts.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    columns = joined.columns
+    joined = joined.join(renamed, "fact_id", "left")
+    for f in given:
+        joined = joined.withColumn(f, F.coalesce("_" + f, f))
+    joined = joined.withColumn("updated_at", F.when(F.col("_changed"), F.current_timestamp() if stamp is None else stamp).otherwise(F.col("updated_at")))
+    return joined.select(columns)
+
+
+def version_rows(before: DataFrame, after: DataFrame, existing: DataFrame, changed: DataFrame, by: str, comment: str | None = None) -> DataFrame:
+    """A version for each changed fact (fact_id): fact_id, version (the next one), previous, new (JSON), updated_by, comment."""
+    last = existing.groupBy("fact_id").agg(F.max("version").alias("last"))
+    as_json = lambda rows, name: rows.select("fact_id", F.to_json(F.struct(*(c for c in rows.columns if c != "fact_id"))).alias(name))
+    both = changed.select("fact_id").distinct().join(as_json(before, "previous"), "fact_id").join(as_json(after, "new"), "fact_id").join(last, "fact_id", "left")
+    return both.select("fact_id", (F.coalesce("last", F.lit(0)) + 1).alias("version"), "previous", "new", F.lit(by).alias("updated_by"), F.lit(comment).cast("string").alias("comment"))
+
+
+# fixed values: columns of the audit log
+AUDIT = "id string, user_id string, role string, action string, target_type string, target_id string, query string, payload string, created_at timestamp"
+
+
+def audit_rows(events: DataFrame, stamp: Column | None = None) -> DataFrame:
+    """Events as rows of the audit log, with ids and times: action, and user_id, role, target_type, target_id, query,
+    payload as far as given."""
+    own = {"id": F.concat(F.lit("audit_"), F.substring(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), 1, 12)), "created_at": F.current_timestamp() if stamp is None else stamp}
+    default = {"user_id": "demo_user", "role": "external_partner", "payload": "{}"}
+    columns = [c.split() for c in AUDIT.split(", ")]
+    value = lambda name: own[name] if name in own else F.coalesce(F.col(name), F.lit(default.get(name))) if name in events.columns else F.lit(default.get(name))
+    return events.select(*(value(name).cast(kind).alias(name) for name, kind in columns))
 
 
 def newest(rows: DataFrame, order: Sequence[str], limit: int = 100) -> DataFrame:

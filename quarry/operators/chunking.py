@@ -1,83 +1,218 @@
-"""Documents into chunks: paragraphs packed to a size, long ones cut at sentence ends, tails repeated."""
+"""Documents into chunks: texts mended, parts packed to a size, long ones cut at sentence ends, tails repeated.
+
+Parts (pages, slides, rows, paragraphs, tables) are ordinary rows, sorted by document and streamed through tasks, so a
+long document doesn't have to fit a group.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: characters of a chunk and of the tail that the next one repeats
-TARGET, OVERLAP = 2500, 300
-
+# fixed values: characters of a chunk, of the tail that the next one repeats, and of the shortest chunk of a batch
+TARGET, OVERLAP, LEAST = 2500, 300, 120
+# fixed values: signs that a long paragraph is cut after, the best first
+CUT_AFTER = (". ", "; ", ": ", " ")
+# fixed values: most letters of a heading, the share of capitals beyond which it is one; least characters of a buffer that
+# a sentence end closes, and of the line that opens the next
+HEADING, CAPITALS, CLOSED, OPENED = 80, 0.65, 80, 20
 
-def cut(text: str, target: int = TARGET) -> list[str]:
-    """Pieces of at most `target` characters, ended at the last sentence, clause or space of their second half."""
-    pieces = []
-    while len(text) > target:
-        head = text[:target]
-        end = next((p + len(sign.rstrip()) for sign in (". ", "; ", ": ", " ") if (p := head.rfind(sign)) > target // 2), target)
-        pieces.append(text[:end].strip())
-        text = text[end:].strip()
-    return [p for p in [*pieces, text] if p]
+_PAGE_NUMBER = re.compile(r"\|?\s*\d{1,4}\s*")
+_ITEM = re.compile(r"(?:\d+[.)]|[•-])\s")
+_SIGNS = str.maketrans({"\0": " ", "\r": "\n", "−": "-", "–": "-", "—": "-", "": "•"})
 
 
-def packed(parts: list[tuple[int, str]], target: int = TARGET) -> list[tuple[int, int, str]]:
-    """Parts in order, packed to `target` characters: first and last number, text."""
-    out: list[tuple[int, int, str]] = []
-    for number, text in parts:
-        for piece in cut(text, target):
-            if out and len(out[-1][2]) + 1 + len(piece) <= target:
-                out[-1] = (out[-1][0], number, f"{out[-1][2]}\n{piece}")
-            else:
-                out.append((number, number, piece))
-    return out
+def _heading(line: str) -> bool:
+    letters = [c for c in line if c.isalpha()]
+    return len(line) <= HEADING and bool(letters) and sum(map(str.isupper, letters)) > CAPITALS * len(letters)
 
 
-def chunk_pages(pages: DataFrame, document: str, number: str, text: str, target: int = TARGET) -> DataFrame:
-    """Chunks of documents given as numbered parts (pages, slides, rows, turns): document, chunk, first, last, text.
+def mended(text: str | None) -> str:
+    """A text as paragraphs, one a line: broken lines joined, page numbers left out, dashes and spaces made alike.
 
-    Parts of a document are gathered in its order in sorted partitions and streamed, so a long document doesn't
-    have to fit a group; null and blank parts are left out.
+    Headings, list items, blank lines and ended sentences of long paragraphs begin a new one; a hyphen at a line's end
+    joins a word.
+    """
+    paragraphs = [""]
+    for line in (text or "").replace("\r\n", "\n").translate(_SIGNS).split("\n"):
+        line = " ".join(line.split())
+        if line and _PAGE_NUMBER.fullmatch(line):
+            continue
+        last = paragraphs[-1]
+        if not line:
+            paragraphs.append("")
+        elif not last:
+            paragraphs[-1] = line
+        elif last.endswith("-") and line[0].islower():
+            paragraphs[-1] = last + line
+        elif _heading(line) or _ITEM.match(line) or (last[-1] in ".!?;:" and len(last) > CLOSED and len(line) > OPENED):
+            paragraphs.append(line)
+        else:
+            paragraphs[-1] = f"{last} {line}"
+    return "\n".join(p for p in paragraphs if p)
+
+
+def _cut(paragraph: str, target: int, overlap: int) -> Iterator[str]:
+    """Pieces of a long paragraph, each ended after the last sentence, clause or word of its second half; each begins
+    `overlap` characters before the last one's end."""
+    start = 0
+    while start < len(paragraph):
+        end = min(start + target, len(paragraph))
+        if end < len(paragraph):
+            ends = ((paragraph.rfind(sign, start, end), len(sign)) for sign in CUT_AFTER)
+            end = next((at + size for at, size in ends if at > start + target * 0.5), end)
+        if piece := paragraph[start:end].strip():
+            yield piece
+        if end == len(paragraph):
+            return
+        start = max(end - overlap, start + 1)
+
+
+def pieces(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
+    """A text as chunks: paragraphs packed to `target` characters, long ones cut, each chunk after the tail of the last.
+
+    With tails, chunks may be longer than the target.
     """
-    kind = pages.schema[document].dataType.simpleString()
-    rows = pages.select(F.col(document).alias("document"), F.col(number).cast("int").alias("number"), F.trim(text).alias("text")).where("text <> '' AND document IS NOT NULL")
+    whole = mended(text)
+    if len(whole) <= target:
+        return [whole] if whole else []
+    out: list[str] = []
+    open_chunk = False
+    for paragraph in whole.split("\n"):
+        if open_chunk and len(out[-1]) + 1 + len(paragraph) <= target:
+            out[-1] += "\n" + paragraph
+        elif len(paragraph) <= target:
+            out.append(paragraph)
+            open_chunk = True
+        else:
+            out.extend(_cut(paragraph, target, overlap))
+            open_chunk = False
+    if overlap <= 0:
+        return out
+    tails = ["", *(chunk[-overlap:].strip() for chunk in out)]
+    return [f"{tail}\n{chunk}" if tail else chunk for tail, chunk in zip(tails, out, strict=False)]
+
+
+#: Joins the paragraphs of one part, which are mended each on its own.
+PARAGRAPH_MARK = "\x1e"
+
+_CHUNK = "chunk int, section string, place int, first int, last int, text string"
+
+
+def chunk_parts(parts: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """Chunks of parts: document, chunk (from 0), section, place, first, last, text.
+
+    parts: document, section (a name), place (of the section in the document), number (of the part in the section; null
+    for a part that is cut alone), text.  Parts of one section and place are packed while they fit the target.
+    Null and blank parts, parts without a document, and chunks shorter than `least` are left out.
+    """
+    kind = parts.schema["document"].dataType.simpleString()
+    rows = parts.select("document", "section", F.col("place").cast("int").alias("place"), F.col("number").cast("int").alias("number"), F.col("text").cast("string").alias("text")).where("document IS NOT NULL AND trim(text) <> ''")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int, str]] = []
-        current, index = None, 0
+        made: list[tuple] = []
+        group, held, index = None, [], 0  # the open section, its parts that fit so far, the document's next chunk
 
-        def out(rows: list[tuple[int, int, str]]) -> pd.DataFrame:
+        def close() -> None:
             nonlocal index
-            frame = pd.DataFrame([(current, index + k, a, b, t) for k, (a, b, t) in enumerate(rows)], columns=["document", "chunk", "first", "last", "text"])
-            index += len(rows)
-            return frame
+            if held:
+                document, section, place = group
+                for text in pieces("\n".join(t for _, t in held), target, overlap):
+                    if len(text) >= least:
+                        made.append((document, index, section, place, held[0][0], held[-1][0], text))
+                        index += 1
+            held.clear()
 
         for batch in batches:
-            for document, number, text in batch.itertuples(index=False):
-                if document != current:
-                    if held:
-                        yield out(held)
-                    held, current, index = [], document, 0
-                if held and len(held[-1][2]) < target:
-                    first, _, begun = held.pop()
-                    fresh = packed([(number, text)], target)
-                    if len(begun) + 1 + len(fresh[0][2]) <= target:
-                        fresh[0] = (first, number, f"{begun}\n{fresh[0][2]}")
-                        held.extend(fresh)
-                    else:
-                        held.extend([(first, _, begun), *fresh])
-                else:
-                    held.extend(packed([(number, text)], target))
-                if len(held) > 100:
-                    yield out(held[:-1])
-                    held = held[-1:]
-        if held:
-            yield out(held)
-
-    ordered = rows.repartition("document").sortWithinPartitions("document", "number", "text")
-    return ordered.mapInPandas(pack, f"document {kind}, chunk int, first int, last int, text string")
+            for document, section, place, number, text in batch.itertuples(index=False):
+                number = None if pd.isna(number) else int(number)
+                key = (document, section, place)
+                text = "\n".join(filter(None, map(mended, text.split(PARAGRAPH_MARK))))
+                if key != group or number is None or sum(len(t) + 1 for _, t in held) + len(text) > target:
+                    close()
+                if group is None or document != group[0]:
+                    index = 0
+                group = key
+                if text:
+                    held.append((number, text))
+            frame = pd.DataFrame(made, columns=["document", *(c.split()[0] for c in _CHUNK.split(", "))])
+            made.clear()
+            yield frame.astype({"first": "Int32", "last": "Int32"})
+        close()
+        yield pd.DataFrame(made, columns=["document", *(c.split()[0] for c in _CHUNK.split(", "))]).astype({"first": "Int32", "last": "Int32"})
+
+    ordered = rows.repartition("document").sortWithinPartitions("document", "place", "section", "number", "text")
+    return ordered.mapInPandas(pack, f"document {kind}, {_CHUNK}")
+
+
+def chunk_pages(pages: DataFrame, document: str, number: str, text: str, target: int = TARGET, overlap: int = 0, least: int = 1) -> DataFrame:
+    """Chunks of documents given as numbered parts (pages, slides, turns): document, chunk, first, last, text."""
+    parts = pages.select(F.col(document).alias("document"), F.lit("page_text").alias("section"), F.lit(0).alias("place"), F.col(number).alias("number"), F.col(text).alias("text"))
+    return chunk_parts(parts, target, overlap, least).drop("section", "place")
+
+
+def chunk_rows(rows: DataFrame, document: str, sheet: str, number: str, cells: list[str], target: int = TARGET, overlap: int = 0, least: int = 1) -> DataFrame:
+    """Chunks of spreadsheet rows, sheet by sheet (in order of names): document, chunk, sheet, first, last, text."""
+    place = F.dense_rank().over(Window.partitionBy(document).orderBy(sheet))
+    text = _row_text(F.col(number), F.array(*(F.col(c).cast("string") for c in cells)))
+    parts = rows.select(F.col(document).alias("document"), F.col(sheet).cast("string").alias("section"), place.alias("place"), F.col(number).alias("number"), text.alias("text"))
+    return chunk_parts(parts, target, overlap, least).withColumnRenamed("section", "sheet").drop("place")
+
+
+def _row_text(number, cells):  # noqa: ANN001, ANN202
+    """A table row as text, nothing where all cells are empty."""
+    shown = F.filter(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    return F.when(F.size(shown) > 0, F.concat(F.lit("row_"), number, F.lit(": "), F.array_join(shown, " | ")))
+
+
+def document_parts(documents: DataFrame) -> DataFrame:
+    """Parsed documents as parts for `chunk_parts`, by content_type (pages, document, slides, spreadsheet; others have none).
+
+    documents: document_id, content_type, pages and slides (arrays of number and text), paragraphs (array of strings),
+    tables (array of table_index and rows), sheets (array of sheet_name and rows); rows are arrays of cells.
+    """
+    of = lambda kind: documents.where(F.col("content_type") == kind)
+
+    def part(section, place, number, text):  # noqa: ANN001, ANN202
+        return ["document_id", section.alias("section"), place.cast("int").alias("place"), number.cast("int").alias("number"), text.alias("text")]
+
+    none, one = F.lit(None), F.lit(0)
+    row_texts = lambda rows: F.transform(rows, lambda cells, k: _row_text(k + 1, cells))
+    pages = of("pages").select("document_id", F.inline("pages")).toDF("document_id", "number", "text").select(*part(F.lit("page_text"), one, F.col("number"), F.col("text")))
+    slides = of("slides").select("document_id", F.inline("slides")).toDF("document_id", "number", "text").select(*part(F.lit("slide_text"), one, F.col("number"), F.col("text")))
+    plain = of("document").select(*part(F.lit("paragraph_text"), one, none, F.array_join("paragraphs", PARAGRAPH_MARK)))
+    tables = of("document").select("document_id", F.inline("tables")).toDF("document_id", "at", "rows").select(*part(F.concat(F.lit("table_"), F.col("at")), F.col("at") + 1, none, F.array_join(row_texts(F.col("rows")), "\n")))
+    sheets = of("spreadsheet").select("document_id", F.posexplode("sheets").alias("at", "sheet")).select("document_id", "at", "sheet.*").toDF("document_id", "at", "name", "rows")
+    lines = sheets.select("document_id", "at", "name", F.posexplode(row_texts(F.col("rows"))).alias("k", "text")).select(*part(F.col("name"), F.col("at"), F.col("k") + 1, F.col("text")))
+    out = pages
+    for more in (slides, plain, tables, lines):
+        out = out.unionByName(more)
+    return out.withColumnRenamed("document_id", "document")
+
+
+def chunk_documents(documents: DataFrame, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """Chunks of parsed documents with ids: chunk_id and the columns of `chunk_parts`."""
+    made = chunk_parts(document_parts(documents), target, overlap, least)
+    mark = F.concat_ws(":", "document", "chunk", F.substring(F.sha1(F.col("text").cast("binary")), 1, 12))
+    return made.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.substring(F.sha1(mark.cast("binary")), 1, 16)))
+
+
+def chunk_online(pages: DataFrame, document: str, number: str, text: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of an uploaded document's pages, each page by itself and short ones too: chunk_id, document, chunk, page, text."""
+    parts = pages.select(F.col(document).alias("document"), F.lit("page_text").alias("section"), F.col(number).alias("place"), F.lit(None).cast("int").alias("number"), F.col(text).alias("text"))
+    made = chunk_parts(parts, target, overlap, 1)
+    mark = F.concat_ws(":", "document", "chunk", F.substring("text", 1, 200))
+    chunk_id = F.concat(F.lit("chunk_"), F.substring(F.sha1(mark.cast("binary")), 1, 18))
+    return made.select(chunk_id.alias("chunk_id"), "document", "chunk", F.col("place").alias("page"), "text")
+
+
+def counters(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Chunks of each combination of attributes (unknown where missing): the attributes, cnt."""
+    return chunks.groupBy(*(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in columns)).agg(F.count("*").alias("cnt"))
 
 
 def with_tails(chunks: DataFrame, document: str, order: str, size: int = OVERLAP) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import Constraint, numeric_predicate
+from quarry.functions.terms import holding
 from quarry.operators.access import visible
+from quarry.operators.retrieval import bm25_scores, term_counts
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,8 @@ class FactFilter:
     status: str | None = None
     fact_type: str | None = None
     numeric: Sequence[Constraint] = field(default_factory=tuple)
+    verification_level: str | None = None
+    source_type: str | None = None
 
     def column(self) -> Column:
         checks = [
@@ -39,6 +43,8 @@ class FactFilter:
             (bool(self.countries), lambda: F.col("country").isin(list(self.countries))),
             (self.status is not None, lambda: F.col("status") == self.status),
             (self.fact_type is not None, lambda: F.col("fact_type") == self.fact_type),
+            (self.verification_level is not None, lambda: F.col("verification_level") == self.verification_level),
+            (self.source_type is not None, lambda: F.col("source_type") == self.source_type),
         ]
         found = F.lit(True)
         for asked, make in checks:
@@ -86,6 +92,46 @@ def with_names(facts: DataFrame, links: DataFrame, entities: DataFrame) -> DataF
     return facts.join(names, "fact_id", "left")
 
 
+def with_values(facts: DataFrame, values: DataFrame) -> DataFrame:
+    """Adds the sorted distinct values of each fact (numeric_values: parameter, value, value_min, value_max, unit)."""
+    near = values.join(facts.select("fact_id").distinct(), "fact_id", "left_semi")
+    each = F.struct("parameter", "value", "value_min", "value_max", "unit")
+    gathered = near.groupBy("fact_id").agg(F.array_sort(F.collect_set(each)).alias("numeric_values"))
+    return facts.join(gathered, "fact_id", "left")
+
+
+@dataclass(frozen=True)
+class Hints:
+    """What a query's plan says about facts: each condition that a fact meets raises its place; terms are looked for in
+    the names of its entities, explicit ones first."""
+
+    explicit_terms: Sequence[str] = ()
+    terms: Sequence[str] = ()
+    year_from: int | None = None
+    year_to: int | None = None
+    geo_scope: str | None = None
+    countries: Sequence[str] = ()
+    status: str | None = None
+    fact_type: str | None = None
+    verification_level: str | None = None
+    source_type: str | None = None
+
+    def score(self) -> Column:
+        """How many of the conditions hold (unknown ones don't), over year, country and the rest of a joined row."""
+        met = [
+            (self.year_from is not None or self.year_to is not None, lambda: F.col("year").between(self.year_from if self.year_from is not None else -(10**6), self.year_to if self.year_to is not None else 10**6)),
+            (bool(self.countries), lambda: F.col("country").isin(list(self.countries))),
+            *((getattr(self, c) is not None, lambda c=c: F.col(c) == getattr(self, c)) for c in ("geo_scope", "status", "fact_type", "verification_level", "source_type")),
+        ]
+        return sum((F.when(make(), 1).otherwise(0) for asked, make in met if asked), F.lit(0))
+
+
+def or_of_source(joined: DataFrame, name: str) -> DataFrame:
+    """Fills a fact's attribute from its source's (source_<name>) where the fact has none."""
+    own, other = name in joined.columns, f"source_{name}" in joined.columns
+    return joined.withColumn(name, F.coalesce(name, f"source_{name}")) if own and other else joined.withColumnRenamed(f"source_{name}", name) if other else joined
+
+
 def bridge(hits: DataFrame, facts: DataFrame, sources: DataFrame, role: str, matches: Sequence[Column], limit: int = 50) -> DataFrame:
     """Facts that retrieved texts support (hits: fact_id, score), best first.
 
@@ -99,10 +145,50 @@ def bridge(hits: DataFrame, facts: DataFrame, sources: DataFrame, role: str, mat
     return found.orderBy(*order, "fact_id", "source_id").limit(limit)
 
 
+def bridge_chunks(hits: DataFrame, supported: DataFrame, facts: DataFrame, sources: DataFrame, names: DataFrame, role: str, hints: Hints, hard: FactFilter | None = None, limit: int = 50) -> DataFrame:
+    """Facts that retrieved chunks support, by the edges from facts to chunks, best first.
+
+    hits: chunk_id, score; supported: fact_id, chunk_id; names: fact_id, name (of the fact's entities).  Sources may have
+    source_year and source_country, which stand in for a fact's unknown year and country, in hard conditions too.
+    Order: entities that hold explicit terms, retrieval_score, plan_score, entities that hold other terms, confidence,
+    year, all descending with unknown ones first; then ids.
+    """
+    scores = hits.groupBy("chunk_id").agg(F.max("score").alias("score"))
+    best = supported.join(scores, "chunk_id").groupBy("fact_id").agg(F.max("score").alias("retrieval_score"))
+    found = with_sources(facts.join(best, "fact_id"), sources, role)
+    for name in ("year", "country"):
+        found = or_of_source(found, name)
+    found = found.where((hard or FactFilter()).column())
+    gathered = names.join(best.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id").agg(F.collect_set("name").alias("_names"))
+    found = found.join(gathered, "fact_id", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>")))
+    scored = found.select("*", hints.score().alias("plan_score"), holding("_names", hints.explicit_terms).alias("explicit_score"), holding("_names", hints.terms).alias("entity_score")).drop("_names")
+    order = [F.desc_nulls_first(c) for c in ("explicit_score", "retrieval_score", "plan_score", "entity_score", "confidence", "year")]
+    return scored.orderBy(*order, "fact_id", "source_id").limit(limit)
+
+
+def full_text(facts: DataFrame, sources: DataFrame, role: str, terms: Sequence[str], limit: int = 50, text: str = "claim_text") -> DataFrame:
+    """Facts whose text holds one of some terms, by BM25 over all facts' texts, confidence and year: with full_text_score.
+
+    Without terms there are none.
+    """
+    if not terms:
+        return with_sources(facts, sources, role).withColumn("full_text_score", F.lit(0.0)).limit(0)
+    texts = facts.select(F.col("fact_id").alias("chunk_id"), F.col(text).alias("text")).distinct()
+    scores = bm25_scores(term_counts(texts, terms), range(len(terms))).select(F.col("chunk_id").alias("fact_id"), F.col("score").alias("full_text_score"))
+    found = with_sources(facts, sources, role).join(scores, "fact_id")
+    return found.orderBy(F.desc("full_text_score"), F.desc_nulls_first("confidence"), F.desc_nulls_first("year"), "fact_id", "source_id").limit(limit)
+
+
+def or_else(first: DataFrame, second: DataFrame) -> DataFrame:
+    """The first table's rows, or the second's where the first has none.  Both are bounded lists with the same columns."""
+    none = first.limit(1).agg((F.count("*") == 0).alias("_none")).where("_none").drop("_none")
+    return first.unionByName(second.join(F.broadcast(none)))
+
+
 def in_request_order(facts: DataFrame, ids: Sequence[int]) -> DataFrame:
     """Facts by id, with the place of each in the request (ordinal, from 1)."""
     wanted = facts.sparkSession.createDataFrame([(i, k) for k, i in enumerate(ids, 1)], "fact_id bigint, ordinal int")
-    return facts.join(F.broadcast(wanted), "fact_id").orderBy("ordinal")  # a request's ids, not data
+    return facts.join(wanted, "fact_id").orderBy("ordinal")  # Spark broadcasts a request's ids by their size
 
 
 def missing(facts: DataFrame, ids: Sequence[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.access import visible
 from quarry.sources.shared import saved
 
 # fixed values: the deepest neighbourhood and the longest path that may be asked for
@@ -73,6 +74,34 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return touching[0].unionByName(touching[1]).distinct()
 
 
+def visible_part(nodes: DataFrame, edges: DataFrame, role: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that a role may walk: every path over them is one that it may see.
+
+    nodes: node, label, access_level; edges: src, dst, type, access_level.  Left out are sources that the role may not
+    see, facts that no source it may see describes (DESCRIBED_IN), and edges of a level it may not see.
+    """
+    sources = nodes.where((F.col("label") == "Source") & visible(role)).select("node")
+    described = edges.where("type = 'DESCRIBED_IN'").join(sources.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+    seen = sources.unionByName(described).distinct()
+    bound = F.col("label").isin("Source", "Fact")
+    kept = nodes.where(~bound).unionByName(nodes.where(bound).join(seen, "node", "left_semi"))
+    open_edges = edges.where(F.col("access_level").isNull() | visible(role))
+    for end in ("src", "dst"):
+        open_edges = open_edges.join(kept.select(F.col("node").alias(end)), end, "left_semi")
+    return kept, open_edges
+
+
+def visible_nodes(nodes: DataFrame, edges: DataFrame, asked: DataFrame, role: str) -> DataFrame:
+    """Which of some nodes (node) a role may look at: sources that it may see, nodes within three hops of one, and nodes
+    with an edge of a level that it may see.  This is looser than `visible_part`."""
+    sources = nodes.where((F.col("label") == "Source") & visible(role)).select("node").distinct()
+    near = _spread(edges, asked, 3)
+    # an asked node sees a source within three hops if the source reaches it within three
+    reached = neighbours(edges, near.select("node").join(sources, "node", "left_semi"), 3).select("node")
+    touched = undirected(edges.where(F.col("access_level").isNotNull() & visible(role))).select(F.col("src").alias("node"))
+    return asked.select("node").distinct().join(reached.unionByName(touched).distinct(), "node", "left_semi")
+
+
 def shown(nodes: DataFrame) -> DataFrame:
     """Nodes by id once, with a title: claim, canonical name, title, name or id (whichever is there first)."""
     there = [F.col(c) for c in ("claim_text", "canonical_name", "title", "name") if c in nodes.columns]

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.numeric import Constraint, numeric_predicate
 from quarry.functions.text import SEPARATORS, words
 
 # fixed values: public constants of BM25, and weights of fusion
@@ -42,7 +43,12 @@ def _gain(tf: Column, n: Column, mean: Column) -> Column:
 
 
 def bm25(counts: DataFrame, places: Sequence[int], k: int) -> DataFrame:
-    """The k chunks of highest BM25 score for some of the terms that were counted (by place): chunk_id, score (6 digits).
+    """The k chunks of highest BM25 score for some of the terms that were counted (by place): chunk_id, score (6 digits)."""
+    return top(bm25_scores(counts, places), k)
+
+
+def bm25_scores(counts: DataFrame, places: Sequence[int]) -> DataFrame:
+    """The BM25 score of every chunk that has a term: chunk_id, score (6 digits).
 
     The corpus' statistics are one row, joined to every chunk.
     """
@@ -53,7 +59,7 @@ def bm25(counts: DataFrame, places: Sequence[int], k: int) -> DataFrame:
     for i in places:
         score = score + _idf(F.col("docs"), F.col(f"d{i}")) * _gain(F.get("tf", F.lit(i)), F.col("n"), F.col("mean"))
     some = counts.where(F.exists("tf", lambda x: x > 0))
-    return top(some.join(F.broadcast(stats)).select("chunk_id", F.round(score, 6).alias("score")).where("score > 0"), k)  # one row
+    return some.join(F.broadcast(stats)).select("chunk_id", F.round(score, 6).alias("score")).where("score > 0")  # one row
 
 
 def bm25_from_index(index: DataFrame, terms: DataFrame, corpus: DataFrame, asked: Sequence[str], k: int) -> DataFrame:
@@ -131,6 +137,59 @@ def rerank(hits: DataFrame, logit: Column, k: int = RRF_K) -> DataFrame:
     return placed.select(*hits.columns, final.alias("final_score"))
 
 
+def dense_overlay(base: DataFrame, overlay: DataFrame, query: Sequence[float], k: int, overlay_k: int) -> DataFrame:
+    """Nearest vectors of a base and of an overlay, each with a number of its own; a chunk in both counts with its overlay."""
+    newer = dense(overlay, query, overlay_k)
+    older = dense(base.join(overlay.select("chunk_id"), "chunk_id", "left_anti"), query, k)
+    return older.unionByName(newer)
+
+
+def widened(k: int, strict: bool, factor: int = 10) -> int:
+    """How many hits a branch gives where later filters (years, source types, values) will drop many."""
+    return k * factor if strict else k
+
+
+def in_years(year: Column | str, first: int | None, last: int | None) -> Column:
+    """Whether a year, given as a number or text, lies in a range; unknown ones and those outside 1900 to 2100 don't."""
+    number = (F.col(year) if isinstance(year, str) else year).cast("string").try_cast("int")
+    return F.coalesce(number.between(max(1900, first or 1900), min(2100, last or 2100)), F.lit(False))
+
+
+def meeting_all(candidates: DataFrame, values: DataFrame, overlay: DataFrame, constraints: Sequence[Constraint]) -> DataFrame:
+    """Candidate chunks with a value for each constraint: of the base by ranges, of the overlay by points.
+
+    values and overlay: chunk_id, parameter, value, value_min, value_max, unit.  One aggregate over both.
+    """
+    if not constraints:
+        return candidates
+
+    def met(rows: DataFrame, mode: str) -> DataFrame:
+        each = [(F.col("parameter") == c.parameter) & numeric_predicate(c, mode) & (F.lit(True) if c.unit is None else F.col("unit") == c.unit) for c in constraints]
+        flags = rows.select("chunk_id", *(F.coalesce(e, F.lit(False)).alias(f"met{k}") for k, e in enumerate(each)))
+        return flags.where(" OR ".join(f"met{k}" for k in range(len(each))))
+
+    both = met(values, "range").unionByName(met(overlay, "point"))
+    whole = both.groupBy("chunk_id").agg(*(F.max(f"met{k}").alias(f"met{k}") for k in range(len(constraints))))
+    return candidates.join(whole.where(" AND ".join(f"met{k}" for k in range(len(constraints)))).select("chunk_id"), "chunk_id", "left_semi")
+
+
+def classes_first(hits: DataFrame, classes: Sequence[tuple[Column, int]]) -> DataFrame:
+    """A pool's hits in a new order (place, from 1): of each class in turn the first few, then all others by score.
+
+    classes: a condition and how many of its hits go first; a hit is of the first class whose condition it meets.
+    """
+    kind = F.lit(len(classes))
+    for number, (condition, _) in reversed(list(enumerate(classes))):
+        kind = F.when(condition, number).otherwise(kind)
+    sorted_in = F.row_number().over(Window.partitionBy("_kind").orderBy(F.desc("score"), "chunk_id"))
+    placed = hits.withColumn("_kind", kind).withColumn("_in", sorted_in)
+    ahead = F.lit(False)
+    for number, (_, most) in enumerate(classes):
+        ahead = ahead | ((F.col("_kind") == number) & (F.col("_in") <= most))
+    order = [F.when(ahead, F.col("_kind")).otherwise(len(classes)), F.desc("score"), F.col("chunk_id")]
+    return placed.withColumn("place", F.row_number().over(Window.orderBy(*order))).drop("_kind", "_in")
+
+
 def eligible(hits: DataFrame, chunks: DataFrame, condition: Column) -> DataFrame:
     """Hits with their chunks' attributes, of chunks that meet a condition (after ranking, as filters are)."""
     return hits.join(chunks.where(condition), "chunk_id")

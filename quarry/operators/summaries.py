@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quarry.operators.facts import ranked
 
 
-def coverage(facts: DataFrame, links: DataFrame, values: DataFrame) -> DataFrame:
-    """Distinct facts (rows of facts with visible sources), sources, entities and values: label, cnt."""
+def coverage(facts: DataFrame, links: DataFrame, values: DataFrame, supported: DataFrame) -> DataFrame:
+    """Distinct facts (rows of facts with visible sources), sources, chunks, entities and values: label, cnt."""
     visible = facts.select("fact_id").distinct()
     counted = {
-        "facts": facts.agg(F.count_distinct("fact_id").alias("cnt")),
+        "facts": visible.agg(F.count("*").alias("cnt")),
         "sources": facts.agg(F.count_distinct("source_id").alias("cnt")),
+        "chunks": supported.join(visible, "fact_id", "left_semi").agg(F.count_distinct("chunk_id").alias("cnt")),
         "entities": links.join(visible, "fact_id", "left_semi").agg(F.count_distinct("entity_id").alias("cnt")),
         "values": values.join(visible, "fact_id", "left_semi").agg(F.count("*").alias("cnt")),
     }
@@ -46,7 +47,7 @@ def weak_topics(facts: DataFrame, links: DataFrame, entities: DataFrame, most: i
 def compare(facts: DataFrame, key: str, limit: int = 500) -> DataFrame:
     """The first facts by rank, grouped: key, cnt, confidence (mean; unknown counts 0), by key."""
     name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("unknown")).alias(key)
-    mean = F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 4).alias("confidence")
+    mean = F.round(F.avg(F.coalesce("confidence", F.lit(0.0))), 3).alias("confidence")
     return ranked(facts, limit).groupBy(name).agg(F.count("*").alias("cnt"), mean).orderBy(key)
 
 

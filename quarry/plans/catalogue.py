@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.engine import Engine, Query
 from quarry.functions.numeric import Constraint
+from quarry.functions.terms import topic_stems
 from quarry.functions.text import clip, range_text, stable_id, words, year_of
-from quarry.operators import access, changes, chunking, entities, extraction, facts, graph, retrieval, summaries
+from quarry.operators import access, changes, chunking, entities, experts, extraction, facts, graph, projections, records, retrieval, summaries
 from quarry.plans.views import PRELUDE, Views
 from quarry.sources.shared import saved
 
@@ -47,10 +49,11 @@ def plan_search(v: Views) -> DataFrame:
 
 
 @query("""SELECT 'facts' AS label, count(DISTINCT fact_id) AS cnt FROM seen UNION ALL SELECT 'sources', count(DISTINCT source_id) FROM seen
+UNION ALL SELECT 'chunks', count(DISTINCT chunk_id) FROM supported WHERE fact_id IN (SELECT fact_id FROM seen)
 UNION ALL SELECT 'entities', count(DISTINCT entity_id) FROM about WHERE fact_id IN (SELECT fact_id FROM seen)
 UNION ALL SELECT 'values', count(*) FROM param WHERE fact_id IN (SELECT fact_id FROM seen)""")
 def coverage_counts(v: Views) -> DataFrame:
-    return summaries.coverage(_seen(v), v.about(), v.values())
+    return summaries.coverage(_seen(v), v.about(), v.values(), v.supported())
 
 
 @query("SELECT name, count(DISTINCT fact_id) AS facts FROM seen JOIN about USING (fact_id) JOIN entity USING (entity_id) GROUP BY name ORDER BY facts DESC, name LIMIT 20")
@@ -69,11 +72,11 @@ def facts_by_status(v: Views) -> DataFrame:
 
 
 @query("""SELECT e.name, count(DISTINCT x.fact_id) AS facts FROM (SELECT DISTINCT canonical_name || ' ' || name AS name, entity_id FROM entity) e
-LEFT JOIN (SELECT entity_id, fact_id FROM about WHERE fact_id IN (SELECT fact_id FROM seen WHERE year = 1995)) x USING (entity_id)
-GROUP BY e.name HAVING count(DISTINCT x.fact_id) <= 1 ORDER BY facts, name LIMIT 10""")
+LEFT JOIN (SELECT entity_id, fact_id FROM about WHERE fact_id IN (SELECT fact_id FROM seen)) x USING (entity_id)
+GROUP BY e.name HAVING count(DISTINCT x.fact_id) <= 20 ORDER BY facts, name LIMIT 10""")
 def weak_topics(v: Views) -> DataFrame:
     named = v.entities().withColumn("name", F.concat_ws(" ", "canonical_name", "name"))
-    return summaries.weak_topics(_seen(v).where("year = 1995"), v.about(), named)
+    return summaries.weak_topics(_seen(v), v.about(), named, most=20)
 
 
 @query("SELECT count(*) FILTER (status = 'contradicted') AS contradictions FROM seen")
@@ -210,10 +213,12 @@ def retrieve_strict(v: Views) -> DataFrame:
 
 
 @query(f"""SELECT chunk_id, document_id, score FROM (SELECT chunk_id, document_id, score, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) AS place FROM {_FUSED} JOIN chunk USING (chunk_id)
-WHERE document_id NOT IN (SELECT source FROM documents WHERE doc_id < 10)) WHERE place = 1""")
+WHERE document_id NOT IN (SELECT source FROM (SELECT source, count(*) AS n, avg(count(*)) OVER () AS mean FROM documents GROUP BY source) WHERE n > mean)) WHERE place = 1""")
 def source_surfacing(v: Views) -> DataFrame:
     hits = retrieval.eligible(_fused(v), v.chunks(), F.lit(True))
-    return retrieval.surfaced(hits, v.chunks().where("chunk_id < 10")).select("chunk_id", "document_id", "score")
+    sizes = v.chunks().groupBy("document_id").agg(F.count("*").alias("n"))
+    larger = sizes.join(F.broadcast(sizes.agg(F.avg("n").alias("mean")))).where("n > mean")  # documents of many chunks are known
+    return retrieval.surfaced(hits, larger).select("chunk_id", "document_id", "score")
 
 
 @query("""SELECT fact_id, source_id, retrieval_score, plan_score FROM (SELECT s.*, retrieval_score, CASE WHEN year >= 1998 THEN 1 ELSE 0 END + CASE WHEN geo_scope = 'ASIA' THEN 1 ELSE 0 END + CASE WHEN status = 'expert_verified' THEN 1 ELSE 0 END AS plan_score
@@ -230,7 +235,7 @@ def _compare(key: str) -> None:
         return summaries.compare(_seen(v), key)
 
     make.__name__ = "compare_by_geo" if key == "geo_scope" else f"compare_by_{key}"
-    query(f"SELECT coalesce(nullif({key}, ''), 'unknown') AS {key}, count(*) AS cnt, round(avg(coalesce(confidence, 0)), 4) AS confidence FROM (SELECT * FROM seen ORDER BY confidence DESC NULLS FIRST, year DESC NULLS FIRST, fact_id LIMIT 500) GROUP BY 1 ORDER BY 1")(make)
+    query(f"SELECT coalesce(nullif({key}, ''), 'unknown') AS {key}, count(*) AS cnt, round(avg(coalesce(confidence, 0)), 3) AS confidence FROM (SELECT * FROM seen ORDER BY confidence DESC NULLS FIRST, year DESC NULLS FIRST, fact_id LIMIT 500) GROUP BY 1 ORDER BY 1")(make)
 
 
 _compare("geo_scope")
@@ -354,9 +359,16 @@ def text_clip(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", clip("text", 240).alias("preview"))
 
 
-@query("""SELECT fact_id, parameter, CASE WHEN value_min IS NOT NULL AND value_max IS NOT NULL THEN regexp_replace(value_min::VARCHAR, '\\.0$', '') || '–' || regexp_replace(value_max::VARCHAR, '\\.0$', '') END AS shown FROM param WHERE parameter = 'quantity'""")
+_shown = "regexp_replace(({})::DOUBLE::VARCHAR, '\\.0$', '')"
+
+
+@query(f"""SELECT DISTINCT l_orderkey, l_partkey, CASE l_returnflag WHEN 'N' THEN {_shown.format("l_quantity")} || '–' || {_shown.format("l_quantity + 5")} WHEN 'A' THEN '≥' || {_shown.format("l_quantity")}
+ELSE CASE WHEN l_linestatus = 'F' THEN {_shown.format("l_quantity")} ELSE '≤' || {_shown.format("l_quantity + 5")} END END AS shown FROM lineitem""", prelude=False)
 def range_labels(v: Views) -> DataFrame:
-    return v.values().where("parameter = 'quantity'").select("fact_id", "parameter", range_text("value_min", "value", "value_max").alias("shown"))
+    low, high = F.col("l_quantity").cast("double"), (F.col("l_quantity") + 5).cast("double")
+    flag, final = F.col("l_returnflag"), F.col("l_linestatus") == "F"
+    ends = [F.when(flag.isin("N", "A"), low).alias("low"), F.when((flag == "R") & final, low).alias("value"), F.when((flag == "N") | ((flag == "R") & ~final), high).alias("high")]
+    return v.table("lineitem").select("l_orderkey", "l_partkey", *ends).select("l_orderkey", "l_partkey", range_text("low", "value", "high").alias("shown")).distinct()
 
 
 @query("SELECT c.chunk_id, len(w) AS n_words FROM tok c")
@@ -386,13 +398,213 @@ def numeric_extract_templated(v: Views) -> DataFrame:
     return extraction.numeric_values(_templated(v)).select("chunk_id", "parameter", "value", "value_min", "value_max", "comparator", "unit")
 
 
-@query()
+_SHARES = "(SELECT DISTINCT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_quantity::INTEGER, round(l_discount * 100)::INTEGER, l_linenumber) AS chunk_id, round(l_discount * 100)::INTEGER AS share FROM lineitem)"
+
+
+@query(f"SELECT chunk_id, share >= 5 AS copper, false AS zinc FROM {_SHARES}", prelude=False)
 def contextual_guard(v: Views) -> DataFrame:
     texts = _templated(v)
-    return extraction.near_material(extraction.numeric_values(texts).where("parameter = 'extraction_recovery' AND value >= 5"), texts, ["copper"]).select("chunk_id", "value")
+    recovery = [Constraint("extraction_recovery", ">=", value=5, unit="%"), Constraint("productivity", ">=", value=0, unit="t/day")]
+    passed = [extraction.guarded(texts, [metal], recovery).select("chunk_id", F.lit(True).alias(name)) for metal, name in (("cu", "copper"), ("zn", "zinc"))]
+    joined = texts.join(passed[0], "chunk_id", "left").join(passed[1], "chunk_id", "left")
+    return joined.select("chunk_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("copper", "zinc")))
 
 
-@query()
+_UNITS_SQL = "|".join(sorted((s.replace(".", "\\.") for spellings in extraction.UNITS.values() for s in spellings if s != "ph"), key=len, reverse=True))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, '(?i)[0-9]\\s*(?:{_UNITS_SQL})(?:[^\\p{{L}}]|$)')) AS n_values FROM documents WHERE regexp_matches(text, '(?i)[0-9]\\s*(?:{_UNITS_SQL})(?:[^\\p{{L}}]|$)')", prelude=False)
+def numeric_extract_documents(v: Views) -> DataFrame:
+    found = extraction.numeric_values(v.table("documents"), "doc_id").where("unit <> 'pH'")
+    return found.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("n_values"))
+
+
+def _bodies(v: Views) -> DataFrame:
+    """A sentence of each source that names two bodies."""
+    text = F.concat(F.lit("Исследования ведёт Институт "), F.initcap(F.lower("geo_scope")), F.lit(" вместе с ООО «"), "title", F.lit("» по технологии обогащения."))
+    return v.sources().select(F.col("source_id").alias("chunk_id"), text.alias("text"))
+
+
+@query("""SELECT 'институт' || regexp_replace(lower(geo_scope), '[^a-z0-9]+', '', 'g') AS key, 'institute' AS kind, count(DISTINCT source_id) AS evidence FROM src GROUP BY geo_scope
+UNION ALL SELECT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), 'organization', count(DISTINCT source_id) FROM src GROUP BY title""")
 def organisation_mentions(v: Views) -> DataFrame:
-    named = v.sources().select(F.col("source_id").alias("chunk_id"), F.concat(F.lit("Tests by the Institute of "), F.initcap(F.lower("country")), F.lit(" and by LLC \""), "title", F.lit('" ended.')).alias("text"))
-    return extraction.experts(extraction.mentions(named, extraction.ORGANISATION))
+    return experts.ranked_experts(experts.expert_mentions(_bodies(v)), None).select("key", "kind", "evidence")
+
+
+@query("""SELECT 'институт' || regexp_replace(lower(geo_scope), '[^a-z0-9]+', '', 'g') AS key, evidence FROM (SELECT geo_scope, count(DISTINCT source_id) AS evidence FROM src GROUP BY geo_scope)
+UNION ALL SELECT regexp_replace(lower(title), '[^a-z0-9]+', '', 'g'), evidence FROM (SELECT title, count(DISTINCT source_id) AS evidence FROM src GROUP BY title) ORDER BY evidence DESC, key LIMIT 20""")
+def expert_search(v: Views) -> DataFrame:
+    found = experts.expert_mentions(_bodies(v), topic_stems(["технологии обогащения"]))
+    kept = found.groupBy("key").agg(F.count_distinct("chunk_id").alias("evidence"))
+    return kept.orderBy(F.desc("evidence"), "key").limit(20)
+
+
+@query("""SELECT 'патент рф № ' || (1000000 + p_partkey) AS key, count(*) AS mentions FROM part GROUP BY 1 UNION ALL SELECT 'wo-' || (200000 + p_partkey) || '/' || (100 + p_size), count(*) FROM part GROUP BY 1""", prelude=False)
+def patent_mentions(v: Views) -> DataFrame:
+    text = F.concat(F.lit("Способ описан: Патент  РФ № "), F.col("p_partkey") + 1_000_000, F.lit(", и заявка WO-"), F.col("p_partkey") + 200_000, F.lit("/"), F.col("p_size") + 100, F.lit("."))
+    return experts.patents(v.table("part").select(F.col("p_partkey").alias("chunk_id"), text.alias("text"))).select("key", "mentions")
+
+
+PLAN = facts.Hints(explicit_terms=("brand#1",), terms=("brand#11", "brand#2"), year_from=1998, geo_scope="ASIA", status="expert_verified")
+_PLAN_SQL = "CASE WHEN year >= 1998 THEN 1 ELSE 0 END + CASE WHEN geo_scope = 'ASIA' THEN 1 ELSE 0 END + CASE WHEN status = 'expert_verified' THEN 1 ELSE 0 END"
+_NAMES_SQL = "(SELECT fact_id, list(DISTINCT name) AS names FROM about JOIN entity USING (entity_id) GROUP BY fact_id)"
+_HOLDING = "len(list_filter(names, lambda x: {}))"
+_EXPLICIT, _OTHER = _HOLDING.format("contains(lower(x), 'brand#1')"), _HOLDING.format("contains(lower(x), 'brand#11') OR contains(lower(x), 'brand#2')")
+_ORDER = " DESC NULLS FIRST, ".join(["explicit_score", "retrieval_score", "plan_score", "entity_score", "confidence", "year"]) + " DESC NULLS FIRST, fact_id, source_id"
+
+
+def _names(v: Views) -> DataFrame:
+    return v.about().join(v.entities(), "entity_id").select("fact_id", "name")
+
+
+@query(f"""SELECT fact_id, source_id, year, country, retrieval_score, plan_score, explicit_score, entity_score FROM (SELECT f.fact_id, f.source_id, f.year, country, confidence, retrieval_score, {_PLAN_SQL} AS plan_score, {_EXPLICIT} AS explicit_score, {_OTHER} AS entity_score
+FROM (SELECT * REPLACE (coalesce(CASE WHEN status <> 'contradicted' THEN year END, 1992 + source_id % 7) AS year) FROM fact) f JOIN src USING (source_id) JOIN (SELECT fact_id, max(n_chars / 1000.0) AS retrieval_score FROM supported JOIN chunk USING (chunk_id) GROUP BY 1) USING (fact_id) JOIN {_NAMES_SQL} USING (fact_id)
+WHERE coalesce(access_level, 'internal') IN ('public', 'internal') AND f.year >= 1996 AND country IN ('NATION_1', 'NATION_5', 'NATION_9', 'NATION_13', 'NATION_20')) ORDER BY {_ORDER} LIMIT 50""")
+def bridge_fallback(v: Views) -> DataFrame:
+    hits = v.chunks().select("chunk_id", (F.col("n_chars") / 1000.0).alias("score"))
+    known = v.facts().withColumn("year", F.when(F.col("status") != "contradicted", F.col("year")))
+    sources = v.sources().withColumn("source_year", 1992 + F.col("source_id") % 7).withColumnRenamed("country", "source_country")
+    hard = facts.FactFilter(year_from=1996, countries=("NATION_1", "NATION_5", "NATION_9", "NATION_13", "NATION_20"))
+    found = facts.bridge_chunks(hits, v.supported(), known, sources, _names(v), "analyst", PLAN, hard)
+    return found.select("fact_id", "source_id", F.col("year").cast("long").alias("year"), "country", "retrieval_score", "plan_score", "explicit_score", "entity_score")
+
+
+ASKED, ALSO = ["thereon", "une", "tion"], ["thereon", "une", "tion", "der", "las"]
+_FLOW_FUSED = f"(SELECT chunk_id, round(sum(part), 8) AS score FROM ({_branch_sql(_DENSE.format(k=100), 1.0)} UNION ALL {_branch_sql(_bm25_sql(ASKED, 100), 1.35)} UNION ALL {_branch_sql(_bm25_sql(ALSO, 100), 0.75)}) GROUP BY chunk_id)"
+_FLOW_HITS = f"(SELECT chunk_id, document_id, score FROM (SELECT f.chunk_id, document_id, score, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, f.chunk_id) AS place FROM {_FLOW_FUSED} f JOIN chunk USING (chunk_id)) WHERE place <= 2 ORDER BY score DESC, chunk_id LIMIT 50)"
+
+
+def _engine(v: Views) -> Engine:
+    return Engine(v.facts(), v.sources(), v.about(), v.entities(), v.values(), v.chunks(), v.vectors(), v.supported(), _edges(v))
+
+
+@query(f"""SELECT fact_id, source_id, retrieval_score FROM (SELECT s.fact_id, s.source_id, retrieval_score, {_PLAN_SQL} AS plan_score, {_EXPLICIT} AS explicit_score, {_OTHER} AS entity_score, confidence, year
+FROM seen s JOIN (SELECT fact_id, max(score) AS retrieval_score FROM supported JOIN {_FLOW_HITS} USING (chunk_id) GROUP BY 1) USING (fact_id) JOIN {_NAMES_SQL} USING (fact_id)) ORDER BY {_ORDER} LIMIT 50""")
+def search_flow(v: Views) -> DataFrame:
+    asked = Query("thereon une tion", materials=("der", "las"), vector=v.query_vector(), hints=PLAN)
+    return _engine(v).search(asked, "analyst")["facts"].select("fact_id", "source_id", "retrieval_score")
+
+
+@query("SELECT fact_id, source_id, confidence FROM (SELECT * FROM seen WHERE year >= 2100 UNION ALL SELECT * FROM seen WHERE status = 'expert_verified') ORDER BY confidence DESC NULLS FIRST, year DESC NULLS FIRST, fact_id LIMIT 50")
+def search_fallback(v: Views) -> DataFrame:
+    nothing = facts.ranked(_seen(v).where("year >= 2100"), 50)
+    plan = facts.ranked(_seen(v).where("status = 'expert_verified'"), 50)
+    return facts.or_else(nothing, plan).select("fact_id", "source_id", "confidence")
+
+
+def _path_sql(most: int) -> str:
+    """Levels from a start, then steps back from the targets, in SQL."""
+    levels = ["h0 AS (SELECT 'e1' AS node)", *(f"h{k} AS (SELECT DISTINCT dst AS node FROM both_ways JOIN h{k - 1} ON src = node)" for k in range(1, most + 1))]
+    union = " UNION ALL ".join(f"SELECT node, {k} AS hops FROM h{k}" for k in range(most + 1))
+    steps = [f"dist AS (SELECT node, min(hops) AS hops FROM ({union}) GROUP BY node)", "t0 AS (SELECT node, hops, node AS cur, node AS path, hops AS todo FROM dist WHERE node IN (SELECT 'e' || p_partkey FROM part) ORDER BY hops, node LIMIT 50)"]
+    steps += [f"t{k + 1} AS (SELECT node, hops, min(src) AS cur, min(src) || '>' || path AS path, todo - 1 AS todo FROM t{k} JOIN both_ways ON dst = cur JOIN dist d ON d.node = src WHERE d.hops = todo - 1 AND todo > 0 GROUP BY t{k}.node, t{k}.hops, path, todo UNION ALL SELECT * FROM t{k} WHERE todo = 0)".replace("SELECT node, hops, min(src) AS cur", f"SELECT t{k}.node, t{k}.hops, min(src) AS cur").replace("d.hops = todo", f"d.hops = t{k}.todo") for k in range(most)]
+    return f", {_BOTH}, {', '.join(levels)}, {', '.join(steps)} SELECT node, hops, path FROM t{most}"
+
+
+@query(_path_sql(4))
+def path_nodes(v: Views) -> DataFrame:
+    ends = v.entities().select(F.concat(F.lit("e"), F.col("entity_id")).alias("node"))
+    return graph.path_nodes(_edges(v), _node(v, "e1"), ends, 4).select("node", "hops", F.array_join("path", ">").alias("path"))
+
+
+def _labelled_graph(v: Views) -> tuple[DataFrame, DataFrame]:
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key)).alias("node")
+    none = F.lit(None).cast("string").alias("access_level")
+    nodes = v.sources().select(name("s", "source_id"), F.lit("Source").alias("label"), "access_level").unionByName(v.facts().select(name("f", "fact_id"), F.lit("Fact").alias("label"), none)).unionByName(v.entities().select(name("e", "entity_id"), F.lit("Entity").alias("label"), none))
+    about = v.about().select(name("f", "fact_id").alias("src"), name("e", "entity_id").alias("dst"), F.lit("ABOUT").alias("type"), none)
+    described = v.facts().select(name("f", "fact_id").alias("src"), name("s", "source_id").alias("dst"), F.lit("DESCRIBED_IN").alias("type"), F.when(F.col("status") == "contradicted", "confidential").alias("access_level"))
+    return nodes, about.unionByName(described)
+
+
+@query("""SELECT node FROM (SELECT 's' || source_id AS node FROM src WHERE coalesce(access_level, 'internal') IN ('public', 'internal') UNION ALL SELECT 'e' || entity_id FROM entity UNION ALL SELECT 'f' || fact_id FROM seen)""")
+def visible_graph_nodes(v: Views) -> DataFrame:
+    return graph.visible_part(*_labelled_graph(v), "analyst")[0].select("node")
+
+
+@query("""SELECT 'f' || a.fact_id AS src, 'e' || entity_id AS dst FROM about a JOIN seen USING (fact_id) UNION ALL SELECT 'f' || fact_id, 's' || source_id FROM seen WHERE status <> 'contradicted'""")
+def visible_graph_edges(v: Views) -> DataFrame:
+    return graph.visible_part(*_labelled_graph(v), "analyst")[1].select("src", "dst")
+
+
+@query("""SELECT f.fact_id FROM fact f WHERE EXISTS (SELECT 1 FROM src WHERE src.source_id = f.source_id AND coalesce(access_level, 'internal') = 'public')
+OR EXISTS (SELECT 1 FROM about a JOIN about b USING (entity_id) JOIN fact g ON g.fact_id = b.fact_id JOIN src ON src.source_id = g.source_id WHERE a.fact_id = f.fact_id AND coalesce(access_level, 'internal') = 'public')""")
+def visible_fact_nodes(v: Views) -> DataFrame:
+    nodes, edges = _labelled_graph(v)
+    asked = nodes.where("label = 'Fact'").select("node")
+    return graph.visible_nodes(nodes, edges, asked, "partner").select(F.substring("node", 2, 20).cast("long").alias("fact_id"))
+
+
+@query("""SELECT o_orderkey AS chunk_id FROM orders o WHERE EXISTS (SELECT 1 FROM param p WHERE p.fact_id = o_orderkey AND parameter = 'quantity' AND coalesce(value_max, value, 1e18) < 20 UNION ALL SELECT 1 FROM lineitem l WHERE l_orderkey = o_orderkey AND l_quantity < 20)
+AND EXISTS (SELECT 1 FROM param p WHERE p.fact_id = o_orderkey AND parameter = 'discount' AND coalesce(value_max, value, 1e18) >= 0.05 AND coalesce(value_min, value, -1e18) >= 0.05)""")
+def constraints_base_overlay(v: Views) -> DataFrame:
+    base = v.values().withColumnRenamed("fact_id", "chunk_id")
+    none = F.lit(None).cast("double")
+    overlay = v.table("lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.lit("quantity").alias("parameter"), F.col("l_quantity").cast("double").alias("value"), none.alias("value_min"), none.alias("value_max"), F.lit("t").alias("unit"))
+    asked = v.table("orders").select(F.col("o_orderkey").alias("chunk_id"))
+    return retrieval.meeting_all(asked, base, overlay, [Constraint("quantity", "<", value=20, unit="t"), Constraint("discount", ">=", value=0.05)])
+
+
+@query(f"""SELECT 'E' || row_number() OVER (ORDER BY score DESC, chunk_id) AS evidence_id, chunk_id, document_id, score, CASE WHEN length(trim(text)) > 200 THEN rtrim(left(trim(text), 200)) || '…' ELSE trim(text) END AS excerpt
+FROM (SELECT c.chunk_id, c.document_id, round(score, 6) AS score, text FROM {_CAPPED} c JOIN chunk USING (chunk_id) ORDER BY c.score DESC, chunk_id LIMIT 14)""")
+def evidence_list(v: Views) -> DataFrame:
+    return projections.evidence(_capped(v), 14, 200).select("evidence_id", "chunk_id", "document_id", "score", "excerpt")
+
+
+@query(f"""SELECT chunk_id, row_number() OVER (ORDER BY CASE WHEN source_type = 'de' AND k <= 4 THEN 0 WHEN source_type = 'fr' AND k <= 3 THEN 1 ELSE 2 END, score DESC, chunk_id) AS place
+FROM (SELECT chunk_id, score, source_type, row_number() OVER (PARTITION BY CASE source_type WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END ORDER BY score DESC, chunk_id) AS k FROM {_CAPPED} JOIN chunk USING (chunk_id, document_id))""")
+def classes_first(v: Views) -> DataFrame:
+    return retrieval.classes_first(_capped(v), [(F.col("source_type") == "de", 4), (F.col("source_type") == "fr", 3)]).select("chunk_id", "place")
+
+
+@query("""SELECT t.fact_id, t.geo_scope AS "group", coalesce(n.parts, '—') AS numeric_parameters, t.year, t.confidence FROM (SELECT * FROM seen ORDER BY confidence DESC NULLS FIRST, year DESC NULLS FIRST, fact_id LIMIT 50) t
+LEFT JOIN (SELECT fact_id, string_agg(parameter || ': ' || regexp_replace(value_min::DOUBLE::VARCHAR, '[.]0$', '') || '–' || regexp_replace(value_max::DOUBLE::VARCHAR, '[.]0$', '') || ' ' || unit, '; ' ORDER BY parameter) AS parts FROM param GROUP BY fact_id) n USING (fact_id)""")
+def comparison_rows(v: Views) -> DataFrame:
+    first = facts.ranked(_seen(v), 50).drop("title", "access_level", "country")
+    names = v.about().join(v.entities(), "entity_id").select("fact_id", "name", "type").join(first.select("fact_id"), "fact_id", "left_semi")
+    values = v.values().select("fact_id", "parameter", *(F.col(c).cast("double").alias(c) for c in ("value", "value_min", "value_max")), "unit")
+    rows = projections.fact_rows(first, v.sources().select("source_id", "title"), names, values.join(first.select("fact_id"), "fact_id", "left_semi"))
+    return projections.comparison(rows, "geo_scope").select("fact_id", "group", "numeric_parameters", "year", "confidence")
+
+
+@query("SELECT fact_id, parameter, value_min::DOUBLE AS value_min, value_max::DOUBLE AS value_max FROM param JOIN (SELECT DISTINCT fact_id FROM fact) USING (fact_id)")
+def values_flattened(v: Views) -> DataFrame:
+    values = v.values().select("fact_id", "parameter", F.col("value_min").cast("double").alias("value_min"), F.col("value_max").cast("double").alias("value_max"))
+    names = v.about().join(v.entities(), "entity_id").select("fact_id", "name")
+    return projections.flattened(projections.fact_rows(v.facts(), v.sources().select("source_id", "title"), names, values))
+
+
+@query("""SELECT fact_id, value_id FROM (SELECT l_orderkey AS fact_id, max(l_quantity)::INTEGER AS said FROM lineitem GROUP BY 1) f JOIN (SELECT DISTINCT l_orderkey AS fact_id, l_quantity::INTEGER AS q, l_orderkey || '-' || l_quantity::INTEGER AS value_id FROM lineitem) USING (fact_id) WHERE q = said""", prelude=False)
+def quoted_values(v: Views) -> DataFrame:
+    lines = v.table("lineitem")
+    claims = lines.groupBy("l_orderkey").agg(F.max("l_quantity").cast("int").alias("q")).select(F.col("l_orderkey").alias("fact_id"), F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("Up to "), "q", F.lit(",0t were moved, not 7"), "q", F.lit(",0 t")).alias("quote"), F.lit(None).cast("string").alias("claim_text"))
+    q = F.col("l_quantity").cast("int")
+    values = lines.select(F.col("l_orderkey").alias("chunk_id"), F.concat("l_orderkey", F.lit("-"), q).alias("value_id"), F.concat(q, F.lit(".0 t")).alias("source_text")).distinct()
+    return records.quoted_values(claims, values)
+
+
+@query("""SELECT source AS document_id, min(CASE WHEN lang IS NOT NULL THEN lang END) FILTER (doc_id = least_id) AS title, count(DISTINCT doc_id) AS chunks, sum(n) AS n_values FROM (SELECT d.source, d.doc_id, d.lang, coalesce(n, 0) AS n, min(d.doc_id) OVER (PARTITION BY d.source) AS least_id
+FROM (SELECT DISTINCT source, doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) d LEFT JOIN (SELECT l_partkey AS doc_id, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1) USING (doc_id)) GROUP BY source""", prelude=False)
+def batch_documents(v: Views) -> DataFrame:
+    done = changes.selected(v.table("documents"), v.table("labels"), "doc_id").select(F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_id"))
+    chunks = v.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("title"))
+    values = v.table("lineitem").select(F.col("l_partkey").alias("chunk_id"), F.col("l_orderkey").alias("value_id"))
+    return records.by_document(done, chunks, values)
+
+
+@query("SELECT coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source, count(*) AS cnt FROM documents GROUP BY 1, 2", prelude=False)
+def chunk_counters(v: Views) -> DataFrame:
+    return chunking.counters(v.table("documents"), "lang", "source")
+
+
+_SHEETS = "(SELECT p_type AS document, p_brand AS sheet, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS k, 'row_' || row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) || ': ' || p_name || ' | ' || p_retailprice::DECIMAL(12, 2)::VARCHAR AS line FROM part)"
+
+
+@query(f"""WITH RECURSIVE lines AS MATERIALIZED {_SHEETS},
+packed AS (SELECT document, sheet, k, 1 AS part, length(line) AS size FROM lines WHERE k = 1 UNION ALL
+SELECT l.document, l.sheet, l.k, CASE WHEN p.size + 1 + length(line) <= 400 THEN p.part ELSE p.part + 1 END, CASE WHEN p.size + 1 + length(line) <= 400 THEN p.size + 1 + length(line) ELSE length(line) END FROM packed p JOIN lines l ON l.document = p.document AND l.sheet = p.sheet AND l.k = p.k + 1)
+SELECT document, sheet, row_number() OVER (PARTITION BY document ORDER BY sheet, part) - 1 AS chunk, min(k) AS first, max(k) AS last, string_agg(line, ' ' ORDER BY k) AS text FROM packed JOIN lines USING (document, sheet, k) GROUP BY document, sheet, part""", prelude=False)
+def chunk_sheets(v: Views) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy("p_type", "p_brand").orderBy("p_partkey"))
+    rows = v.table("part").select("p_type", "p_brand", "p_name", F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), number.alias("k"))
+    made = chunking.chunk_rows(rows, "p_type", "p_brand", "k", ["p_name", "price"], 400)
+    return made.select("document", "sheet", "chunk", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "text")

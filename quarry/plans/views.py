@@ -33,6 +33,10 @@ class Views:
     def about(self) -> DataFrame:
         return self.table("lineitem").select(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").alias("entity_id")).distinct()
 
+    def supported(self) -> DataFrame:
+        """The chunks that support facts: documents with the number of an order's part."""
+        return self.about().select("fact_id", F.col("entity_id").alias("chunk_id"))
+
     def values(self) -> DataFrame:
         """Each fact's parameters as ranges over its lines."""
         pieces = F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(c).alias("v"), F.lit(u).alias("unit")) for p, c, u in (("quantity", "l_quantity", "t"), ("discount", "l_discount", "%"), ("tax", "l_tax", "%"))))
@@ -60,6 +64,7 @@ fact AS (
   SELECT o_orderkey AS fact_id, o_custkey AS source_id, CASE o_orderstatus WHEN 'F' THEN 'expert_verified' WHEN 'O' THEN 'auto_extracted' WHEN 'P' THEN 'contradicted' END AS status, year(o_orderdate) AS year, least(o_totalprice / 500000, 1.0) AS confidence, o_orderpriority AS fact_type FROM orders),
 entity AS (SELECT p_partkey AS entity_id, p_type AS type, p_brand AS name, p_name AS canonical_name, p_retailprice AS confidence FROM part),
 about AS (SELECT DISTINCT l_orderkey AS fact_id, l_partkey AS entity_id FROM lineitem),
+supported AS (SELECT DISTINCT l_orderkey AS fact_id, l_partkey AS chunk_id FROM lineitem),
 lines AS (
   SELECT l_orderkey AS fact_id, 'quantity' AS parameter, l_quantity AS v, 't' AS unit FROM lineitem
   UNION ALL SELECT l_orderkey, 'discount', l_discount, '%' FROM lineitem UNION ALL SELECT l_orderkey, 'tax', l_tax, '%' FROM lineitem),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import relation_type
-from quarry.operators.changes import repeated_keys, typed, upserted
+from quarry.operators.changes import audit_rows, repeated_keys, typed, upserted
 from quarry.operators.retrieval import corpus_statistics, postings, term_statistics
 
 
@@ -14,14 +14,24 @@ def explode_documents(documents: DataFrame) -> dict[str, DataFrame]:
     """Nested document records as tables of nodes and edges.
 
     Of each edge both ends must exist in the same document.  Columns: document_id, source, chunks, entities,
-    numeric_values, facts, relations (arrays of structs).
+    numeric_values, facts, relations (arrays of structs); entities and values may have source_chunk_id, facts a chunk_id
+    in their source.
     """
     each = lambda c: documents.select("document_id", F.explode(c).alias("x")).select("document_id", "x.*")
     chunks, values, facts = each("chunks"), each("numeric_values"), each("facts")
     entities = typed(each("entities"))
+    ends = lambda df, name: df.select("document_id", F.col("id").alias(name)).distinct()
+    between = lambda edges, left, right, a, b: edges.join(ends(left, a), ["document_id", a], "left_semi").join(ends(right, b), ["document_id", b], "left_semi").distinct()
+
+    def from_chunk(rows: DataFrame, name: str) -> DataFrame:
+        of = F.col("source_chunk_id") if "source_chunk_id" in rows.columns else F.lit(None).cast("string")
+        return between(rows.select("document_id", F.col("id").alias(name), of.alias("chunk_id")), rows, chunks, name, "chunk_id")
+
     about = facts.select("document_id", F.col("id").alias("fact_id"), F.explode(F.array_union(F.array("subject_entity_id"), "object_entity_ids")).alias("entity_id"))
     has = facts.select("document_id", F.col("id").alias("fact_id"), F.explode("numeric_value_ids").alias("value_id"))
-    ends = lambda df, name: df.select("document_id", F.col("id").alias(name)).distinct()
+    support = F.col("source.chunk_id") if "chunk_id" in facts.schema["source"].dataType.names else F.lit(None).cast("string")
+    supported = facts.select("document_id", F.col("id").alias("fact_id"), support.alias("chunk_id"))
+    described = facts.select("document_id", F.col("id").alias("fact_id"), "source.page", "source.quote").join(documents.select("document_id", F.col("source.id").alias("source_id")), "document_id")
     relations = each("relations").withColumn("type", relation_type("type"))
     for end in ("source_entity_id", "target_entity_id"):
         relations = relations.join(ends(entities, end), ["document_id", end], "left_semi")
@@ -31,10 +41,13 @@ def explode_documents(documents: DataFrame) -> dict[str, DataFrame]:
         "entities": entities,
         "numeric_values": values,
         "facts": facts,
-        "about": about.join(ends(entities, "entity_id"), ["document_id", "entity_id"], "left_semi").distinct(),
-        "has_parameter": has.join(ends(values, "value_id"), ["document_id", "value_id"], "left_semi").distinct(),
-        "described_in": facts.select("document_id", F.col("id").alias("fact_id"), "source.page", "source.quote").distinct(),
-        "part_of": chunks.select("document_id", F.col("id").alias("chunk_id")).distinct(),
+        "about": between(about, facts, entities, "fact_id", "entity_id"),
+        "has_parameter": between(has, facts, values, "fact_id", "value_id"),
+        "supported_by": between(supported, facts, chunks, "fact_id", "chunk_id"),
+        "mentioned_in": from_chunk(entities, "entity_id"),
+        "extracted_from": from_chunk(values, "value_id"),
+        "described_in": described.distinct(),
+        "part_of": chunks.select("document_id", F.col("id").alias("chunk_id")).join(documents.select("document_id", F.col("source.id").alias("source_id")), "document_id").distinct(),
         "relations": relations.dropDuplicates(["document_id", "source_entity_id", "target_entity_id", "type"]),
     }
 
@@ -55,6 +68,11 @@ def check_unique(rows: DataFrame, key: str) -> DataFrame:
     return rows
 
 
+def append_audit(events: DataFrame, folder: str) -> None:
+    """Appends events to the audit log."""
+    audit_rows(events).write.mode("append").parquet(folder)
+
+
 def replace_documents(existing: DataFrame, new: DataFrame, folder: str) -> None:
     """Writes a table in which a document's new rows take the place of its old ones.  folder is a new place: a reader
     moves to it when the write has ended, so no reader sees half of it."""
