@@ -544,8 +544,8 @@ def constraints_base_overlay(v: Views) -> DataFrame:
     return retrieval.meeting_all(asked, base, overlay, [Constraint("quantity", "<", value=20, unit="t"), Constraint("discount", ">=", value=0.05)])
 
 
-@query(f"""SELECT 'E' || row_number() OVER (ORDER BY score DESC, chunk_id) AS evidence_id, chunk_id, document_id, score, CASE WHEN length(trim(text)) > 200 THEN rtrim(left(trim(text), 200)) || '…' ELSE trim(text) END AS excerpt
-FROM (SELECT c.chunk_id, c.document_id, round(score, 6) AS score, text FROM {_CAPPED} c JOIN chunk USING (chunk_id) ORDER BY c.score DESC, chunk_id LIMIT 14)""")
+@query(f"""SELECT 'E' || row_number() OVER (ORDER BY fused DESC, chunk_id) AS evidence_id, chunk_id, document_id, round(fused, 6) AS score, CASE WHEN length(trim(text)) > 200 THEN rtrim(left(trim(text), 200)) || '…' ELSE trim(text) END AS excerpt
+FROM (SELECT c.chunk_id, c.document_id, score AS fused, text FROM {_CAPPED} c JOIN chunk USING (chunk_id) ORDER BY c.score DESC, chunk_id LIMIT 14)""")
 def evidence_list(v: Views) -> DataFrame:
     return projections.evidence(_capped(v), 14, 200).select("evidence_id", "chunk_id", "document_id", "score", "excerpt")
 
