@@ -2,8 +2,7 @@
 
 A line is compared without white space at its ends and with A-Z in lower case.  Its shingles are all runs of
 `SHINGLE` bytes of UTF-8.  Lines shorter than `least` bytes are left alone (blank lines, braces, headings).  Equal
-lines are one content; MinHash signatures of contents (over half of the shingles, chosen by hash) fall into
-bands, candidates are confirmed by exact Jaccard similarity of all shingles, and of each component of contents only
+lines are one content; MinHash signatures of contents (over all shingles) fall into bands, candidates are confirmed by exact Jaccard similarity of all shingles, and of each component of contents only
 the first line stays: that of the smallest (doc_id, line number).
 """
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import _text
 from quarry.llm._work import MaybeAmong, saved
-from quarry.llm.linking import linked_components, shared_buckets
+from quarry.llm.linking import VALUES, Sets, band_keys, linked_components, shared_buckets, sketch_bits
 
 #: Bytes of a shingle; bands and minwise values of each (a pair at 0.85 shares a band with a chance of 0.9998).
 SHINGLE, BANDS, ROWS = 8, 12, 4
@@ -26,6 +25,7 @@ SHINGLE, BANDS, ROWS = 8, 12, 4
 LEAST, PERCENT = 24, 85
 
 _SEEDS = _text.seeds(BANDS * ROWS, salt=9).astype(np.uint32)
+_SKETCH_SEEDS = _text.seeds(VALUES, salt=109).astype(np.uint32)
 
 
 def _trimmed(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,9 +48,9 @@ def _windows(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
 
 
-def _signatures(windows: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Minwise values of lines, over windows whose hash is even."""
-    return _text.minwise(_text.mix(windows), starts, stops - starts - SHINGLE + 1, _SEEDS, half=True)
+def _minwise(windows: np.ndarray, starts: np.ndarray, stops: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Minwise values of lines, one row a line."""
+    return _text.minwise(_text.mix(windows), starts, stops - starts - SHINGLE + 1, seeds)
 
 
 def _long_lines(texts: _text.Texts, least_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,9 +67,10 @@ def _buckets(source: DataFrame, least_bytes: int) -> DataFrame:
 
     def signatures(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
         ids, starts, stops = _long_lines(texts, least_bytes)
-        return ids, _signatures(_windows(texts.data), starts, stops)
+        keys = band_keys(_minwise(_windows(texts.data), starts, stops, _SEEDS), ROWS)
+        return keys.ravel(), np.repeat(ids, keys.shape[1])
 
-    return shared_buckets(source, signatures, ROWS)
+    return shared_buckets(source, signatures)
 
 
 def _places(source: DataFrame, least_bytes: int) -> DataFrame:
@@ -89,44 +90,55 @@ def _places(source: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def _texts_of(source: DataFrame, wanted: MaybeAmong, least_bytes: int) -> DataFrame:
-    """Contents of wanted ids (and a few others), once a slice: id, n (distinct shingles), content (binary)."""
+    """Contents of wanted ids (and a few others), once a slice: id, n (distinct shingles), b1, b2 (sketch), content."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _text.slices(batch.column(1)):
                 ids, starts, stops = _long_lines(texts, least_bytes)
                 some = wanted.mask(ids)
-                body = texts.data.tobytes()
-                chosen = list(zip(starts[some], stops[some], strict=True))
-                windows = _windows(texts.data)
-                sizes = [len(np.unique(windows[a : b - SHINGLE + 1])) for a, b in chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(sizes, pa.int64()), pa.array([body[a:b] for a, b in chosen], pa.binary())], names=["id", "n", "content"])
+                ids, starts, stops = ids[some], starts[some], stops[some]
+                body, windows = texts.data.tobytes(), _windows(texts.data)
+                sizes = [len(np.unique(windows[a : b - SHINGLE + 1])) for a, b in zip(starts, stops, strict=True)]
+                bits = sketch_bits(_minwise(windows, starts, stops, _SKETCH_SEEDS))
+                content = [body[a:b] for a, b in zip(starts, stops, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *map(pa.array, bits), pa.array(content, pa.binary())], names=["id", "n", "b1", "b2", "content"])
 
-    return source.mapInArrow(cut, "id bigint, n bigint, content binary")
+    return source.mapInArrow(cut, "id bigint, n bigint, b1 bigint, b2 bigint, content binary")
 
 
-def _similar(x: pa.Array, y: pa.Array, percent: int) -> pa.Array:
-    out = []
-    for a, b in zip(x, y, strict=True):
-        left, right = (np.unique(_windows(np.frombuffer(v.as_buffer(), dtype=np.uint8))[: 1 - SHINGLE]) for v in (a, b))
-        shared = len(np.intersect1d(left, right, assume_unique=True))
-        out.append(100 * shared >= percent * (len(left) + len(right) - shared))
-    return pa.array(out, pa.bool_())
+def _shingles(content: pa.Scalar) -> np.ndarray:
+    return np.unique(_windows(np.frombuffer(content.as_buffer(), dtype=np.uint8))[: 1 - SHINGLE])
 
 
-def _confirmer(source: DataFrame, least_bytes: int, percent: int):  # noqa: ANN202
+def _sets(source: DataFrame, ids: DataFrame, least_bytes: int, percent: int) -> Sets:
+    """The lines of some ids as sets: their contents travel, and shingles are made where two are compared."""
+
     @F.arrow_udf("boolean")
     def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        return _similar(x, y, percent)
+        out = []
+        for a, b in zip(x, y, strict=True):
+            left, right = _shingles(a), _shingles(b)
+            shared = len(np.intersect1d(left, right, assume_unique=True))
+            out.append(100 * shared >= percent * (len(left) + len(right) - shared))
+        return pa.array(out, pa.bool_())
+
+    @F.arrow_udf("array<bigint>")
+    def apart(x: pa.Array, y: pa.Array) -> pa.Array:
+        return _text.list_column([_text.mix(np.setxor1d(_shingles(a), _shingles(b), assume_unique=True)).view(np.int64) for a, b in zip(x, y, strict=True)], pa.int64())
+
+    kept = saved(_texts_of(source, MaybeAmong(ids), least_bytes).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
+    def sides(pairs: DataFrame) -> DataFrame:
+        left = kept.select(F.col("id").alias("a"), F.col("n"), F.col("content").alias("x"))
+        right = kept.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("content").alias("y"))
+        return pairs.join(left, "a").join(right, "b")
 
-    def prepare(ids: DataFrame):  # noqa: ANN202
-        kept = saved(_texts_of(source, MaybeAmong(ids), least_bytes).join(ids, "id", "left_semi").dropDuplicates(["id"]))
-        left = kept.select(F.col("id").alias("a"), F.col("n").alias("p"), F.col("content").alias("x"))
-        right = kept.select(F.col("id").alias("b"), F.col("n").alias("q"), F.col("content").alias("y"))
-        sizes = 100 * F.least("p", "q") >= percent * F.greatest("p", "q")
-        return lambda pairs: pairs.select("a", "b").join(left, "a").join(right, "b").where(sizes).where(similar("x", "y")).select("a", "b")
+    def differences(pairs: DataFrame) -> DataFrame:
+        both = sides(pairs.select(F.col("id").alias("a"), F.col("p").alias("b")))
+        return both.select(F.col("a").alias("id"), F.col("b").alias("p"), "n", "m", apart("x", "y").alias("d"))
 
-    return prepare
+    return Sets(kept.select("id", "n", "b1", "b2"), lambda pairs: sides(pairs.select("a", "b")).where(similar("x", "y")).select("a", "b"), differences)
 
 
 def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", least_bytes: int = LEAST, percent: int = PERCENT) -> DataFrame:
@@ -136,7 +148,7 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     line numbers: of equal places the lines of all rows stay or go together.
     """
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    components = linked_components(_buckets(source, least_bytes), _confirmer(source, least_bytes, percent))
+    components = linked_components(_buckets(source, least_bytes), lambda ids: _sets(source, ids, least_bytes, percent), percent)
     places = saved(_places(source, least_bytes).where("id IS NOT NULL"))
     firsts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
     named = firsts.join(components, "id", "left")
