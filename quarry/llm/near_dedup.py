@@ -5,8 +5,8 @@ stands for each.  In each of several independent trees a document walks a path:
 branch of its minwise token under that level's hash function, so two documents stay together with a chance
 equal to their Jaccard similarity.  A node of few documents is compared exhaustively and ends there; a
 larger one is compared with one pivot of its own and branches again.  Nodes that are still large at the last
-level are near copies of each other: there, documents outside the node's largest component are compared with
-all others of the node.  Comparisons use 128-bit sketches; links are confirmed on full sets.
+level are near copies of each other: what still lies in different components there is joined exactly, by differences
+from one document (`linking.remaining_links`).  Comparisons use 128-bit sketches; links are confirmed on full sets.
 
 Only connectivity is asked for, so pairs that are connected already are not confirmed again.
 """
@@ -23,11 +23,10 @@ from pyspark.sql import functions as F
 from quarry.llm import _text
 from quarry.llm._work import MaybeAmong, saved
 from quarry.llm.components import connected_components
+from quarry.llm.linking import VALUES, alike, bits_apart, open_pairs, remaining_links, sets_of_items, widened
 
-#: Minwise values of a sketch; independent trees; first and last level of a path; documents of a small node.
-VALUES, TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 64, 20, 3, 5, 16
-#: Standard deviations by which a pair's sketches may differ beyond what its least similarity lets expect.
-DEVIATIONS = 5
+#: Independent trees; first and last level of a path; documents of a small node.
+TREES, FIRST_LEVEL, LAST_LEVEL, SMALL = 20, 3, 5, 16
 
 _SKETCH = "n bigint, f1 bigint, f2 bigint, path array<int>, b1 bigint, b2 bigint"
 
@@ -68,28 +67,11 @@ def shingle_table(documents: DataFrame, width: int) -> DataFrame:
     return documents.mapInArrow(cut, "id bigint, f1 bigint, items array<bigint>")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Whether two sketches may belong to a link: sizes allow it and few bits differ."""
-    sizes = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
-    return sizes & (_bits(a, b) <= _most_bits(percent))
-
-
-def _most_bits(percent: int) -> int:
-    """Bits that may differ: of each value that differs (a share of 1 - similarity of them) one of two on average."""
-    apart = 1 - percent / 100
-    mean, variance = VALUES * apart, VALUES * apart * (1 - apart) + VALUES * apart / 2
-    return int(mean + DEVIATIONS * variance**0.5)
-
-
-def _bits(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1"))) + F.bit_count(F.col(f"{a}.b2").bitwiseXOR(F.col(f"{b}.b2")))
-
-
 def _pair(a: str, b: str) -> list[Column]:
     """A pair once, the smaller id first."""
     swap = F.col(f"{a}.id") > F.col(f"{b}.id")
     side = lambda c, x, y: F.when(swap, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
-    return [side("id", b, a).alias("a"), side("f1", b, a).alias("fa"), side("id", a, b).alias("b"), side("f1", a, b).alias("fb"), _bits(a, b).alias("bits")]
+    return [side("id", b, a).alias("a"), side("f1", b, a).alias("fa"), side("id", a, b).alias("b"), side("f1", a, b).alias("fb"), bits_apart(a, b).alias("bits")]
 
 
 def node_key(level: int) -> Column:
@@ -108,12 +90,12 @@ def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         shared = walk.join(walk.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
         sized = saved(shared.join(nodes, ["id", "f1"]).withColumn("next", node_key(min(level + 1, LAST_LEVEL))).drop("path"))
         small = sized.where(F.col("size") <= SMALL).select("key", "id", "f1", "n", "b1", "b2")
-        same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & _alike("x", "y", percent))
+        same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & alike("x", "y", percent))
         pairs.append(same.select(*_pair("x", "y")))
         large = sized.where(F.col("size") > SMALL)
         if k % 2 == 0:  # every other level, against the node's pivot
             pivot = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "f1", "n", "b1", "b2")).alias("p"))
-            with_pivot = large.join(pivot, "key").select(F.struct("id", "f1", "n", "b1", "b2").alias("x"), "p").where("x.id <> p.id").where(_alike("x", "p", percent))
+            with_pivot = large.join(pivot, "key").select(F.struct("id", "f1", "n", "b1", "b2").alias("x"), "p").where("x.id <> p.id").where(alike("x", "p", percent))
             pairs.append(with_pivot.select(*_pair("x", "p")))
         if level == LAST_LEVEL or large.isEmpty():
             break
@@ -134,24 +116,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("s"), (F.size("x") + F.size("y")).alias("t")).where(F.col("s") * 100 >= percent * (F.col("t") - F.col("s"))).select("a", "b")
 
 
-def _labelled(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far, with these (ca, cb)."""
-    named = pairs
-    for end in ("a", "b"):
-        own = components.select(F.col("id").alias(end), F.col("component").alias("c" + end))
-        named = named.join(own, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
-    return named.where("ca <> cb")
-
-
-def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links (with ca and cb) between them."""
-    if links.isEmpty():
-        return components
-    above = connected_components(links, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("top"))
-    known = components.unionByName(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(components, "id", "left_anti").withColumn("component", F.col("id")))
-    return saved(known.join(above, "component", "left").select("id", F.coalesce("top", "component").alias("component")))
-
-
 def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, component_id, kept.
 
@@ -173,25 +137,22 @@ def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("fb").alias("fa"), F.col("a").alias("b"), F.col("fa").alias("fb"), "bits"))
     best = turned.groupBy("a", "fa").agg(F.min(F.struct(F.col("bits") > 20, "b", "fb")).alias("p")).select("a", "fa", "p.b", "p.fb")
     components = saved(connected_components(_confirmed(best, sets, percent)))
-    open_pairs = saved(_labelled(pairs, components))
-    if not open_pairs.isEmpty():
-        links = saved(_confirmed(open_pairs, sets, percent))
-        components = _joined(components, _labelled(links, components))
+    rest = saved(open_pairs(pairs, components))
+    if not rest.isEmpty():
+        components = widened(components, saved(_confirmed(rest, sets, percent)))
     if not residual.isEmpty():
-        rows = residual.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
-        top = sizes.groupBy("key").agg(F.max(F.struct("k", "component")).alias("m")).select("key", F.col("m.component").alias("top"))
-        rows = saved(rows.join(top, "key"))
-        near = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y", percent)
-        few = rows.where("component <> top").alias("x").join(rows.alias("y"), near)
-        late = saved(few.select(*_pair("x", "y")).distinct())
-        if not late.isEmpty():
-            components = _joined(components, _labelled(saved(_confirmed(late, sets, percent)), components))
+        vertex = F.xxhash64("id", "f1")
+        rows = residual.join(components, "id", "left").select("key", vertex.alias("id"), F.coalesce("component", "id").alias("component"))
+        kept = sets.join(nodes, ["id", "f1"]).select(vertex.alias("id"), "n", "b1", "b2", "items")
+        names = nodes.select(vertex.alias("v"), "id")
+        links = remaining_links(rows, sets_of_items(kept, percent), percent)
+        for end in ("a", "b"):
+            links = links.join(names.select(F.col("v").alias(end), F.col("id").alias("id_" + end)), end)
+        components = widened(components, links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     # rows that share an id link their classes
     ranks = known.join(classes.withColumnRenamed("id", "rank"), ["f1", "f2", "n"]).select("id", "rank").distinct()
     least = ranks.groupBy("id").agg(F.min("rank").alias("b"), F.count("*").alias("k")).where("k > 1")
-    same = ranks.join(least, "id").where("rank <> b").select(F.col("rank").alias("a"), "b")
-    components = _joined(components, saved(_labelled(same, components)))
+    components = widened(components, ranks.join(least, "id").where("rank <> b").select(F.col("rank").alias("a"), "b"))
     # equal sets share the component of the document that stands for them; a repeated id joins its classes
     of_class = classes.join(components, "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
     out = sketched.join(of_class, ["f1", "f2", "n"], "left")
