@@ -101,7 +101,7 @@ def evidence(text: str, find: Callable[[str], list[tuple[int, int, float]]]) ->
 
 
 def _labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Texts of labelled rows outside the held-out part: y, text.
+    """Texts of labelled rows outside the held-out part: y, text, k (a hash of id and text).
 
     Other texts are mostly left out before the join, which is by shuffle at every size.
     """
@@ -109,7 +109,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     given = saved(given)
     among = MaybeAmong(given.select(F.xxhash64("doc_id")))
     texts = documents.select("doc_id", F.xxhash64("doc_id").alias("mark"), F.col("text").cast("string").alias("text"))
-    return texts.where(among.passes("mark")).join(given.hint("merge"), "doc_id").select("y", "text")
+    return texts.where(among.passes("mark")).join(given.hint("merge"), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("k"))
 
 
 def _counts(rows: DataFrame, begin: Callable[[], Callable[[str], set[str]]]) -> DataFrame:
@@ -183,8 +183,10 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", least_w
 
     near = _counts(rows, around).where(F.col("term").isNotNull() & (F.col("other") >= 5)).orderBy(F.desc("other"), "term").limit(EXCEPTIONS).collect()
     lexicon = Lexicon(lexicon.weights, {r["term"] for r in near if _weight(r["toxic"], r["other"], toxic, other) <= 0})
-    sample = rows.withColumn("k", F.xxhash64("text")).orderBy("k").limit(CURVE_ROWS).select("y", "text")
-    found = _evidence(sample, lexicon, "y").toPandas()
+    # hashes are ordered first, and only the texts of the smallest are looked at, where they are; repeated rows count once
+    last = rows.select("k").distinct().orderBy("k").limit(CURVE_ROWS).agg(F.max("k")).first()[0]
+    sample = rows.where(F.col("k") <= last).select(F.struct("k", "y").alias("row"), "text")
+    found = _evidence(sample, lexicon, "row").dropDuplicates(["row"]).select("row.y", "row.k", "total", "density").toPandas().sort_values("k")
     return Lexicon(lexicon.weights, lexicon.exceptions, _curve(found[["total", "density"]].to_numpy(), found["y"].to_numpy(dtype=np.float64)))
 
 
