@@ -184,11 +184,13 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     source = documents.select(F.col(doc_id).cast("string").alias("doc_key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     scans = []
     for k in range(blocks):  # a block is bounded, so it may be held by the driver and each task
-        rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect() if blocks > 1 else windows.collect()
-        if rows:
-            vocabulary = np.unique(np.array([w for r in rows for w in r["words"]], dtype=np.int64)).view(np.uint64)
-            frequency = {r["word"]: r["n"] for r in word_frequencies(documents, text, vocabulary).collect()}
-            scans.append(_scan(source, _Block([(tuple(r["words"]), sorted(r["items"])) for r in sorted(rows, key=lambda r: r["words"])], frequency)))
+        rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toPandas() if blocks > 1 else windows.toPandas()
+        if len(rows):
+            vocabulary = np.unique(np.concatenate(rows["words"].to_list()).astype(np.int64)).view(np.uint64)
+            counted = word_frequencies(documents, text, vocabulary).toPandas()
+            frequency = dict(zip(counted["word"].tolist(), counted["n"].tolist(), strict=True))
+            held = sorted((tuple(w.tolist()), sorted(i)) for w, i in zip(rows["words"], rows["items"], strict=True))
+            scans.append(_scan(source, _Block(held, frequency)))
     if not scans:
         scans.append(_scan(source, None))
     found = scans[0]
