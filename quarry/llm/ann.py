@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, queries walk it greedily.
 
-Equal vectors are one node.  First neighbours come from leaves of random projection trees (fitted on a bounded
-sample, applied to every node; large leaves are cut by hash), inside which all nodes are compared.  Each round
+Equal vectors are one node.  First neighbours come from leaves of random projection trees (the upper levels fitted on a
+bounded sample, the lower ones on medians over all nodes of a leaf), inside which all nodes are compared.  Each round
 of NN-descent then joins every node with its neighbours and reverse neighbours (at most `DEGREE` of each) and
-compares these with one another: neighbours of neighbours become neighbours.  A query starts at its own node
-and repeatedly expands the nearest unexpanded nodes of its pool until the nearest `POOL` have been expanded.
+compares these with one another: neighbours of neighbours become neighbours.  Rounds end when few edges are new.  A query
+starts at its own node and repeatedly expands the nearest unexpanded nodes of its pool until the nearest `POOL` have been
+expanded.  Graph and walk see vectors scaled by one power of two, in single precision; scores come from the vectors as
+they were given, in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm._work import saved
 
-#: Neighbours of a node; trees and nodes of a leaf; nodes that trees are fitted on; rounds of NN-descent.
-DEGREE, TREES, LEAF, SAMPLE, ROUNDS = 32, 6, 128, 20_000, 3
-#: Nodes that a query must have expanded before it ends; nodes it expands at once; most steps.
-POOL, EXPAND, STEPS = 320, 80, 12
+#: Neighbours of a node; trees and nodes of a leaf; nodes that upper levels are fitted on, and the deepest of these.
+DEGREE, TREES, LEAF, SAMPLE, FITTED = 32, 6, 128, 20_000, 7
+#: Rounds of NN-descent end when a smaller share of edges is new, or after so many.
+NEW_SHARE, ROUNDS = 0.02, 12
+#: Nodes that a query must have expanded before it ends; nodes it expands at once.
+POOL, EXPAND = 320, 80
 
 
 def usable(vector: str) -> Column:
@@ -63,9 +68,33 @@ def _leaves(nodes: DataFrame, trees: list[tuple[np.ndarray, np.ndarray]]) -> Dat
                 at, projected = np.zeros(len(x), np.int64), x @ directions
                 for level in range(directions.shape[1]):
                     at = 2 * at + (projected[:, level] > cuts[2**level - 1 + at])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at * TREES + number)], names=["id", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at * TREES + number)], names=["id", "leaf"])
 
-    return nodes.mapInArrow(find, "id bigint, v array<float>, leaf bigint")
+    return nodes.mapInArrow(find, "id bigint, leaf bigint")
+
+
+def _split(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Leaves (id, leaf) cut at the median of a random projection, level by level, until they are small.
+
+    Where most nodes of a leaf project alike, hashes cut it instead.
+    """
+    done, level = None, 0
+    while True:
+        sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n"))
+        sized = leaves.join(sizes, "leaf")
+        fit = sized.where(F.col("n") <= 2 * LEAF).select("id", "leaf")
+        done = fit if done is None else done.unionByName(fit)
+        large = saved(sized.where(F.col("n") > 2 * LEAF).select("id", "leaf", "n"))
+        if large.isEmpty():
+            return done
+        level += 1
+        size = len(nodes.select("v").first()["v"])
+        direction = [float(x) for x in np.random.default_rng(1000 + level).standard_normal(size)]
+        along = F.aggregate(F.zip_with("v", F.lit(direction), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        placed = large.join(nodes.select("id", along.alias("at")), "id")
+        middle = placed.groupBy("leaf").agg(F.percentile_approx("at", 0.5).alias("middle"), F.min("at").alias("low"), F.max("at").alias("high"))
+        beyond = F.when((F.col("middle") < F.col("high")), F.col("at") > F.col("middle")).otherwise(F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == 1)
+        leaves = saved(placed.join(middle, "leaf").select("id", F.xxhash64("leaf", F.lit(level), beyond).alias("leaf")))
 
 
 _EDGES = "id bigint, other bigint, d float"
@@ -82,13 +111,13 @@ def _compare(groups: DataFrame) -> DataFrame:
             members = batch.column(0)
             for k in range(len(members)):
                 rows = members[k].values
-                ids, x = rows.field("id").to_numpy(zero_copy_only=False), _matrix(rows.field("v"))
+                ids, x = rows.field("id").to_numpy(zero_copy_only=False), _matrix(rows.field("v")).astype(np.float64)
                 ids, at = np.unique(ids, return_index=True)
                 if len(ids) < 2:
                     continue
                 x, bound = x[at], rows.field("bound").to_numpy(zero_copy_only=False)[at]
                 square = (x * x).sum(axis=1)
-                d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0))
+                d = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)).astype(np.float32)
                 np.fill_diagonal(d, np.inf)
                 near = min(DEGREE, len(ids) - 1)
                 best = np.argpartition(d, near - 1, axis=1)[:, :near]
@@ -106,7 +135,7 @@ def _nearest(edges: DataFrame) -> DataFrame:
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
-    """Neighbours and at most `DEGREE` reverse neighbours (nearest first): id, other."""
+    """Neighbours and at most `DEGREE` reverse neighbours (nearest first; each task keeps no more of them): id, other."""
     rank = F.row_number().over(Window.partitionBy("other").orderBy("d", "id"))
     back = graph.withColumn("rank", rank).where(F.col("rank") <= DEGREE).select(F.col("other").alias("id"), F.col("id").alias("other"))
     return graph.select("id", "other").unionByName(back).distinct()
@@ -117,18 +146,17 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     count = nodes.count()
     sample = nodes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
     depth = max(0, int(np.ceil(np.log2(max(1, count / LEAF)))))
-    trees = _trees(np.stack(sample.to_numpy()).astype(np.float32), min(depth, 13)) if count else []
-    leaves = _leaves(nodes, trees)
-    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("id", "leaf"), F.ceil(F.col("n") / (2 * LEAF)))
+    trees = _trees(np.stack(sample.to_numpy()).astype(np.float32), min(depth, FITTED)) if count else []
     member = F.struct("id", "v", F.lit(float("inf")).cast("float").alias("bound"))
-    blocks = leaves.join(sizes, "leaf").withColumn("part", part).groupBy("leaf", "part").agg(F.collect_list(member).alias("members"))
+    blocks = _split(nodes, _leaves(nodes, trees)).join(nodes, "id").groupBy("leaf").agg(F.collect_list(member).alias("members"))
     graph = saved(_nearest(_compare(blocks)))
     for _ in range(rounds if depth else 0):
         bounds = graph.groupBy("id").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(F.lit(float("inf")).cast("float")).alias("bound"))
         held = nodes.join(bounds, "id").select(F.col("id").alias("other"), F.struct("id", "v", "bound").alias("member"))
         joined = _both_ways(graph).join(held, "other").groupBy("id").agg(F.collect_list("member").alias("members"))
-        graph = saved(_nearest(_compare(joined).unionByName(graph)))
+        before, graph = graph, saved(_nearest(_compare(joined).unionByName(graph)))
+        if graph.join(before, ["id", "other"], "left_anti").count() <= NEW_SHARE * graph.count():
+            break
     return graph
 
 
@@ -136,7 +164,7 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame) -> DataFrame:
     """Greedy search from nodes (starts: q, v): q, id, d (double) of all nodes that a query has met."""
     links = saved(_both_ways(graph))
     pool = saved(starts.select("q", F.col("q").alias("id"), F.lit(0.0).alias("d"), F.lit(False).alias("expanded")))
-    for _ in range(STEPS):
+    while True:
         near = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
         ranked = pool.withColumn("near", near)
         turn = F.row_number().over(Window.partitionBy("q").orderBy("near"))
@@ -158,20 +186,29 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     part, nor do rows without id and vectors of another size than most; a repeated id counts once for each vector, and
     asks for each.
     """
-    rows = vectors.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), queries.alias("asks"))
-    size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = saved(rows.where(F.size("v") == (size["size"] if size else 0)).withColumn("key", F.xxhash64("v")))
-    classes = rows.groupBy("key", "v").agg(F.min("vec_id").alias("least"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
+    known = vectors.where(F.col(vec_id).isNotNull() & usable(vector))
+    rows = known.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("w"), queries.alias("asks"))
+    size = rows.groupBy(F.size("w").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    rows = saved(rows.where(F.size("w") == (size["size"] if size else 0)).withColumn("key", F.xxhash64("w")))
+    largest = rows.agg(F.max(F.array_max(F.transform("w", F.abs)))).first()[0]
+    factor = 2.0 ** -min(1000, max(-1000, math.frexp(largest or 1.0)[1]))
+    classes = rows.groupBy("key", "w").agg(F.min("vec_id").alias("least"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
     # a number of each vector's own: ids may be repeated, and hashes may meet
-    again = F.row_number().over(Window.partitionBy("id").orderBy("v"))
+    again = F.row_number().over(Window.partitionBy("id").orderBy("w"))
     numbered = classes.withColumn("id", F.xxhash64("key", "least")).withColumn("again", again)
-    nodes = saved(numbered.withColumn("id", F.when(F.col("again") > 1, F.xxhash64("id", "again")).otherwise(F.col("id"))).drop("again"))
+    scaled = F.transform("w", lambda x: (x * factor).cast("float")).alias("v")
+    number = F.when(F.col("again") > 1, F.xxhash64("id", "again")).otherwise(F.col("id")).alias("id")
+    nodes = saved(numbered.select(number, "key", "least", "asks", "w", scaled))
     graph = neighbour_graph(nodes.select("id", "v"))
     found = search(nodes.select("id", "v"), graph, nodes.where("asks").select(F.col("id").alias("q"), "v"))
+    # scores of the vectors themselves, for more of the nearest than are asked for, since single precision may confuse some
+    close = F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))
+    found = found.join(nodes.select("id", "least", F.col("w").alias("y")), "id").withColumn("close", close).where(F.col("close") <= 4 * (k + 1))
+    found = found.join(nodes.where("asks").select(F.col("id").alias("q"), F.col("w").alias("x")), "q").select("q", "id", "least", distance("x", "y").alias("d"))
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))
-    found = found.join(nodes.select("id", "least"), "id").withColumn("best", best).where(F.col("best") <= k + 1).drop("best", "least")
+    found = found.withColumn("best", best).where(F.col("best") <= k + 1).drop("best", "least")
     # equal vectors: the k + 1 smallest ids of a node are enough
-    named = rows.join(nodes.select("key", "v", "id"), ["key", "v"]).groupBy("id", "vec_id").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
+    named = rows.join(nodes.select("key", "w", "id"), ["key", "w"]).groupBy("id", "vec_id").agg(F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
     first = F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))
     members = named.select("id", "vec_id").withColumn("first", first).where(F.col("first") <= k + 1).drop("first")
     asking = named.where("asks").select(F.col("id").alias("q"), F.col("vec_id").alias("query_id"))
@@ -181,5 +218,9 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
 
 
 def op2_nn_descent(embeddings: DataFrame) -> DataFrame:
-    """The 10 nearest of each row whose vec_id is divisible by 100."""
+    """The 10 nearest of each row whose vec_id is divisible by 100, as `nearest` gives them.
+
+    Null, zero and non-finite vectors, vectors of another size than most and rows without vec_id take no part; repeated
+    rows count once, equal vectors of different ids each; ties go to the smaller vec_id; an empty table has no rows.
+    """
     return nearest(embeddings, F.col("vec_id") % 100 == 0)
