@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, line_dedup, near_dedup, paragraphs
+from quarry.llm import ann, line_dedup, linking, near_dedup, paragraphs
 from quarry.llm.components import connected_components
 
 
@@ -113,18 +113,59 @@ def test_paragraphs(spark, sf_dir):
             own[rng.randrange(60)] = "changed"
         docs.append((i, f"own words {i}\n{' '.join(own)}\nmore {i}"))
     docs += [(-50, None), (-51, ""), (-52, "w " * 60), (-53, "w " * 61)]
-    places = [(i, k, frozenset(shingles(x.decode(), 5))) for i, t in docs for k, x in enumerate(lower(t).split(b"\n")) if len(x.split()) >= 40]
-    contents = list({s for *_, s in places})
+    docs.append((-60, "in other words " + " ".join(f"a{k}" for k in range(40)) + " " + " ".join(passage) + "\nand " + " ".join(f"b{k}" for k in range(30))))
+    wrapped = [f"q{k}" for k in range(55)]
+    docs += [(-70, " ".join(f"c{k}" for k in range(70)) + " " + " ".join(wrapped) + " " + " ".join(f"d{k}" for k in range(70))), (-71, "start " + "\n".join(" ".join(wrapped[k : k + 8]) for k in range(0, 55, 8)) + "\nend " + " ".join(f"e{k}" for k in range(9)))]
+    docs += [(-80, " ".join(f"f{k}" for k in range(200))), (None, " ".join(wrapped)), (-40, docs[-1][1])]
+
+    def places():
+        for i, t in docs:
+            begin = 0
+            for x in lower(t).split(b"\n") if i is not None else ():
+                if len(x.split()) >= 40:
+                    yield i, begin, frozenset(shingles(x.decode(), 5))
+                begin += len(x.split())
+
+    contents = list({s for *_, s in places()})
     root = dict(zip(contents, roots(len(contents), alike(contents, 80)), strict=True))
     groups = defaultdict(list)
-    for i, k, s in places:
+    for i, k, s in places():
         groups[root[s]].append((i, k))
     expected = {p: min(g) for g in groups.values() if len(g) > 1 for p in g}
-    got = paragraphs.op4_paragraph_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["paragraph"]): (r["keeper_doc_id"], r["keeper_paragraph"]) for r in got} == expected
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("begin", F.lit(0))
+    got = paragraphs.op4_paragraph_dedup(df).collect()
+    assert {(r["doc_id"], r["begin"]): (r["keeper_doc_id"], r["keeper_begin"]) for r in got if r["kind"] == "paragraph"} == expected
+    passages = {r["doc_id"]: r for r in got if r["kind"] == "passage"}
+    assert {-60, -70, -71, -1} <= set(passages) and not {-80, -50, -51, None} & set(passages)
+    assert passages[-70]["keeper_doc_id"] == passages[-71]["keeper_doc_id"] == -71 and passages[-60]["span_words"] >= 30
+    left = {r["doc_id"]: r["text"] for r in paragraphs.without_units(df, paragraphs.op4_paragraph_dedup(df).where("NOT kept")).collect() if r["doc_id"] != -40}
+    assert left[-71] == docs[-4][1] and left[-80] == docs[-3][1] and left[-50] is None
+    assert left[-70].startswith("c0 c1") and left[-70].endswith("d69") and "q25" not in left[-70]
     assert paragraphs.op4_paragraph_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_links_between_components_of_a_family(spark):
+    """A large family about the threshold: all components as all pairs give them, whatever the buckets' pivots reached."""
+    rng = random.Random(5)
+    base = list(range(100))
+    sets = []
+    for k in range(400):  # from far to near copies of two centres
+        own = set(base if k % 3 else base[:70] + list(range(500, 530)))
+        for gone in rng.sample(sorted(own), rng.randint(0, 12)):
+            own.remove(gone)
+            own.add(rng.randrange(10**6, 10**6 + 300))
+        sets.append(own)
+    links = set(alike(sets, 85))
+    for share in (0.0, 0.02, 1.0):  # of the links that are known before
+        some = [x for x in sorted(links) if rng.random() < share]
+        before = roots(len(sets), some)
+        kept = spark.createDataFrame([(k, len(s), 0, 0, sorted(s)) for k, s in enumerate(sets)], "id long, n long, b1 long, b2 long, items array<bigint>")
+        rows = spark.createDataFrame([(key, k, before[k]) for k in range(len(sets)) for key in (1, 2 + k % 2)], "key long, id long, component long")
+        found = {(r["a"], r["b"]) for r in linking.remaining_links(rows, linking.sets_of_items(kept, 85), 85).collect()}
+        assert found <= links
+        assert roots(len(sets), [*some, *found]) == roots(len(sets), links)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 90), (90, 100), (7, 7), (200, 90), (None, 3)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
