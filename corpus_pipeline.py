@@ -36,9 +36,15 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more)."""
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more).
+
+    Rows with the same id and text are one document, of which one stays; rows without id stay.
+    """
     small_batches(spark)
-    return _without(docs, near_dedup.components_of(docs, width=5, percent=80).where("NOT kept"))
+    kept = _without(docs, near_dedup.components_of(docs, width=5, percent=80).where("NOT kept"))
+    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again: doc_id, n_tokens, ids and text of what is kept.
+
+    Null texts count as empty; rows without doc_id are judged by the classifier and the benchmark alone; repeated rows
+    become one in the near-copy stage; an empty table gives no rows; columns beside those of documents stay until the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
