@@ -35,7 +35,7 @@ _ONES = np.uint64(1) << np.arange(VALUES, dtype=np.uint64)
 
 def band_keys(least: np.ndarray, rows: int, salt: int = 0) -> np.ndarray:
     """64-bit keys of bands of `rows` minwise values each: one row a thing, one column a band."""
-    bands = least.astype(np.uint64).reshape(len(least), -1, rows)
+    bands = least.astype(np.uint64).reshape(len(least), least.shape[1] // rows, rows)
     key = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64) + np.uint64(1000 * salt), bands.shape[:2]).copy()
     for k in range(rows):
         key = _text.mix(key * np.uint64(0x9FB21C651E98DF25) + bands[:, :, k])
