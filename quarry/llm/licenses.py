@@ -40,7 +40,8 @@ NOTICES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
 
-WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+#: Words: hyphens part them, since lines are wrapped there.
+WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 
 
 #: Words before and after a licensing word among which a whole notice may stand.
@@ -137,7 +138,7 @@ class Scanner:
             matcher.set_seq1(words)
             for begin, end, missing, added in places(words, own, matcher):
                 # of the place alone: in a whole block, notices that share wordings hide each other's savings
-                raw = block[at[begin].start() : at[end - 1].end()].encode()
+                raw = " ".join(block[at[begin].start() : at[end - 1].end()].split()).encode()
                 saving = 1 - len(compressor.compress(raw)) / len(self.plain.compress(raw))
                 if saving < SAVED:
                     continue
