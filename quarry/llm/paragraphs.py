@@ -134,21 +134,22 @@ def _sets(source: DataFrame, ids: DataFrame, percent: int) -> Sets:
     return sets_of_items(saved(made.join(ids, "id", "left_semi").dropDuplicates(["id"])), percent)
 
 
-def repeated_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, span: int = SPAN) -> DataFrame:
+def repeated_units(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, span: int = SPAN, across: bool = False) -> DataFrame:
     """Every unit that has others like it: doc_id, kind (paragraph or passage), number (of its kind in the text, from 0),
     begin (first word, from 0), n_words, span_words, keeper_doc_id, keeper_begin, kept.
 
     Units of a kind are linked if 100 * shared >= percent * union of their shingle sets.  span_words counts the words of
-    a passage and of its repeated neighbours; passages count from `span` such words on.  Null and empty texts have no
-    units; rows without a doc_id are left alone; rows that share one share numbers, and count as one text.
+    a passage and of its repeated neighbours; passages count from `span` such words on.  With across, units that repeat
+    inside one document alone are left out.  Null and empty texts have no units; rows without a doc_id are left alone; rows that share one share numbers, and count as one text.
     """
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     components = linked_components(_buckets(source), lambda ids: _sets(source, ids, percent), percent)
     places = saved(_places(source))
-    firsts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "begin")).alias("first"))
+    firsts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "begin")).alias("first"), F.max("doc_id").alias("last"))
     named = firsts.join(components, "id", "left").where("component IS NOT NULL OR n > 1")
-    named = saved(named.select("id", "first", F.coalesce("component", "id").alias("component")))
-    groups = named.groupBy("component").agg(F.min("first").alias("keeper"))
+    named = saved(named.select("id", "first", "last", F.coalesce("component", "id").alias("component")))
+    groups = named.groupBy("component").agg(F.min("first").alias("keeper"), F.max("last").alias("last"))
+    groups = groups.where("keeper.doc_id < last") if across else groups
     found = places.join(named.join(groups, "component").select("id", "keeper"), "id")
     by_text = Window.partitionBy("doc_id", "kind")
     runs = found.withColumn("run", F.col("number") - F.dense_rank().over(by_text.orderBy("number")))
@@ -185,5 +186,5 @@ def without_units(documents: DataFrame, removed: DataFrame, doc_id: str = "doc_i
 
 
 def op4_paragraph_dedup(documents: DataFrame) -> DataFrame:
-    """The result of `repeated_units`: documents without such units don't appear."""
-    return repeated_units(documents)
+    """What documents share: the result of `repeated_units` across documents; those without such units don't appear."""
+    return repeated_units(documents, across=True)

@@ -132,9 +132,12 @@ def test_paragraphs(spark, sf_dir):
     for i, k, s in places():
         groups[root[s]].append((i, k))
     expected = {p: min(g) for g in groups.values() if len(g) > 1 for p in g}
+    shared = {p: min(g) for g in groups.values() if len({i for i, _ in g}) > 1 for p in g}
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("begin", F.lit(0))
     got = paragraphs.op4_paragraph_dedup(df).collect()
-    assert {(r["doc_id"], r["begin"]): (r["keeper_doc_id"], r["keeper_begin"]) for r in got if r["kind"] == "paragraph"} == expected
+    assert {(r["doc_id"], r["begin"]): (r["keeper_doc_id"], r["keeper_begin"]) for r in got if r["kind"] == "paragraph"} == shared
+    every = paragraphs.repeated_units(df).where("kind = 'paragraph'").collect()
+    assert {(r["doc_id"], r["begin"]): (r["keeper_doc_id"], r["keeper_begin"]) for r in every} == expected
     passages = {r["doc_id"]: r for r in got if r["kind"] == "passage"}
     assert {-60, -70, -71, -1} <= set(passages) and not {-80, -50, -51, None} & set(passages)
     assert passages[-70]["keeper_doc_id"] == passages[-71]["keeper_doc_id"] == -71 and passages[-60]["span_words"] >= 30
