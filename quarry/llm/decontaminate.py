@@ -184,12 +184,12 @@ def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     source = documents.select(F.col(doc_id).cast("string").alias("doc_key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     scans = []
     for k in range(blocks):  # a block is bounded, so it may be held by the driver and each task
-        rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toPandas() if blocks > 1 else windows.toPandas()
+        rows = (windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k) if blocks > 1 else windows).toArrow()
         if len(rows):
-            vocabulary = np.unique(np.concatenate(rows["words"].to_list()).astype(np.int64)).view(np.uint64)
-            counted = word_frequencies(documents, text, vocabulary).toPandas()
-            frequency = dict(zip(counted["word"].tolist(), counted["n"].tolist(), strict=True))
-            held = sorted((tuple(w.tolist()), sorted(i)) for w, i in zip(rows["words"], rows["items"], strict=True))
+            vocabulary = np.unique(rows["words"].combine_chunks().flatten().to_numpy()).view(np.uint64)
+            counted = word_frequencies(documents, text, vocabulary).toArrow()
+            frequency = dict(zip(counted["word"].to_pylist(), counted["n"].to_pylist(), strict=True))
+            held = sorted((tuple(words), sorted(found)) for words, found in zip(rows["words"].to_pylist(), rows["items"].to_pylist(), strict=True))
             scans.append(_scan(source, _Block(held, frequency)))
     if not scans:
         scans.append(_scan(source, None))
