@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import ann, byte_bpe, decontaminate, dialogues, licenses, line_dedup, near_dedup, ngrams, paragraphs, quality, toxicity
+from quarry.llm import alignment, ann, byte_bpe, decontaminate, dialogues, licenses, line_dedup, near_dedup, ngrams, paragraphs, quality, toxicity
 from quarry.llm._work import table
 
 
@@ -55,8 +55,12 @@ def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.op12_dialogue_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op13_token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op6_licenses, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe, op12_dialogue_repair)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op6_licenses, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe, op12_dialogue_repair, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
