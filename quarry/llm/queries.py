@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import alignment, ann, byte_bpe, decontaminate, dialogues, licenses, line_dedup, near_dedup, ngrams, paragraphs, quality, toxicity
+from quarry.llm import alignment, ann, byte_bpe, decontaminate, dialogues, licenses, line_dedup, near_dedup, ngrams, outliers, paragraphs, quality, toxicity
 from quarry.llm._work import table
 
 
@@ -51,6 +51,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.op10_byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.op11_outliers(table(spark, sf_dir, "documents"))
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.op12_dialogue_repair(table(spark, sf_dir, "conversations"))
 
@@ -60,7 +64,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op6_licenses, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe, op12_dialogue_repair, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_nn_descent, op3_decontaminate, op4_paragraph_dedup, op5_katz, op6_licenses, op7_toxicity, op8_quality, op9_line_dedup, op10_byte_bpe, op11_outliers, op12_dialogue_repair, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
