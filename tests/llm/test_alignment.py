@@ -87,6 +87,20 @@ def test_against_a_plain_merge(spark, sf_dir, sides, small, monkeypatch):
     assert got[len(texts) - 1] == ZEROS and got[len(texts) - 2][2] > 3000
 
 
+def test_both_encoders_of_a_file_agree(tmp_path, sides, spark, sf_dir):
+    import json
+
+    whole = json.load(open(A, encoding="utf-8"))
+    whole["pre_tokenizer"]["use_regex"] = True
+    whole["normalizer"] = {"type": "NFC"}  # another file: its own encoder is used
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(whole), encoding="utf-8")
+    texts = [t for t in texts_of(spark, sf_dir) if t] + ["w" * 100_000, " " * 100_000]
+    by_rank, own = alignment.ByteLevel(A).encode(texts), sides[0].encode_batch([" " + t for t in texts], add_special_tokens=False)
+    assert all(x.tolist() == e.ids for x, e in zip(by_rank, own, strict=True))
+    assert [x.tolist() for x in alignment.ByteLevel(str(other)).encode(["a <|endoftext|> b"])] == [sides[0].encode(" a <|endoftext|> b", add_special_tokens=False).ids]
+
+
 def test_lanes_find_the_same_cuts(monkeypatch):
     rng = np.random.default_rng(2)
     ends = []
