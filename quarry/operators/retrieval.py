@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import Constraint, numeric_predicate
+from quarry.functions.terms import term_words
 from quarry.functions.text import SEPARATORS, words
+from quarry.sources.shared import saved
 
 # fixed values: public constants of BM25, and weights of fusion
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -26,14 +28,41 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def term_counts(chunks: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Of each chunk: chunk_id, n (words), tf (an array: how often it has each term).  One split of each text."""
+    """Of each chunk: chunk_id, n (words), tf (an array: how often it has each term).  One split of each text.
+
+    A term of several words, such as `heap-leaching`, counts where they stand side by side.
+    """
     pieces = chunks.select("chunk_id", F.split(F.lower("text"), SEPARATORS).alias("pieces"))
-    # a split leaves an empty piece where separators end a text
+    # a split leaves an empty piece where separators begin or end a text
     empty = F.size("pieces") - F.size(F.array_remove("pieces", ""))
-    tf = F.array(*(F.size("pieces") - F.size(F.array_remove("pieces", t)) for t in terms)).cast("array<int>")
+    tf = F.array(*(_often("pieces", term_words(t)) for t in terms)).cast("array<int>")
     return pieces.select("chunk_id", (F.size("pieces") - empty).alias("n"), tf.alias("tf"))
 
 
+def saved_counts(chunks: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """`term_counts`, written once: statistics and scores both read them."""
+    return saved(term_counts(chunks, terms))
+
+
+def _often(pieces: str, term: Sequence[str]) -> Column:
+    """How often a term's words stand side by side among pieces."""
+    if len(term) < 2:
+        return F.size(pieces) - F.size(F.array_remove(pieces, term[0])) if term else F.lit(0)
+    # texts without all of the words are told apart first; empty pieces stand at ends alone
+    all_there = F.lit(True)
+    for word in term:
+        all_there = all_there & F.array_contains(pieces, word)
+    places = F.sequence(F.lit(0), F.size(pieces) - 1)
+
+    def here(place: Column) -> Column:
+        found = F.lit(True)
+        for k, word in enumerate(term):
+            found = found & F.get(F.col(pieces), place + k).eqNullSafe(word)
+        return found
+
+    return F.when(all_there, F.size(F.filter(places, here))).otherwise(0)
+
+
 def _idf(docs: Column, df: Column) -> Column:
     return F.greatest(F.lit(FLOOR), F.log((docs - df + 0.5) / (df + 0.5)))
 
@@ -42,19 +71,21 @@ def _gain(tf: Column, n: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
-def bm25(counts: DataFrame, places: Sequence[int], k: int) -> DataFrame:
+def bm25(counts: DataFrame, places: Sequence[int], k: int, corpus: tuple[int, int] | None = None) -> DataFrame:
     """The k chunks of highest BM25 score for some of the terms that were counted (by place): chunk_id, score (6 digits)."""
-    return top(bm25_scores(counts, places), k)
+    return top(bm25_scores(counts, places, corpus), k)
 
 
-def bm25_scores(counts: DataFrame, places: Sequence[int]) -> DataFrame:
+def bm25_scores(counts: DataFrame, places: Sequence[int], corpus: tuple[int, int] | None = None) -> DataFrame:
     """The BM25 score of every chunk that has a term: chunk_id, score (6 digits).
 
-    The corpus' statistics are one row, joined to every chunk.
+    The corpus' statistics are one row, joined to every chunk; its numbers of chunks and words are given where counts are
+    only of chunks that have a term.  counts are used twice: save them first.
     """
     width = max(places, default=-1) + 1
     has = [F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"d{i}") for i in range(width)]
-    stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *has)
+    docs, mean = (F.count("*"), F.avg("n")) if corpus is None else (F.lit(corpus[0]), F.lit(corpus[1] / max(1, corpus[0])))
+    stats = counts.agg(docs.alias("docs"), mean.alias("mean"), *has)
     score = F.lit(0.0)
     for i in places:
         score = score + _idf(F.col("docs"), F.col(f"d{i}")) * _gain(F.get("tf", F.lit(i)), F.col("n"), F.col("mean"))

@@ -145,7 +145,7 @@ _DENSE = "(SELECT vec_id AS chunk_id, round(list_dot_product(embedding::DOUBLE[]
 
 @query(f"SELECT * FROM {_bm25_sql(TERMS, 50)}")
 def bm25_topk(v: Views) -> DataFrame:
-    return retrieval.bm25(retrieval.term_counts(v.chunks(), TERMS), range(len(TERMS)), 50)
+    return retrieval.bm25(retrieval.saved_counts(v.chunks(), TERMS), range(len(TERMS)), 50)
 
 
 @query(f"SELECT * FROM {_bm25_sql(TERMS, 50)}")
@@ -175,7 +175,7 @@ _FUSED = f"(SELECT chunk_id, round(sum(part), 8) AS score FROM ({_branch_sql(_DE
 
 def _fused(v: Views) -> DataFrame:
     terms = list(dict.fromkeys([*TERMS, *WIDER]))
-    counts = saved(retrieval.term_counts(v.chunks(), terms))
+    counts = retrieval.saved_counts(v.chunks(), terms)
     lexical = [(retrieval.bm25(counts, [terms.index(t) for t in asked], 100), weight) for asked, weight in ((TERMS, retrieval.ORIGINAL_WEIGHT), (WIDER, retrieval.EXPANDED_WEIGHT))]
     branches = [(retrieval.dense(v.vectors(), v.query_vector(), 100), retrieval.DENSE_WEIGHT), *lexical]
     return retrieval.fuse(branches)

@@ -42,9 +42,23 @@ def vectors(rows: DataFrame, size: int, vector: str = "vector") -> DataFrame:
     return rows.where(F.size(vector) == size)
 
 
-def with_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
-    """A base table and later rows; columns that one lacks are null there."""
-    return base.unionByName(valid_chunks(overlay), allowMissingColumns=True)
+def overlay_chunks(spark: SparkSession, folder: str, chunk: T.StructType) -> DataFrame:
+    """Chunks of an overlay folder of JSON files (each an object with document_id and chunks), of the newest file of each
+    document: chunk_id, document_id, text and the other fields of `chunk`.
+
+    Files that can't be read and chunks without an id or text are left out; of equally new files the last by name counts.
+    """
+    kind = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("chunks", T.ArrayType(chunk))])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    read = files.select(F.struct("modificationTime", "path").alias("at"), F.from_json(F.decode("content", F.lit("UTF-8")), kind).alias("file")).select("at", "file.*").where("document_id IS NOT NULL")
+    newest = read.groupBy("document_id").agg(F.max_by("chunks", "at").alias("chunks"))
+    return valid_chunks(newest.select("document_id", F.inline("chunks")))
+
+
+def with_overlay(base: DataFrame, overlay: DataFrame, key: str = "document_id") -> DataFrame:
+    """A base table without the documents that an overlay has, and the overlay; columns that one lacks are null there."""
+    newer = valid_chunks(overlay)
+    return base.join(newer.select(key).distinct(), key, "left_anti").select(base.columns).unionByName(newer, allowMissingColumns=True)
 
 
 def admitted(files: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: lineage is cut and the rows survive executors."""
     spark = df.sparkSession

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import relation_type
-from quarry.operators.changes import audit_rows, repeated_keys, typed, upserted
-from quarry.operators.retrieval import corpus_statistics, postings, term_statistics
+from quarry.operators.changes import audit_rows, repeated_keys, typed
 
 
 def explode_documents(documents: DataFrame) -> dict[str, DataFrame]:
@@ -52,15 +51,6 @@ def explode_documents(documents: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def build_index(chunks: DataFrame, values: DataFrame, folder: str) -> None:
-    """Writes the retrieval tables; values are clustered by parameter, so a constraint reads few files."""
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    postings(chunks).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-    term_statistics(chunks).write.mode("overwrite").parquet(f"{folder}/terms")
-    corpus_statistics(chunks).write.mode("overwrite").parquet(f"{folder}/corpus")
-    values.repartitionByRange("parameter", "fact_id").sortWithinPartitions("parameter").write.mode("overwrite").parquet(f"{folder}/values")
-
-
 def check_unique(rows: DataFrame, key: str) -> DataFrame:
     """The rows; an error where a key isn't unique."""
     if not repeated_keys(rows, key).isEmpty():
@@ -73,12 +63,6 @@ def append_audit(events: DataFrame, folder: str) -> None:
     audit_rows(events).write.mode("append").parquet(folder)
 
 
-def replace_documents(existing: DataFrame, new: DataFrame, folder: str) -> None:
-    """Writes a table in which a document's new rows take the place of its old ones.  folder is a new place: a reader
-    moves to it when the write has ended, so no reader sees half of it."""
-    upserted(existing, new, "document_id").write.mode("error").parquet(folder)
-
-
 def split_errors(rows: DataFrame, good: str, bad: str, clip: int = 10_000) -> None:
     """Writes rows without an error and rows with one to two places; raw responses of the latter are cut."""
     rows.where("error IS NULL").drop("error").write.mode("append").json(good)
