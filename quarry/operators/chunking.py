@@ -7,7 +7,8 @@ long document doesn't have to fit a group.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,14 +22,48 @@ CUT_AFTER = (". ", "; ", ": ", " ")
 # a sentence end closes, and of the line that opens the next
 HEADING, CAPITALS, CLOSED, OPENED = 80, 0.65, 80, 20
 
-_PAGE_NUMBER = re.compile(r"\|?\s*\d{1,4}\s*")
-_ITEM = re.compile(r"(?:\d+[.)]|[•-])\s")
-_SIGNS = str.maketrans({"\0": " ", "\r": "\n", "−": "-", "–": "-", "—": "-", "": "•"})
-
-
-def _heading(line: str) -> bool:
-    letters = [c for c in line if c.isalpha()]
-    return len(line) <= HEADING and bool(letters) and sum(map(str.isupper, letters)) > CAPITALS * len(letters)
+_SIGNS = str.maketrans({"\0": " ", "\r": "\n", "−": "-", "–": "-", "—": "-", "\uf0b7": "•"})
+#: What a line is by its form: a page's number, nothing, an item of a list, or other text.
+_FORM = re.compile(r"(?P<number>\|?\s*\d{1,4}\s*)|(?P<blank>)|(?P<item>(?:\d+[.)]|[•-])\s.*)|(?P<text>.+)")
+#: Signs after which a sentence may be over.
+_OVER = ".!?;:"
+
+
+def _form(line: str) -> str:
+    """number, blank, item, heading or text."""
+    form = _FORM.fullmatch(line).lastgroup
+    letters = [c for c in line if c.isalpha()] if form == "text" and len(line) <= HEADING else []
+    return "heading" if letters and sum(map(str.isupper, letters)) > CAPITALS * len(letters) else form
+
+
+def _blocks(lines: Iterable[str]) -> Iterator[list[str]]:
+    """Runs of lines that no blank line, heading or list item parts; a word that a hyphen breaks holds lines together."""
+    block: list[str] = []
+    for form, line in ((_form(line), line) for line in lines):
+        broken_word = bool(block) and block[-1].endswith("-") and line[:1].islower()
+        if form == "blank" or (form in ("heading", "item") and not broken_word):
+            yield block
+            block = []
+        if form not in ("blank", "number"):
+            block.append(line)
+    yield block
+
+
+def _paragraphs(block: Sequence[str]) -> Iterator[str]:
+    """A block as one text, parted at those ends of sentences that stand far enough from the part before."""
+    whole, ends = "", []
+    for line in block:
+        joint = "" if not whole or (whole.endswith("-") and line[0].islower()) else " "
+        if joint and whole[-1] in _OVER and len(line) > OPENED:
+            ends.append(len(whole))
+        whole += joint + line
+    begin = 0
+    for end in ends:
+        if end - begin > CLOSED:
+            yield whole[begin:end]
+            begin = end + 1
+    if whole:
+        yield whole[begin:]
 
 
 def mended(text: str | None) -> str:
@@ -37,39 +72,29 @@ def mended(text: str | None) -> str:
     Headings, list items, blank lines and ended sentences of long paragraphs begin a new one; a hyphen at a line's end
     joins a word.
     """
-    paragraphs = [""]
-    for line in (text or "").replace("\r\n", "\n").translate(_SIGNS).split("\n"):
-        line = " ".join(line.split())
-        if line and _PAGE_NUMBER.fullmatch(line):
-            continue
-        last = paragraphs[-1]
-        if not line:
-            paragraphs.append("")
-        elif not last:
-            paragraphs[-1] = line
-        elif last.endswith("-") and line[0].islower():
-            paragraphs[-1] = last + line
-        elif _heading(line) or _ITEM.match(line) or (last[-1] in ".!?;:" and len(last) > CLOSED and len(line) > OPENED):
-            paragraphs.append(line)
-        else:
-            paragraphs[-1] = f"{last} {line}"
-    return "\n".join(p for p in paragraphs if p)
+    lines = (" ".join(line.split()) for line in (text or "").replace("\r\n", "\n").translate(_SIGNS).split("\n"))
+    return "\n".join(p for block in _blocks(lines) for p in _paragraphs(block))
 
 
-def _cut(paragraph: str, target: int, overlap: int) -> Iterator[str]:
+def _cut(paragraph: str, target: int, overlap: int) -> list[str]:
     """Pieces of a long paragraph, each ended after the last sentence, clause or word of its second half; each begins
     `overlap` characters before the last one's end."""
-    start = 0
-    while start < len(paragraph):
-        end = min(start + target, len(paragraph))
-        if end < len(paragraph):
-            ends = ((paragraph.rfind(sign, start, end), len(sign)) for sign in CUT_AFTER)
-            end = next((at + size for at, size in ends if at > start + target * 0.5), end)
-        if piece := paragraph[start:end].strip():
-            yield piece
-        if end == len(paragraph):
-            return
-        start = max(end - overlap, start + 1)
+    # all places to cut after, by sign; the cuts are then looked up among them
+    places = [[m.end() for m in re.finditer(re.escape(sign), paragraph)] for sign in CUT_AFTER]
+
+    def last(start: int) -> int:
+        full = start + target
+        for sign, ends in zip(CUT_AFTER, places, strict=True):
+            at = bisect_right(ends, full) - 1
+            if at >= 0 and ends[at] - len(sign) > start + target / 2:
+                return ends[at]
+        return full
+
+    spans = [(0, len(paragraph) if target >= len(paragraph) else last(0))]
+    while spans[-1][1] < len(paragraph):
+        start = max(spans[-1][1] - overlap, spans[-1][0] + 1)
+        spans.append((start, len(paragraph) if start + target >= len(paragraph) else last(start)))
+    return [piece for begin, end in spans if (piece := paragraph[begin:end].strip())]
 
 
 def pieces(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
