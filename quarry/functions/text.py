@@ -43,6 +43,36 @@ def year_of(*candidates: Column | str) -> Column:
     return F.coalesce(*found)
 
 
+# fixed values: where a record's year may stand, in this order: fields of its own, then fields of nested records
+YEAR_FIELDS = ("year", "publication_year", "document_year", "source_year")
+YEAR_RECORDS = ("document_metadata", "extra_metadata", "metadata")
+NESTED_YEAR_FIELDS = ("year", "publication_year", "document_year", "date", "publication_date", "created", "creation_date", "modified", "modification_date", "CreationDate", "ModDate")
+
+
+def record_year(record: Column | str, filename: Column | str | None = None) -> Column:
+    """The year of a record without a schema (a variant): of its own fields, else of nested records, else of a file's name.
+
+    A number counts as it stands, truncated; a text by the first year that stands apart from other digits; only 1900 to
+    2100 are years.  Without a name given, the record's own filename counts.  Null where nothing has a year.
+    """
+    variant = F.col(record) if isinstance(record, str) else record
+    paths = [f"$.{f}" for f in YEAR_FIELDS] + [f"$.{r}.{f}" for r in YEAR_RECORDS for f in NESTED_YEAR_FIELDS]
+
+    def year_at(path: str) -> Column:
+        text, kind = F.try_variant_get(variant, path, "string"), F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+        number = F.try_variant_get(variant, path, "double")
+        of_number = F.when(number >= 1900, F.when(number < 2101, F.floor(number).cast("int")))
+        is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+        return F.when(is_number, of_number).when(kind != "BOOLEAN", _year_in(text))
+
+    name = F.try_variant_get(variant, "$.filename", "string") if filename is None else (F.col(filename) if isinstance(filename, str) else filename)
+    return F.coalesce(*map(year_at, paths), _year_in(name))
+
+
+def _year_in(text: Column) -> Column:
+    return F.regexp_extract(text, r"(?<![0-9])(19[0-9]{2}|20[0-9]{2}|2100)(?![0-9])", 1).try_cast("int")
+
+
 def range_text(low: Column | str, value: Column | str, high: Column | str) -> Column:
     """A value or range for reading: 1–2, 1, ≤2, ≥1 or nothing; whole numbers without a fraction."""
     show = lambda c: F.regexp_replace((F.col(c) if isinstance(c, str) else c).cast("string"), r"\.0$", "")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,11 +68,32 @@ def kind_of(name: str) -> str:
     return next((kind for kind, cues in KINDS if any(cue in name.lower() for cue in cues)), "organization")
 
 
+class Mention(NamedTuple):
+    name: str
+    kind: str
+    start: int
+    end: int
+
+
+def mentions(text: str) -> Iterator[Mention]:
+    """Plausible organisations of a text and where they stand; plain ones must be at work nearby."""
+    for found in (m for pattern in _MENTIONS for m in pattern.finditer(text)):
+        name = display_name(found[0])
+        if not plausible(name):
+            continue
+        kind = kind_of(name)
+        if kind != "organization" or any(cue in near(text, found.start(), found.end(), ACTIVITY_REACH) for cue in ACTIVITY):
+            yield Mention(name, kind, found.start(), found.end())
+
+
+def near(text: str, start: int, end: int, reach: int) -> str:
+    return text[max(0, start - reach) : end + reach].casefold()
+
+
 def expert_mentions(texts: DataFrame, stems: Sequence[str] = (), chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
     """Plausible organisations near a topic: chunk_id, key, name, kind, topic_hits, quality (array).
 
-    With stems, one must stand within reach of the mention; long stems count as hits.  Plain organisations must be
-    at work nearby.  Null texts mention none.
+    With stems, one must stand within reach of the mention; long stems count as hits.  Null texts mention none.
     """
     dtype = texts.schema[chunk_id].dataType.simpleString()
 
@@ -79,16 +101,11 @@ def expert_mentions(texts: DataFrame, stems: Sequence[str] = (), chunk_id: str =
         for batch in batches:
             rows = []
             for key, text in batch.itertuples(index=False):
-                for m in (m for pattern in _MENTIONS for m in pattern.finditer(text)):
-                    name = display_name(m[0])
-                    if not plausible(name):
-                        continue
-                    near = lambda reach, m=m, text=text: text[max(0, m.start() - reach) : m.end() + reach].casefold()
-                    found = [s for s in stems if s in near(TOPIC_REACH)]
-                    if (stems and not found) or (kind_of(name) == "organization" and not any(cue in near(ACTIVITY_REACH) for cue in ACTIVITY)):
-                        continue
-                    hits = max(1, sum(len(s) >= 7 for s in found)) if stems else 0
-                    rows.append((key, entity_key(name), name, kind_of(name), hits, list(quality(name))))
+                for m in mentions(text):
+                    found = [s for s in stems if s in near(text, m.start, m.end, TOPIC_REACH)]
+                    if found or not stems:
+                        hits = max(1, sum(len(s) >= 7 for s in found)) if stems else 0
+                        rows.append((key, entity_key(m.name), m.name, m.kind, hits, list(quality(m.name))))
             yield pd.DataFrame(rows, columns=["chunk_id", "key", "name", "kind", "topic_hits", "quality"])
 
     source = texts.select(F.col(chunk_id).alias("chunk_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")

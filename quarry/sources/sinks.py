@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from quarry.functions.text import relation_type
 from quarry.operators.changes import audit_rows, repeated_keys, typed
 
 
+#: How rows are counted whose value isn't among those counted by themselves.
+OTHER = "other"
+
+
 def explode_documents(documents: DataFrame) -> dict[str, DataFrame]:
     """Nested document records as tables of nodes and edges.
 
@@ -63,6 +70,31 @@ def append_audit(events: DataFrame, folder: str) -> None:
     audit_rows(events).write.mode("append").parquet(folder)
 
 
+def written_with_counts(rows: DataFrame, folder: str, counters: dict[str, Sequence[object]], good: Column | None = None, kind: str = "parquet") -> tuple[dict[str, int], list[Row]]:
+    """Overwrites a folder with rows and counts them in the same pass: totals, and rows by attributes.
+
+    counters: for each attribute the values that are counted by themselves; all others, and nulls, count as `other`.
+    Given several attributes, their combinations are counted.  good is a condition: totals hold rows, succeeded and failed.
+    The second is one row a combination that occurs: the attributes and cnt.
+    """
+    ok = F.coalesce(good, F.lit(False)) if good is not None else F.lit(True)
+    labels = {name: [*map(str, values), OTHER] for name, values in counters.items()}
+    # the combination's place among all of them; one metric counts each place
+    place = F.lit(0)
+    for name, values in labels.items():
+        known = F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.coalesce(F.col(name).cast("string"), F.lit(OTHER))), F.lit(0))
+        place = place * len(values) + F.when(known > 0, known - 1).otherwise(len(values) - 1)
+    every = list(itertools.product(*labels.values())) if labels else []
+    seen = Observation()
+    metrics = [F.count_if(place == k).alias(f"c{k}") for k in range(len(every))]
+    watched = rows.observe(seen, F.count("*").alias("rows"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), *metrics)
+    watched.write.mode("overwrite").format(kind).save(folder)
+    told = seen.get
+    totals = {name: int(told.get(name) or 0) for name in ("rows", "succeeded", "failed")}
+    counted = [Row(**dict(zip(labels, values, strict=True)), cnt=int(told[f"c{k}"])) for k, values in enumerate(every) if told.get(f"c{k}")]
+    return totals, counted
+
+
 def split_errors(rows: DataFrame, good: str, bad: str, clip: int = 10_000) -> None:
     """Writes rows without an error and rows with one to two places; raw responses of the latter are cut."""
     rows.where("error IS NULL").drop("error").write.mode("append").json(good)

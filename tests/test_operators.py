@@ -154,16 +154,6 @@ def test_document_records_become_tables(spark):
     assert [r["value_id"] for r in tables["has_parameter"].collect()] == ["n1"]
 
 
-def test_stream_ends_like_the_batch(spark, tmp_path):
-    schema = "document_id string, page int, text string"
-    spark.createDataFrame([("a", 1, "one"), ("b", 1, "two")], schema).write.parquet(str(tmp_path / "in"))
-    run = lambda: ingest.index_stream(ingest.page_stream(spark, str(tmp_path / "in"), T._parse_datatype_string(schema)), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    run()
-    spark.createDataFrame([("a", 1, "one again")], schema).write.mode("append").parquet(str(tmp_path / "in"))
-    run()
-    assert {(r["document"], r["text"]) for r in ingest.current(spark, str(tmp_path / "out")).collect()} == {("a", "one again"), ("b", "two")}
-
-
 def test_weak_topics_keep_unmentioned_entities(spark):
     fact = spark.createDataFrame([(1,), (2,)], "fact_id int")
     links = spark.createDataFrame([(1, 10), (2, 10), (1, 11)], "fact_id int, entity_id int")
