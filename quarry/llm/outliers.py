@@ -154,7 +154,8 @@ def _step(points: DataFrame, sizes: DataFrame, found: DataFrame, share: float |
     sums = [F.sum(v).alias(s) for v, s in zip(moved, _SUM, strict=True)] + [F.sum(moved[i] * moved[j]).alias(q) for (i, j), q in zip(_BELOW, _SQUARE, strict=True)]
     means = [F.first(m).alias(m) for m in _MEAN]
     bins = near.groupBy("cell", F.floor(F.log2(F.col("d") + 1e-9) * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n"), *sums, *means)
-    return saved(bins.join(sizes, "cell").groupBy("cell").applyInPandas(lambda rows: _moved(rows, share), _ESTIMATE))
+    # written first, so that what tasks summed meets by cell and bin, and only whole bins meet by cell
+    return saved(saved(bins).join(sizes, "cell").groupBy("cell").applyInPandas(lambda rows: _moved(rows, share), _ESTIMATE))
 
 
 def estimates(points: DataFrame) -> DataFrame:
