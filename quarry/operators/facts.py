@@ -66,7 +66,9 @@ def satisfying(facts: DataFrame, values: DataFrame, constraints: Sequence[Constr
     some = met[0]
     for m in met[1:]:
         some = some | m
-    each = values.where(some).groupBy("fact_id").agg(*(F.max(m).alias(f"met{k}") for k, m in enumerate(met)))
+    # by itself too: where values are a view that aggregates by parameter, this goes below it, down to the scan
+    asked = values.where(F.col("parameter").isin(sorted({c.parameter for c in constraints})))
+    each = asked.where(some).groupBy("fact_id").agg(*(F.max(m).alias(f"met{k}") for k, m in enumerate(met)))
     return facts.join(each.where(" AND ".join(f"met{k}" for k in range(len(met)))).select("fact_id"), "fact_id", "left_semi")
 
 
@@ -81,7 +83,10 @@ def ranked(facts: DataFrame, limit: int) -> DataFrame:
 
 
 def search(facts: DataFrame, sources: DataFrame, values: DataFrame, condition: FactFilter, role: str, limit: int = 50) -> DataFrame:
+    """The first facts that a role may see and that meet a condition.  Values are looked at of the facts that are left."""
     found = with_sources(facts, sources, role).where(condition.column())
+    if condition.numeric:
+        values = values.join(found.select("fact_id"), "fact_id", "left_semi")
     return ranked(satisfying(found, values, condition.numeric), limit)
 
 

@@ -21,10 +21,16 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Distinct edges in both directions, written once for all hops of a walk, and clustered by their start."""
+    return saved(undirected(edges).distinct().repartition("src").sortWithinPartitions("src"))
+
+
 def _spread(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """Nodes within some hops of seeds, with the fewest: node, hops.  Each hop's frontier is saved, so a plan holds one
-    hop; Spark broadcasts a small frontier, and the edges then aren't shuffled."""
-    both, seen = undirected(edges), saved(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    """Nodes within some hops of seeds, with the fewest: node, hops.  Edges are given in both directions and saved; each
+    hop's frontier is saved, so a plan holds one hop; Spark broadcasts a small frontier, and the edges then aren't
+    shuffled."""
+    both, seen = edges, saved(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for hop in range(1, depth + 1):
         met = both.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
@@ -37,14 +43,14 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes within `depth` hops of seeds (node), with the fewest hops: node, hops."""
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be from 1 to {MAX_DEPTH}")
-    return _spread(edges, seeds, depth)
+    return _spread(adjacency(edges), seeds, depth)
 
 
 def path_lengths(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most: int = MAX_HOPS) -> DataFrame:
     """Hops of the shortest path from seeds to each target that is within `most`: node, hops."""
     if not 1 <= most <= MAX_HOPS:
         raise ValueError(f"paths have at most {MAX_HOPS} hops")
-    return _spread(edges, seeds, most).join(targets.select("node").distinct(), "node", "left_semi")
+    return _spread(adjacency(edges), seeds, most).join(targets.select("node").distinct(), "node", "left_semi")
 
 
 def path_nodes(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most: int = MAX_HOPS, limit: int = 50) -> DataFrame:
@@ -55,7 +61,8 @@ def path_nodes(edges: DataFrame, seeds: DataFrame, targets: DataFrame, most: int
     """
     if not 1 <= most <= MAX_HOPS:
         raise ValueError(f"paths have at most {MAX_HOPS} hops")
-    both, seen = undirected(edges), saved(_spread(edges, seeds, most))
+    both = adjacency(edges)
+    seen = saved(_spread(both, seeds, most))
     ends = seen.join(targets.select("node").distinct(), "node", "left_semi").orderBy("hops", "node").limit(limit)
     paths = saved(ends.select("node", "hops", F.array("node").alias("path")))
     for left in range(most, 0, -1):
@@ -95,9 +102,10 @@ def visible_nodes(nodes: DataFrame, edges: DataFrame, asked: DataFrame, role: st
     """Which of some nodes (node) a role may look at: sources that it may see, nodes within three hops of one, and nodes
     with an edge of a level that it may see.  This is looser than `visible_part`."""
     sources = nodes.where((F.col("label") == "Source") & visible(role)).select("node").distinct()
-    near = _spread(edges, asked, 3)
+    both = adjacency(edges)
+    near = _spread(both, asked, 3)
     # an asked node sees a source within three hops if the source reaches it within three
-    reached = neighbours(edges, near.select("node").join(sources, "node", "left_semi"), 3).select("node")
+    reached = _spread(both, near.select("node").join(sources, "node", "left_semi"), 3).select("node")
     touched = undirected(edges.where(F.col("access_level").isNotNull() & visible(role))).select(F.col("src").alias("node"))
     return asked.select("node").distinct().join(reached.unionByName(touched).distinct(), "node", "left_semi")
 

@@ -474,8 +474,10 @@ _FLOW_FUSED = f"(SELECT chunk_id, round(sum(part), 8) AS score FROM ({_branch_sq
 _FLOW_HITS = f"(SELECT chunk_id, document_id, score FROM (SELECT f.chunk_id, document_id, score, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, f.chunk_id) AS place FROM {_FLOW_FUSED} f JOIN chunk USING (chunk_id)) WHERE place <= 2 ORDER BY score DESC, chunk_id LIMIT 50)"
 
 
-def _engine(v: Views) -> Engine:
-    return Engine(v.facts(), v.sources(), v.about(), v.entities(), v.values(), v.chunks(), v.vectors(), v.supported(), _edges(v))
+def _engine(v: Views, **more) -> Engine:  # noqa: ANN003
+    nodes, edges = _labelled_graph(v)
+    given = {"chunks": v.chunks()} | more
+    return Engine(facts=v.facts(), sources=v.sources(), about=v.about(), entities=v.entities(), values=v.values(), vectors=v.vectors(), supported=v.supported(), edges=edges, nodes=nodes, **given)
 
 
 @query(f"""SELECT fact_id, source_id, retrieval_score FROM (SELECT s.fact_id, s.source_id, retrieval_score, {_PLAN_SQL} AS plan_score, {_EXPLICIT} AS explicit_score, {_OTHER} AS entity_score, confidence, year

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import catalogue, indexed  # noqa: F401  the latter adds to the former's queries
+from quarry.plans import catalogue, flows, indexed  # noqa: F401  the latter two add to the first one's queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,5 +87,5 @@ def window_stream(events: DataFrame, folder: str, checkpoint: str, late: str = "
     It processes what is there and ends; the state, in the checkpoint, holds the open windows, and the next start takes
     up there.  A window that is written is final.
     """
-    counts = _counts(once(events, late=late), size)
+    counts = _counts(once(events.withColumn("ts", F.col("ts").cast("timestamp")), late=late), size)
     return counts.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
