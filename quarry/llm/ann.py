@@ -5,8 +5,12 @@ bounded sample, the lower ones on medians over all nodes of a leaf), inside whic
 of NN-descent then joins every node with its neighbours and reverse neighbours (at most `DEGREE` of each) and
 compares these with one another: neighbours of neighbours become neighbours.  Rounds end when few edges are new.  A query
 starts at its own node and repeatedly expands the nearest unexpanded nodes of its pool until the nearest `POOL` have been
-expanded.  Graph and walk see vectors scaled by one power of two, in single precision; scores come from the vectors as
+expanded.  Graph and walk see vectors in single precision, scaled by a power of two; scores come from the vectors as
 they were given, in double precision.
+
+Vectors of very different sizes (magnitudes with a gap of 2**GAP between them) are bands with graphs of their own.  Beside a
+vector of a larger band a smaller one is as good as zero: all of them are equally near to it, so of smaller bands the
+smallest ids are candidates for every query, and of larger bands the shortest vectors.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from quarry.llm._work import saved
 DEGREE, TREES, LEAF, SAMPLE, FITTED = 32, 6, 128, 20_000, 7
 #: Rounds of NN-descent end when a smaller share of edges is new, or after so many.
 NEW_SHARE, ROUNDS = 0.02, 12
+#: Binary orders of magnitude without a vector that part two bands (more than double precision resolves), and the most
+#: that a band may span before its widest gap parts it too.
+GAP, SPAN = 60, 100
 #: Nodes that a query must have expanded before it ends; nodes it expands at once.
 POOL, EXPAND = 320, 80
 
@@ -35,9 +42,27 @@ def usable(vector: str) -> Column:
     return F.coalesce(good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def distance(x: str, y: str) -> Column:
-    """Euclidean distance in double precision."""
-    return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v))
+def distance(x: Column | str, y: Column | str) -> Column:
+    """Euclidean distance in double precision, scaled by the largest difference where squares would leave its range."""
+    apart = F.zip_with(x, y, lambda a, b: a.cast("double") - b.cast("double"))
+    square = F.aggregate(apart, F.lit(0.0), lambda s, v: s + v * v)
+    most = F.array_max(F.transform(apart, F.abs))
+    scaled = most * F.sqrt(F.aggregate(F.transform(apart, lambda v: v / most), F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(square.between(1e-280, 1e300), F.sqrt(square)).when(most > 0, scaled).otherwise(0.0)
+
+
+def bands(exponents: list[int]) -> list[int]:
+    """The first exponent of each band, from sorted distinct ones."""
+    starts = exponents[:1] + [e for before, e in zip(exponents, exponents[1:], strict=False) if e - before >= GAP]
+    while True:
+        for start, stop in zip(starts, [*starts, math.inf][1:], strict=True):
+            own = [e for e in exponents if start <= e < stop]
+            if own[-1] - own[0] > SPAN:
+                _, cut = max((after - before, after) for before, after in zip(own, own[1:], strict=False))
+                starts = sorted([*starts, cut])
+                break
+        else:
+            return starts
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -190,20 +215,37 @@ def nearest(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector:
     rows = known.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("w"), queries.alias("asks"))
     size = rows.groupBy(F.size("w").alias("size")).count().orderBy(F.desc("count"), "size").first()
     rows = saved(rows.where(F.size("w") == (size["size"] if size else 0)).withColumn("key", F.xxhash64("w")))
-    largest = rows.agg(F.max(F.array_max(F.transform("w", F.abs)))).first()[0]
-    factor = 2.0 ** -min(1000, max(-1000, math.frexp(largest or 1.0)[1]))
+    exponent = F.floor(F.log2(F.array_max(F.transform("w", F.abs)))).cast("int")
+    exponents = sorted(rows.agg(F.collect_set(exponent)).first()[0])  # some 2,100 at most
+    starts = bands(exponents) or [0]
+    tops = [max((e for e in exponents if start <= e < stop), default=0) for start, stop in zip(starts, [*starts[1:], math.inf], strict=True)]
     classes = rows.groupBy("key", "w").agg(F.min("vec_id").alias("least"), F.max(F.coalesce("asks", F.lit(False))).alias("asks"))
     # a number of each vector's own: ids may be repeated, and hashes may meet
     again = F.row_number().over(Window.partitionBy("id").orderBy("w"))
     numbered = classes.withColumn("id", F.xxhash64("key", "least")).withColumn("again", again)
-    scaled = F.transform("w", lambda x: (x * factor).cast("float")).alias("v")
+    band = sum((F.when(exponent >= start, 1).otherwise(0) for start in starts[1:]), F.lit(0))
+    # two factors, since the power of the smallest vectors is out of range
+    halves = [(2.0 ** -((top + 1) // 2), 2.0 ** -(top + 1 - (top + 1) // 2)) for top in tops]
+    one, other = (F.element_at(F.array(*(F.lit(h[k]) for h in halves)), F.col("band") + 1) for k in (0, 1))
+    scaled = F.transform("w", lambda x: (x * one * other).cast("float")).alias("v")
     number = F.when(F.col("again") > 1, F.xxhash64("id", "again")).otherwise(F.col("id")).alias("id")
-    nodes = saved(numbered.select(number, "key", "least", "asks", "w", scaled))
-    graph = neighbour_graph(nodes.select("id", "v"))
-    found = search(nodes.select("id", "v"), graph, nodes.where("asks").select(F.col("id").alias("q"), "v"))
+    nodes = saved(numbered.withColumn("band", band).select(number, "key", "least", "asks", "w", "band", scaled))
+    found = None
+    for k_band in range(len(starts)):
+        own = nodes.where(F.col("band") == k_band) if len(starts) > 1 else nodes
+        graph = neighbour_graph(own.select("id", "v"))
+        met = search(own.select("id", "v"), graph, own.where("asks").select(F.col("id").alias("q"), "v"))
+        found = met if found is None else found.unionByName(met)
     # scores of the vectors themselves, for more of the nearest than are asked for, since single precision may confuse some
     close = F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))
     found = found.join(nodes.select("id", "least", F.col("w").alias("y")), "id").withColumn("close", close).where(F.col("close") <= 4 * (k + 1))
+    found = found.select("q", "id", "least", "y")
+    for k_band in range(len(starts) if len(starts) > 1 else 0):
+        smaller = nodes.where(F.col("band") < k_band).orderBy("least").limit(k + 1)
+        larger = nodes.where(F.col("band") > k_band).orderBy("band", distance("w", F.transform("w", lambda x: F.lit(0.0))), "least").limit(k + 1) if k_band + 1 < len(starts) else smaller.limit(0)
+        outside = smaller.unionByName(larger).select("id", "least", F.col("w").alias("y"))
+        asking = nodes.where(F.col("asks") & (F.col("band") == k_band)).select(F.col("id").alias("q"))
+        found = found.unionByName(asking.join(F.broadcast(outside)).select("q", "id", "least", "y"))  # 2 k + 2 rows
     found = found.join(nodes.where("asks").select(F.col("id").alias("q"), F.col("w").alias("x")), "q").select("q", "id", "least", distance("x", "y").alias("d"))
     best = F.row_number().over(Window.partitionBy("q").orderBy("d", "least"))
     found = found.withColumn("best", best).where(F.col("best") <= k + 1).drop("best", "least")

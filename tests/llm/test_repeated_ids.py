@@ -29,7 +29,7 @@ def test_nearest_of_doubles_and_huge_values(spark):
     (found,) = near([(0, [0.1, 0.2]), (1, [0.3, 0.4])])
     assert found == (0, 1, 1, np.sqrt(np.sum((np.array([0.1, 0.2]) - np.array([0.3, 0.4])) ** 2)))
     assert [r[2] for r in near([(0, [1e20, 0.0]), (1, [0.0, 1e20]), (2, [1.0, 1.0])], "float")] == [2, 1]
-    assert [(r[2], r[3]) for r in near([(0, [1e-300, 0.0]), (1, [1e300, 0.0]), (2, [0.0, 1.0])])] == [(2, 1.0), (1, float("inf"))]
+    assert [(r[2], r[3]) for r in near([(0, [1e-300, 0.0]), (1, [1e300, 0.0]), (2, [0.0, 1.0])])] == [(2, 1.0), (1, 1e300)]
     assert [r[2] for r in near([(0, [0.0, 4.0]), (7, [1.0, 0.0]), (7, [0.0, 5.0]), (8, [0.0, 5.0])])] == [7, 8, 7]
 
 
