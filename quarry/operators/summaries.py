@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.facts import ranked
@@ -53,8 +53,11 @@ def compare(facts: DataFrame, key: str, limit: int = 500) -> DataFrame:
 
 def members(facts: DataFrame, key: str, limit: int = 500) -> DataFrame:
     """Like compare, with the facts of each group in rank order: key, fact_ids."""
-    rank = F.struct(-F.coalesce("confidence", F.lit(float("inf"))), -F.coalesce("year", F.lit(9999)), "fact_id")
-    return ranked(facts, limit).groupBy(F.coalesce(F.col(key), F.lit("unknown")).alias(key)).agg(F.transform(F.array_sort(F.collect_list(rank)), lambda r: r["fact_id"]).alias("fact_ids"))
+    first = ranked(facts, limit)
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_first("confidence"), F.desc_nulls_first("year"), "fact_id"))  # at most `limit` rows
+    name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("unknown")).alias(key)
+    placed = first.select(name, place.alias("place"), "fact_id")
+    return placed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "fact_id"))), lambda r: r["fact_id"]).alias("fact_ids")).orderBy(key)
 
 
 def total(facts: DataFrame, condition: Column, name: str) -> DataFrame:

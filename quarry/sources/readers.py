@@ -50,7 +50,7 @@ def overlay_chunks(spark: SparkSession, folder: str, chunk: T.StructType) -> Dat
     """
     kind = T.StructType([T.StructField("document_id", T.StringType()), T.StructField("chunks", T.ArrayType(chunk))])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    read = files.select(F.struct("modificationTime", "path").alias("at"), F.from_json(F.decode("content", F.lit("UTF-8")), kind).alias("file")).select("at", "file.*").where("document_id IS NOT NULL")
+    read = files.select(F.struct("modificationTime", "path").alias("at"), F.from_json(F.col("content").cast("string"), kind).alias("file")).select("at", "file.*").where("document_id IS NOT NULL")
     newest = read.groupBy("document_id").agg(F.max_by("chunks", "at").alias("chunks"))
     return valid_chunks(newest.select("document_id", F.inline("chunks")))
 
