@@ -7,9 +7,9 @@ each text and is never predicted.  With h' the history h without its first word,
     alpha(h) * P(x | h')            if h was seen but never before x,
     P(x | h')                       if h was never seen,
 
-recursively down to P(x) = (c(x) + 1) / (tokens + distinct + 1), in which all words never seen are one.  alpha(h)
-makes the sum over all x one; s(h) is 1, but c(h) / (c(h) + 1) where discounts leave nothing.  A text's first token
-has the start alone as its history.
+recursively down to words: P(x) = s * d(c) * c(x) / tokens, discounted likewise, and what is left for all words never
+seen, which are one.  alpha(h) makes the sum over all x one; s(h) is 1, but c(h) / (c(h) + 1) where discounts leave
+nothing (so for words, with their number).  A text's first token has the start alone as its history.
 
 How it runs: texts become chunks of bounded size.  A chunk sends its distinct words to partitions once and gets back
 their numbers and counts; then, order by order, its distinct n-grams, with their training counts and the
@@ -131,9 +131,25 @@ def _asks(chunk: _Chunk, order: int, parts: int) -> tuple[_Gram, np.ndarray, np.
     return gram, lower, divisor, count > 0, part.astype(np.int64), cuts
 
 
-def _lower(count: np.ndarray, divisor: np.ndarray, discount: np.ndarray | None, total: int) -> np.ndarray:
+class _Words:
+    """The lowest order: Good-Turing discounted counts of words, and what they leave for words never seen."""
+
+    def __init__(self, tokens: int, distinct: int, seen: np.ndarray):
+        """seen: how many words were seen once to TOP + 1 times."""
+        self.tokens, self.base = tokens, tokens + distinct + 1
+        self.discount = np.concatenate([[0], discounts(seen), [1]])
+        left = float(((1 - self.discount[1 : TOP + 1]) * np.arange(1, TOP + 1) * seen[:TOP]).sum()) / max(tokens, 1)
+        bare = left < 1e-9  # all words are frequent, or there are none: one more count goes to the unseen
+        self.divisor = tokens + 1 if bare else tokens
+        self.unseen = 1 / (tokens + 1) if bare else left
+
+    def __call__(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, self.discount[np.minimum(count, TOP + 1)] * count / self.divisor, self.unseen)
+
+
+def _lower(count: np.ndarray, divisor: np.ndarray, discount: np.ndarray | None, words: _Words) -> np.ndarray:
     """Probabilities by the lower order: of words, or (given discounts) of pairs that were seen."""
-    return (count + 1) / total if discount is None else discount[np.minimum(count, TOP + 1)] * count / np.maximum(divisor, 1)
+    return words(count) if discount is None else discount[np.minimum(count, TOP + 1)] * count / np.maximum(divisor, 1)
 
 
 def _split(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -217,8 +233,8 @@ def _with_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     return chunks.join(given, "chunk", "left")
 
 
-def _numbered(chunks: DataFrame, parts: int, texts: tuple[int, int]) -> tuple[DataFrame, tuple[int, int]]:
-    """Chunks with numbers for words (frequent ones small), and training tokens and distinct ones."""
+def _numbered(chunks: DataFrame, parts: int, texts: tuple[int, int]) -> tuple[DataFrame, _Words]:
+    """Chunks with numbers for words (frequent ones small), and what is known of words."""
 
     def ask(row: dict) -> pa.RecordBatch:
         tokens, words = _unpack(row["data"])
@@ -238,11 +254,12 @@ def _numbered(chunks: DataFrame, parts: int, texts: tuple[int, int]) -> tuple[Da
         if len(known) and number.max() > 0xFFFFFFFF:
             raise ValueError("more distinct words than 32-bit numbers")
         ends = np.cumsum([len(h) for h in hashes])[:-1]
-        return [_pack(number[p].astype(np.uint32), n[p], every[p]) for p in np.split(place, ends)], _pack(np.array([n.sum(), len(known)]))
+        return [_pack(number[p].astype(np.uint32), n[p], every[p]) for p in np.split(place, ends)], _pack(np.array([n.sum(), len(known), *((n == r).sum() for r in range(1, TOP + 2))], dtype=np.int64))
 
     answers = _answered(_each(chunks, ask, _SENT), answer)
     sums = [_unpack(r["data"])[0] for r in answers.where("chunk IS NULL").select("data").toLocalIterator()]
-    tokens, distinct = (int(sum(s[k] for s in sums)) for k in (0, 1))
+    tokens, distinct, *seen = (np.sum(sums, axis=0) if sums else np.zeros(TOP + 3, dtype=np.int64)).tolist()
+    seen = np.array(seen) + (np.arange(1, TOP + 2) == texts[0])  # the end is a word too
 
     def number(row: dict) -> pa.RecordBatch:
         tokens, words = _unpack(row["data"])
@@ -257,7 +274,7 @@ def _numbered(chunks: DataFrame, parts: int, texts: tuple[int, int]) -> tuple[Da
 
     numbered = saved(_each(_with_answers(chunks, answers), number, _CHUNK))
     _dropped(chunks, answers)
-    return numbered, (tokens + texts[0], distinct + (texts[0] > 0))
+    return numbered, _Words(tokens + texts[0], distinct + (texts[0] > 0), seen)
 
 
 def _sums(history: np.ndarray, total: np.ndarray, lower: np.ndarray, rows: int) -> np.ndarray:
@@ -265,7 +282,7 @@ def _sums(history: np.ndarray, total: np.ndarray, lower: np.ndarray, rows: int)
     return np.stack([np.bincount(history, total, rows), *(np.bincount(history, total == r, rows) for r in range(1, TOP + 1)), np.bincount(history, np.where(total > 0, lower, 0), rows)])
 
 
-def _answerer(discount: np.ndarray | None, total: int) -> Callable[[int, list[list[np.ndarray]]], tuple[list[bytes], bytes]]:
+def _answerer(discount: np.ndarray | None, words: _Words) -> Callable[[int, list[list[np.ndarray]]], tuple[list[bytes], bytes]]:
     """What answers each chunk: its n-grams' totals in training and in all; sums of its histories, in its order.
 
     The sum of lower probabilities is left out (0) for histories after which the chunk has only seen words.
@@ -277,7 +294,7 @@ def _answerer(discount: np.ndarray | None, total: int) -> Callable[[int, list[li
         key, place, one = _distinct(np.repeat(mine, joined[1]).astype(np.uint64) << np.uint64(32) | joined[2])
         row = (key >> np.uint64(32)).astype(np.int64)
         n, held = (np.bincount(place, joined[k], len(key)).astype(np.int64) for k in (3, 4))
-        lower = _lower(joined[5][one].astype(np.int64), joined[6][some][row], discount, total)
+        lower = _lower(joined[5][one].astype(np.int64), joined[6][some][row], discount, words)
         cut = joined[7][some] > 1
         sums, out, at, begin = _sums(row, n, lower, len(names)), [], 0, 0
         for a in asked:
@@ -300,10 +317,8 @@ def _dropped(*frames: DataFrame) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[int, int], totals: tuple[int, int], below: np.ndarray | None) -> tuple[DataFrame, np.ndarray]:
+def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[int, int], words: _Words, below: np.ndarray | None) -> tuple[DataFrame, np.ndarray]:
     """Chunks with what is known of their n-grams of an order (of the last one, the scores), and its discounts."""
-    total = totals[0] + totals[1] + 1
-
     def ask(row: dict) -> pa.RecordBatch:
         chunk, out = _Chunk(row, texts), []
         gram, lower, divisor, asked, part, cuts = _asks(chunk, order, parts)
@@ -319,7 +334,7 @@ def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[
             out.append((p, _pack(_steps(h), size.astype(np.uint32), gram.w[own], n[own].astype(np.uint32), held[own].astype(np.uint32), lower[own].astype(np.uint32), divisor[own[at]], cuts[own[at]])))
         return _sent(row["chunk"], out)
 
-    answers = _answered(_each(chunks, ask, _SENT), _answerer(below, total))
+    answers = _answered(_each(chunks, ask, _SENT), _answerer(below, words))
     seen, cut = np.zeros(TOP + 1, dtype=np.int64), {}
     for r in answers.where("chunk IS NULL").select("data").toLocalIterator():
         found, names, sums = _unpack(r["data"])
@@ -347,7 +362,7 @@ def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[
             at = np.minimum(np.searchsorted(whole, gram.h), len(whole) - 1)
             same = asked & (whole[at] == gram.h)
             sums[:, same] = whole_sums[at[same]].T
-        lower = _lower(lower, divisor, below, total)
+        lower = _lower(lower, divisor, below, words)
         if below is not None:
             pair = gram.lower[gram.at[gram.some]]
             lower = np.where(chunk.c[pair] > 0, lower, chunk.p[pair])
@@ -355,7 +370,7 @@ def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[
         taken = 1 - ((1 - discount[1 : TOP + 1]) * np.arange(1, TOP + 1)) @ sums[1 : TOP + 1] / count
         bare = 1 - taken < 1e-9  # all n-grams are frequent: one more count goes to the unseen
         divisor = (count + bare).astype(np.int64)
-        p = np.where(n > 0, _lower(n, divisor, discount, total), (1 - np.where(bare, count / (count + 1), 1) * taken) / np.maximum(1 - sums[-1], 1e-12) * lower)
+        p = np.where(n > 0, _lower(n, divisor, discount, words), (1 - np.where(bare, count / (count + 1), 1) * taken) / np.maximum(1 - sums[-1], 1e-12) * lower)
         p = np.where(asked, p, lower)
         if not last:
             return _chunk_row(row["chunk"], row["ids"], row["held"], row["sizes"], row["data"], _pack(n.astype(np.uint32), n + held, divisor, np.where(n > 0, 0, p)))
@@ -363,10 +378,10 @@ def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[
         if below is not None:  # a text's first token has no longer history
             heads = chunk.first[:-1]
             pair = gram.lower[heads]
-            token[heads] = np.where(chunk.c[pair] > 0, _lower(chunk.c[pair].astype(np.int64), chunk.divisor[pair], below, total), chunk.p[pair])
+            token[heads] = np.where(chunk.c[pair] > 0, _lower(chunk.c[pair].astype(np.int64), chunk.divisor[pair], below, words), chunk.p[pair])
         token[gram.at] = p[gram.place]
         add = lambda x: np.add.reduceat(x, chunk.first[:-1])
-        base = np.log10((chunk.counts + 1) / total)
+        base = np.log10((chunk.counts + 1) / words.base)
         return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.sizes.astype(np.int64)), pa.array(add((chunk.counts > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(token)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     joined = _with_answers(chunks, answers)
@@ -393,11 +408,11 @@ def scored(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", ord
     chunks = saved(_chunks(source))
     size = chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x))), F.sum(F.size("held")), F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()
     texts, parts = (size[0] or 0, size[1] or 0), -(-(size[2] or 1) // PART_ENTRIES)
-    chunks, totals = _numbered(chunks, parts, texts)
+    chunks, words = _numbered(chunks, parts, texts)
     discount = None
     for n in range(2, order + 1):
-        chunks, discount = _raised(chunks, n, n == order, parts, texts, totals, discount)
-    return chunks.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("bigint").alias("train_tokens"), "base_score", "score")
+        chunks, discount = _raised(chunks, n, n == order, parts, texts, words, discount)
+    return chunks.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(words.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def op5_katz(documents: DataFrame) -> DataFrame:

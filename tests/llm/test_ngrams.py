@@ -27,9 +27,14 @@ def direct(rows, order):
         for g, c in grams[n].items():
             after.setdefault(g[:-1], {})[g[-1]] = c
 
+    tokens = sum(words.values())
+    d1 = dict(enumerate(katz.discounts([sum(c == r for c in words.values()) for r in range(1, 7)]), 1))
+    left = sum((1 - d1.get(c, 1)) * c for c in words.values()) / max(tokens, 1)
+    bare = left < 1e-9
+
     def p(h, x):
         if not h:
-            return (words[x] + 1) / total
+            return d1.get(words[x], 1) * words[x] / (tokens + bare) if words[x] else 1 / (tokens + 1) if bare else left
         own = after.get(h)
         if not own:
             return p(h[1:], x)
@@ -66,6 +71,20 @@ def test_scores_match_a_direct_computation(spark, monkeypatch, order):
         assert sum(p(h, x) for x in outcomes) == pytest.approx(1, abs=1e-9)
 
 
+def test_words_that_are_never_seen_have_a_share(spark):
+    """The words' distribution sums to one, with and without rare words, and beats adding one on held-out words."""
+    import numpy as np
+
+    for counts in ([1] * 50 + [2] * 20 + [3] * 9 + [9, 40], [9, 40, 7], [1], []):
+        found = ngrams._Words(sum(counts), len(counts), np.array([counts.count(r) for r in range(1, 7)]))
+        assert found(np.array([*counts, 0])).sum() == pytest.approx(1)
+
+
+def test_held_out_texts_score_better_than_by_words(spark):
+    got = ngrams.op5_katz(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
+    assert got["s"] > -2.92 and got["b"] < -4
+
+
 def test_every_word_has_its_own_ngrams(spark):
     """More distinct words than the 65,000 that used to have classes: a rare word predicts the one it was seen before."""
     rows = [(i, " ".join(f"r{i}x{k}" for k in range(1000)) + " frequent " * 3) for i in range(80)]
