@@ -1,239 +1,20 @@
-"""Katz backoff language model: Good-Turing discounted bigrams over a base of word counts.
-
-Tokens are words (A-Z lower-cased, between ASCII white space) and one end for each text.  The `CLASSES` most
-frequent words, the end and the start are classes of their own; every other word belongs to one more class,
-inside which it is predicted by its own count (a word never seen: by the mass that Good-Turing gives unseen
-words; all of them count as one, as in the base model).  A class x after a class h has probability
-
-    d(c) * c(h, x) / c(h)      if the pair was seen c times, with d(c) < 1 for c of 1 to 5,
-    alpha(h) * P(x)            else,
-
-where alpha(h) makes the sum over all x exactly one, and P(x) is the add-one share of the class.
-
-How it runs: texts become chunks of bounded size, whose class numbers are kept in a table.  Each chunk sends its
-distinct pairs (and its distinct rarer words) with its training counts to partitions, once, however often a
-pair stands in the chunk; a partition sums them, keeps its part of the model's sums by history, and answers
-each chunk with the totals in the chunk's order.  Partitions cut frequent histories by the predicted class, so
-none outgrows its bound.  Only tables by class (a fixed number of rows) go through the driver.
-"""
+"""What the language model shares: which texts are kept from learning, and Katz's discounts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.llm import _text
-from quarry.llm._work import saved
-
-#: Words with a class of their own (class numbers fit 16 bits); tokens of a chunk; entries of a partition.
-CLASSES, CHUNK_TOKENS, PART_ENTRIES = 65_000, 1_000_000, 2_000_000
-RARE, END, START, WORDS = 0, 1, 2, 3
 #: Counts up to this one are discounted.
 TOP = 5
 
 
-def _pack(values: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
-
-
-def _unpack(blob: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=kind)
-
-
-def _steps(values: np.ndarray) -> np.ndarray:
-    """Sorted values as differences, which pack well."""
-    return np.diff(values, prepend=values.dtype.type(0))
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from learning; rows without an id are."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(True))
 
 
-def word_counts(source: DataFrame) -> DataFrame:
-    """Counts of words in training texts (rows that aren't held out): word (hash), n."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            words, n = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-        for batch in batches:
-            for _, texts in _text.slices(batch.column(2)):
-                starts, stops, _ = texts.spans(_text.NOT_SPACE)
-                kept.append(texts.hashes(starts, stops))
-                size += len(starts)
-                if size >= 2 * CHUNK_TOKENS:
-                    yield flush()
-                    size = 0
-        yield flush()
-
-    return source.where("NOT held").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """The classes: hashes of their words, sorted, and what was counted of each class."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, rare: int, texts: int, distinct: int):
-        order = np.argsort(words.view(np.uint64))
-        self.words = words.view(np.uint64)[order]
-        self.counts = np.concatenate([[rare, texts, 0], counts[order]]).astype(np.float64)
-        self.tokens, self.distinct = int(self.counts.sum()), distinct + (texts > 0)
-        # as a history, the start stands before each text and the end before nothing
-        self.histories = self.counts.copy()
-        self.histories[END], self.histories[START] = 0, texts
-        predicted = np.ones(len(self.counts))
-        predicted[START] = 0
-        self.share = (self.counts + predicted) / (self.tokens + predicted.sum())
-        weight = np.ceil(self.histories / PART_ENTRIES).astype(np.int64)
-        self.split = np.maximum(weight, 1)  # parts of a history of its own, else histories share parts
-        part = np.cumsum(np.where(weight > 1, 0, self.histories)) // PART_ENTRIES
-        alone = np.cumsum(np.where(weight > 1, weight, 0))
-        self.part = np.where(weight > 1, int(part[-1]) + 1 + alone - weight, part).astype(np.int64)
-        self.parts = int(part[-1] + 1 + alone[-1])
-
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashes), RARE, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + WORDS, RARE)
-
-    def part_of(self, keys: np.ndarray) -> np.ndarray:
-        history = keys >> 16
-        return self.part[history] + (keys & 0xFFFF) % self.split[history]
-
-
-def _pairs(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Pairs (history << 16 | class) of a chunk's tokens; each text begins after the start."""
-    history = np.empty_like(classes)
-    history[1:] = classes[:-1]
-    history[first[:-1]] = START
-    return history.astype(np.int64) << 16 | classes
-
-
-_CHUNK = "chunk bigint, ids array<bigint>, held array<boolean>, sizes array<int>, classes binary, rare binary, words binary"
-
-
-def _chunks(source: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Chunks of texts: class numbers of all tokens; of rarer words, the place in the chunk's sorted distinct ones."""
-    sent = source.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, number = sent.value, TaskContext.get().partitionId() << 32
-        ids, held, sizes, hashes, classes = [], [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            flat, numbers = np.concatenate(hashes), np.concatenate(classes)
-            words, rare = np.unique(flat[numbers == RARE], return_inverse=True)
-            row = [number, ids[:], held[:], np.concatenate(sizes).astype(np.int32), _pack(numbers.astype(np.uint16)), _pack(rare.astype(np.uint32)), _pack(_steps(words))]
-            for part in (ids, held, sizes, hashes, classes):
-                part.clear()
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "held", "sizes", "classes", "rare", "words"])
-
-        for batch in batches:
-            for row, texts in _text.slices(batch.column(2)):
-                starts, stops, first = texts.spans(_text.NOT_SPACE)
-                found = texts.hashes(starts, stops)
-                # an end after each text's words
-                flat = np.insert(found, first[1:], 0)
-                numbers = np.insert(vocabulary.classes(found), first[1:], END)
-                ids.extend(batch.column(0).slice(row, len(texts)).to_pylist())
-                held.extend(batch.column(1).slice(row, len(texts)).to_pylist())
-                sizes.append(np.diff(first) + 1)
-                hashes.append(flat)
-                classes.append(numbers)
-                if sum(map(len, classes)) >= CHUNK_TOKENS:
-                    yield flush()
-                    number += 1
-        if ids:
-            yield flush()
-
-    return source.mapInArrow(cut, _CHUNK)
-
-
-def _asked(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """What chunks send: part, chunk, keys (sorted, distinct) and their training counts.
-
-    Parts from 0 on are of pairs, negative ones of rarer words.
-    """
-    sent = chunks.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"])
-                first = np.concatenate([[0], np.cumsum(sizes)])
-                trained = np.repeat(~np.array(row["held"]), sizes)
-                classes = _unpack(row["classes"], "u2").astype(np.int64)
-                keys, place = np.unique(_pairs(classes, first), return_inverse=True)
-                rows = _by_part(vocabulary.part_of(keys), keys, np.bincount(place, trained, len(keys)))
-                words = np.cumsum(_unpack(row["words"], "u8"))
-                n = np.bincount(_unpack(row["rare"], "u4"), trained[classes == RARE], len(words))
-                rare_parts = max(1, vocabulary.parts // 4)
-                rows += _by_part(-1 - (words % np.uint64(rare_parts)).astype(np.int64), words.view(np.int64), n)
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int64()), pa.array([row["chunk"]] * len(rows), pa.int64()), pa.array(next(columns), pa.binary()), pa.array(next(columns), pa.binary())], names=["part", "chunk", "keys", "n"])
-
-    return chunks.mapInArrow(ask, "part bigint, chunk bigint, keys binary, n binary")
-
-
-def _by_part(parts: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    if not len(keys):
-        return []
-    order = np.argsort(parts, kind="stable")
-    names, begin = np.unique(parts[order], return_index=True)
-    return [(int(p), _pack(_steps(keys[own].astype(np.int64))), _pack(n[own].astype(np.uint32))) for p, own in zip(names, np.split(order, begin[1:]), strict=True)]
-
-
-_ANSWER = "part bigint, chunk bigint, totals binary, history array<int>, sums array<double>"
-
-
-def _answered(asked: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Totals for what each chunk asked, in its order; and a row without chunk for each part's sums.
-
-    Sums by history, of seen pairs: counts; pairs seen once to six times; shares of the classes.  For rarer
-    words (history -1): tokens, and words by count, in the same layout.
-    """
-    sent = asked.sparkSession.sparkContext.broadcast(vocabulary.share)
-
-    def answer(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        asked = [(np.cumsum(_unpack(k, "i8")), _unpack(n, "u4")) for k, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        keys, place = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([n for _, n in asked]), len(keys)).astype(np.int64)
-        ends = np.cumsum([len(k) for k, _ in asked])[:-1]
-        answers = [_pack(np.minimum(t, 0xFFFFFFFF).astype(np.uint32)) for t in np.split(total[place], ends)]
-        keys, total = keys[total > 0], total[total > 0]
-        history = (keys >> 16).astype(np.int32) if part >= 0 else np.full(len(keys), -1, dtype=np.int32)
-        names, row = np.unique(history, return_inverse=True)
-        sums = np.zeros((len(names), TOP + 3))
-        np.add.at(sums[:, 0], row, total)
-        for r in range(1, TOP + 2):
-            np.add.at(sums[:, r], row[total == r], 1)
-        if part >= 0:
-            np.add.at(sums[:, TOP + 2], row, sent.value[keys & 0xFFFF])
-        else:
-            np.add.at(sums[:, TOP + 2], row, 1)
-        n = len(answers)
-        return pa.table({"part": pa.array([part] * (n + 1), pa.int64()), "chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "totals": pa.array([*answers, None], pa.binary()), "history": pa.array([None] * n + [names.tolist()], pa.list_(pa.int32())), "sums": pa.array([None] * n + [sums.ravel().tolist()], pa.list_(pa.float64()))})
-
-    return asked.groupBy("part").applyInArrow(answer, _ANSWER)
-
-
 def discounts(seen: np.ndarray) -> np.ndarray:
     """Katz's d(1) to d(TOP) from the numbers of pairs seen once to TOP + 1 times.
 
@@ -248,95 +29,3 @@ def discounts(seen: np.ndarray) -> np.ndarray:
                 if 0 < value < 1:
                     d[r - 1] = value
     return d
-
-
-class Model:
-    """What scoring needs, by class: log10 of backoff weights and class shares, and factors of seen pairs."""
-
-    def __init__(self, vocabulary: Vocabulary, sums: dict[int, np.ndarray]):
-        by_class = np.zeros((len(vocabulary.counts), TOP + 3))
-        for history, values in sums.items():
-            if history >= 0:
-                by_class[history] = values
-        rare = sums.get(-1, np.zeros(TOP + 3))
-        self.tokens, self.distinct, self.counts = vocabulary.tokens, vocabulary.distinct, vocabulary.counts
-        self.discount = np.concatenate([[0], discounts(by_class[:, 1 : TOP + 2].sum(axis=0)), [1]])
-        count, shares = by_class[:, 0], by_class[:, TOP + 2]
-        taken = 1 - ((1 - self.discount[1 : TOP + 1]) * np.arange(1, TOP + 1) * by_class[:, 1 : TOP + 1]).sum(axis=1) / np.maximum(count, 1)
-        # a history whose pairs are all frequent leaves nothing: one more count goes to the unseen; one whose pairs are all classes keeps it all
-        scale = np.where(1 - taken < 1e-9, count / (count + 1), 1.0)
-        scale = np.where(1 - shares < 1e-12, 1 / np.maximum(taken, 1e-300), scale)
-        left = np.where(count > 0, 1 - scale * taken, 1.0)
-        with np.errstate(divide="ignore"):
-            self.backoff = np.where(1 - shares < 1e-12, -np.inf, np.log10(left / np.maximum(1 - shares, 1e-300)))
-            self.factor = np.log10(scale / np.maximum(count, 1))
-            self.share = np.log10(vocabulary.share)
-        unseen = min(max(rare[1] / rare[0], 1e-6), 0.5) if rare[0] else 1.0
-        self.unseen, self.rare = np.log10(unseen), np.log10((1 - unseen) / rare[0]) if rare[0] else 0.0
-
-    def pairs(self, history: np.ndarray, classes: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 of the probability of classes after histories, given how often each pair was seen."""
-        seen = np.maximum(count, 1)
-        direct = np.log10(self.discount[np.minimum(seen, TOP + 1)] * seen) + self.factor[history]
-        return np.where(count > 0, direct, self.backoff[history] + self.share[classes])
-
-    def words(self, count: np.ndarray) -> np.ndarray:
-        """log10 of the probability of rarer words inside their class."""
-        return np.where(count > 0, self.rare + np.log10(np.maximum(count, 1)), self.unseen)
-
-
-_SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-
-
-def _scores(chunks: DataFrame, model: Model, vocabulary: Vocabulary) -> DataFrame:
-    sent = chunks.sparkSession.sparkContext.broadcast((model, vocabulary))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vocabulary = sent.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                first = np.concatenate([[0], np.cumsum(row["sizes"])])
-                classes = _unpack(row["classes"], "u2").astype(np.int64)
-                keys, place = np.unique(_pairs(classes, first), return_inverse=True)
-                answers = {a["part"]: _unpack(a["totals"], "u4").astype(np.int64) for a in row["answers"]}
-                counts = np.zeros(len(keys), dtype=np.int64)
-                parts = vocabulary.part_of(keys)
-                for part in np.unique(parts):
-                    counts[parts == part] = answers[int(part)]
-                token = model.pairs(keys >> 16, keys & 0xFFFF, counts)[place]
-                words = np.cumsum(_unpack(row["words"], "u8"))
-                parts = -1 - (words % np.uint64(max(1, vocabulary.parts // 4))).astype(np.int64)
-                counts = np.zeros(len(words), dtype=np.int64)
-                for part in np.unique(parts):
-                    counts[parts == part] = answers[int(part)]
-                of_token = counts[_unpack(row["rare"], "u4")]
-                known = model.counts[classes].astype(np.int64)
-                known[classes == RARE] = of_token
-                token[classes == RARE] += model.words(of_token)
-                base = np.log10((known + 1) / (model.tokens + model.distinct + 1))
-                add = lambda x: np.add.reduceat(x, first[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.diff(first)), pa.array(add((known > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(token))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return chunks.mapInArrow(score, _SCORE)
-
-
-def scored(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
-    """Scores of all texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    One row for each row of documents.  Null and empty texts are one end.  Without training texts every word
-    is unknown and the model is the base's.  Other columns are ignored, whatever their names.
-    """
-    source = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(F.col(doc_id)).alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    counts = saved(word_counts(source))
-    totals = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(classes).toPandas()
-    texts = source.where("NOT held").count()
-    vocabulary = Vocabulary(top["word"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64), int((totals["n"] or 0) - top["n"].sum()), texts, totals["v"])
-    chunks = saved(_chunks(source, vocabulary))
-    answers = saved(_answered(_asked(chunks, vocabulary), vocabulary))
-    width = TOP + 3
-    sums = answers.where("chunk IS NULL").select(F.posexplode("history").alias("k", "history"), "sums").select("history", *(F.get("sums", F.col("k") * width + i).alias(f"s{i}") for i in range(width)))
-    by_history = {r["history"]: np.array(r[1:]) for r in sums.groupBy("history").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in range(width))).collect()}
-    given = answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
-    found = _scores(chunks.join(given, "chunk"), Model(vocabulary, by_history), vocabulary)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

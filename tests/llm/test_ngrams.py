@@ -1,13 +1,24 @@
 """Katz n-grams over all words against a direct computation with dictionaries, backing off recursively."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import pytest
 
 from quarry.llm import katz, ngrams
-from test_katz import lower, sample
+
+
+def lower(text):
+    return [w.decode() for w in (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()]
+
+
+def sample(seed=1):
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(40)] + ["The", "THE", "é", "É"]
+    rows = [(i, " ".join(rng.choice(words[: 2 + i % 42]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    return [*rows, (60, None), (61, ""), (62, "\t\n "), (3, "w1 w2 never-seen"), (None, "w1 w2"), (63, "w0 " * 3000)]
 
 
 def direct(rows, order):
