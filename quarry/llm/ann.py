@@ -186,7 +186,10 @@ def neighbour_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame) -> DataFrame:
-    """Greedy search from nodes (starts: q, v): q, id, d (double) of all nodes that a query has met."""
+    """Greedy search from nodes (starts: q, v): q, id, d (double) of the nearest `POOL` nodes that a query has met.
+
+    What falls out of a pool is never nearer than the pool's last, so a query carries no more than its pool.
+    """
     links = saved(_both_ways(graph))
     pool = saved(starts.select("q", F.col("q").alias("id"), F.lit(0.0).alias("d"), F.lit(False).alias("expanded")))
     while True:
@@ -200,7 +203,7 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame) -> DataFrame:
         met = chosen.join(links, "id").select("q", F.col("other").alias("id")).distinct().join(pool.select("q", "id"), ["q", "id"], "left_anti")
         new = met.join(nodes.withColumnRenamed("v", "y"), "id").join(starts, "q").select("q", "id", distance("v", "y").alias("d"), F.lit(False).alias("expanded"))
         done = pool.join(chosen.withColumn("now", F.lit(True)), ["q", "id"], "left").select("q", "id", "d", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
-        pool = saved(done.unionByName(new))
+        pool = saved(done.unionByName(new).withColumn("near", near).where(F.col("near") <= POOL).drop("near"))
     return pool.select("q", "id", "d")
 
 
