@@ -33,8 +33,8 @@ from quarry.llm import _text
 from quarry.llm._work import saved
 from quarry.llm.katz import TOP, discounts, held_out
 
-#: Tokens of a chunk; entries of a partition.
-CHUNK_TOKENS, PART_ENTRIES = 1_000_000, 2_000_000
+#: Tokens of a chunk; entries of a partition, and those that it looks at together (whole histories).
+CHUNK_TOKENS, PART_ENTRIES, RANGE_ENTRIES = 1_000_000, 2_000_000, 200_000
 UNKNOWN, END, START, WORDS = 0, 1, 2, 3
 
 
@@ -213,6 +213,7 @@ def _each(frame: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch] | pa
         for batch in batches:
             for k in range(len(batch)):
                 yield work(batch.slice(k, 1).to_pylist()[0])
+                pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 
@@ -282,14 +283,23 @@ def _sums(history: np.ndarray, total: np.ndarray, lower: np.ndarray, rows: int)
     return np.stack([np.bincount(history, total, rows), *(np.bincount(history, total == r, rows) for r in range(1, TOP + 1)), np.bincount(history, np.where(total > 0, lower, 0), rows)])
 
 
+def _bounds(asked: list[list[np.ndarray]]) -> list[int | None]:
+    """Histories at which ranges of some `RANGE_ENTRIES` entries end; the last has no bound."""
+    ranges = -(-sum(len(a[2]) for a in asked) // RANGE_ENTRIES)
+    if ranges < 2:
+        return [None]
+    some = np.sort(np.concatenate([np.repeat(a[0], a[1])[::16] for a in asked]))
+    return [*np.unique(some[np.arange(1, ranges) * len(some) // ranges]), None]
+
+
 def _answerer(discount: np.ndarray | None, words: _Words) -> Callable[[int, list[list[np.ndarray]]], tuple[list[bytes], bytes]]:
     """What answers each chunk: its n-grams' totals in training and in all; sums of its histories, in its order.
 
     The sum of lower probabilities is left out (0) for histories after which the chunk has only seen words.
     """
 
-    def answer(part: int, asked: list[list[np.ndarray]]) -> tuple[list[bytes], bytes]:
-        joined = [np.concatenate(x) for x in zip(*([np.cumsum(a[0]), *a[1:]] for a in asked), strict=True)]
+    def answer_range(asked: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+        joined = [np.concatenate(x) for x in zip(*asked, strict=True)]
         names, mine, some = _distinct(joined[0])
         key, place, one = _distinct(np.repeat(mine, joined[1]).astype(np.uint64) << np.uint64(32) | joined[2])
         row = (key >> np.uint64(32)).astype(np.int64)
@@ -301,9 +311,20 @@ def _answerer(discount: np.ndarray | None, words: _Words) -> Callable[[int, list
             own, p = mine[begin : begin + len(a[0])], place[at : at + len(a[2])]
             begin, at = begin + len(own), at + len(p)
             open_ = np.bincount(np.repeat(np.arange(len(own)), a[1]), n[p] == 0, len(own)) > 0
-            out.append(_pack(n[p].astype(np.uint32), held[p].astype(np.uint32), *sums[: TOP + 1, own].astype(np.uint32), np.where(open_, sums[-1, own], 0)))
-        seen = np.array([(n == r).sum() for r in range(1, TOP + 2)], dtype=np.int64)
-        return out, _pack(seen, names[cut], np.ascontiguousarray(sums[:, cut]).ravel())
+            out.append([n[p].astype(np.uint32), held[p].astype(np.uint32), *sums[: TOP + 1, own].astype(np.uint32), np.where(open_, sums[-1, own], 0)])
+        return out, np.array([(n == r).sum() for r in range(1, TOP + 2)], dtype=np.int64), names[cut], sums[:, cut]
+
+    def answer(part: int, asked: list[list[np.ndarray]]) -> tuple[list[bytes], bytes]:
+        for a in asked:
+            a[0] = np.cumsum(a[0])
+        ends = [np.concatenate([[0], np.cumsum(a[1], dtype=np.int64)]) for a in asked]
+        found, at = [], [0] * len(asked)
+        for bound in _bounds(asked):
+            to = [len(a[0]) if bound is None else int(np.searchsorted(a[0], bound)) for a in asked]
+            found.append(answer_range([[*(x[b:t] for x in a[:2]), *(x[e[b] : e[t]] for x in a[2:6]), *(x[b:t] for x in a[6:])] for a, e, b, t in zip(asked, ends, at, to, strict=True)]))
+            at = to
+        out = [_pack(*map(np.concatenate, zip(*pieces, strict=True))) for pieces in zip(*(f[0] for f in found), strict=True)]
+        return out, _pack(np.sum([f[1] for f in found], axis=0), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found], axis=1).ravel())
 
     return answer
 
@@ -348,32 +369,34 @@ def _raised(chunks: DataFrame, order: int, last: bool, parts: int, texts: tuple[
         whole, whole_sums = known.value
         chunk = _Chunk(row, texts)
         gram, lower, divisor, asked, part, _ = _asks(chunk, order, parts)
-        n, held, sums = np.zeros(len(gram.h), np.int64), np.zeros(len(gram.h), np.int64), np.zeros((TOP + 2, len(gram.h)))
+        n, held = np.zeros(len(gram.h), np.int64), np.zeros(len(gram.h), np.int64)
+        kept, left = np.full(len(gram.h), 2, np.int64), np.ones(len(gram.h))  # divisors of seen n-grams; what is left for each unit below
         given, chosen = {a["part"]: a["data"] for a in row["answers"] or []}, np.flatnonzero(asked)
         for p, own in _split(part[chosen]):
             own = chosen[own]
             n[own], held[own], *of_history = _unpack(given[p])
             new = np.zeros(len(own), dtype=np.int64)
             new[1:] = gram.h[own[1:]] != gram.h[own[:-1]]
+            sums = np.stack(of_history)  # one column a history
+            if len(whole):
+                names = gram.h[own[np.concatenate([[True], new[1:] > 0])]]
+                at = np.minimum(np.searchsorted(whole, names), len(whole) - 1)
+                same = whole[at] == names
+                sums[:, same] = whole_sums[at[same]].T
+            count = np.maximum(sums[0], 1)
+            taken = 1 - ((1 - discount[1 : TOP + 1]) * np.arange(1, TOP + 1)) @ sums[1 : TOP + 1] / count
+            bare = 1 - taken < 1e-9  # all n-grams are frequent: one more count goes to the unseen
             at = np.cumsum(new)
-            for k, values in enumerate(of_history):
-                sums[k, own] = values[at]
-        if len(whole):
-            at = np.minimum(np.searchsorted(whole, gram.h), len(whole) - 1)
-            same = asked & (whole[at] == gram.h)
-            sums[:, same] = whole_sums[at[same]].T
+            kept[own] = (count + bare).astype(np.int64)[at]
+            left[own] = ((1 - np.where(bare, count / (count + 1), 1) * taken) / np.maximum(1 - sums[-1], 1e-12))[at]
         lower = _lower(lower, divisor, below, words)
         if below is not None:
             pair = gram.lower[gram.at[gram.some]]
             lower = np.where(chunk.c[pair] > 0, lower, chunk.p[pair])
-        count = np.maximum(sums[0], 1)
-        taken = 1 - ((1 - discount[1 : TOP + 1]) * np.arange(1, TOP + 1)) @ sums[1 : TOP + 1] / count
-        bare = 1 - taken < 1e-9  # all n-grams are frequent: one more count goes to the unseen
-        divisor = (count + bare).astype(np.int64)
-        p = np.where(n > 0, _lower(n, divisor, discount, words), (1 - np.where(bare, count / (count + 1), 1) * taken) / np.maximum(1 - sums[-1], 1e-12) * lower)
+        p = np.where(n > 0, _lower(n, kept, discount, words), left * lower)
         p = np.where(asked, p, lower)
         if not last:
-            return _chunk_row(row["chunk"], row["ids"], row["held"], row["sizes"], row["data"], _pack(n.astype(np.uint32), n + held, divisor, np.where(n > 0, 0, p)))
+            return _chunk_row(row["chunk"], row["ids"], row["held"], row["sizes"], row["data"], _pack(n.astype(np.uint32), n + held, kept, np.where(n > 0, 0, p)))
         token = np.empty(len(chunk.tokens))
         if below is not None:  # a text's first token has no longer history
             heads = chunk.first[:-1]

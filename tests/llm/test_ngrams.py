@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import katz, ngrams
@@ -112,3 +114,33 @@ def test_empty_table_and_no_training_texts(spark):
     assert ngrams.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     row = ngrams.scored(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def _asked(chunks=4, histories=20_000, words=8):
+    """What chunks ask of a partition: `words` n-grams after each of the same histories."""
+    out = []
+    for k in range(chunks):
+        h = np.arange(1, histories + 1, dtype=np.uint64) * np.uint64(7)
+        w = np.tile(np.arange(k, k + words, dtype=np.uint32), histories)
+        n = (np.arange(len(w)) % 3).astype(np.uint32)
+        out.append([np.diff(h, prepend=np.uint64(0)), np.full(histories, words, np.uint32), w, n, 1 - n % 2, w + 1, np.full(histories, 9, np.int64), (1 + (h % np.uint64(5) == 0)).astype(np.uint64)])
+    return out
+
+
+def test_a_partition_answers_in_ranges_of_histories(monkeypatch):
+    answer = ngrams._answerer(None, ngrams._Words(100, 10, np.array([4, 3, 2, 1, 1, 1])))
+    monkeypatch.setattr(ngrams, "RANGE_ENTRIES", 10**9)
+    whole = answer(0, _asked(histories=500))
+    monkeypatch.setattr(ngrams, "RANGE_ENTRIES", 700)
+    assert len(ngrams._bounds([[np.cumsum(a[0]), *a[1:]] for a in _asked(histories=500)])) > 5
+    assert answer(0, _asked(histories=500)) == whole
+
+
+def test_a_partition_takes_little_memory_beside_what_is_asked():
+    answer, asked = ngrams._answerer(None, ngrams._Words(100, 10, np.array([4, 3, 2, 1, 1, 1]))), _asked()
+    size = sum(x.nbytes for a in asked for x in a)
+    tracemalloc.start()
+    answer(0, asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * size  # 3.6 where all entries were looked at together
