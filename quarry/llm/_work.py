@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.shared import saved
+from quarry.sources.shared import outlasting, passing_tables, saved
 
-__all__ = ["MaybeAmong", "saved", "small_batches", "table"]
+__all__ = ["MaybeAmong", "outlasting", "passing_tables", "saved", "small_batches", "table"]
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text
-from quarry.llm._work import MaybeAmong, saved
+from quarry.llm._work import MaybeAmong, outlasting, passing_tables, saved
 from quarry.llm.linking import VALUES, Sets, band_keys, linked_components, shared_buckets, sketch_bits
 
 #: Bytes of a shingle; bands and minwise values of each (a pair at 0.85 shares a band with a chance of 0.9998).
@@ -48,6 +48,14 @@ def _windows(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
 
 
+def _distinct(windows: np.ndarray) -> np.ndarray:
+    """Sorted distinct windows (np.unique takes five times as long over so few)."""
+    ordered = np.sort(windows)
+    new = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]
+
+
 def _minwise(windows: np.ndarray, starts: np.ndarray, stops: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Minwise values of lines, one row a line."""
     return _text.minwise(_text.mix(windows), starts, stops - starts - SHINGLE + 1, seeds)
@@ -99,7 +107,7 @@ def _texts_of(source: DataFrame, wanted: MaybeAmong, least_bytes: int) -> DataFr
                 some = wanted.mask(ids)
                 ids, starts, stops = ids[some], starts[some], stops[some]
                 body, windows = texts.data.tobytes(), _windows(texts.data)
-                sizes = [len(np.unique(windows[a : b - SHINGLE + 1])) for a, b in zip(starts, stops, strict=True)]
+                sizes = [len(_distinct(windows[a : b - SHINGLE + 1])) for a, b in zip(starts, stops, strict=True)]
                 bits = sketch_bits(_minwise(windows, starts, stops, _SKETCH_SEEDS))
                 content = [body[a:b] for a, b in zip(starts, stops, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes, pa.int64()), *map(pa.array, bits), pa.array(content, pa.binary())], names=["id", "n", "b1", "b2", "content"])
@@ -108,7 +116,8 @@ def _texts_of(source: DataFrame, wanted: MaybeAmong, least_bytes: int) -> DataFr
 
 
 def _shingles(content: pa.Scalar) -> np.ndarray:
-    return np.unique(_windows(np.frombuffer(content.as_buffer(), dtype=np.uint8))[: 1 - SHINGLE])
+    data = np.frombuffer(content.as_buffer(), dtype=np.uint8)
+    return _distinct(np.ndarray(len(data) - SHINGLE + 1, dtype="<u8", buffer=data, strides=(1,)))
 
 
 def _sets(source: DataFrame, ids: DataFrame, least_bytes: int, percent: int) -> Sets:
@@ -119,7 +128,9 @@ def _sets(source: DataFrame, ids: DataFrame, least_bytes: int, percent: int) ->
         out = []
         for a, b in zip(x, y, strict=True):
             left, right = _shingles(a), _shingles(b)
-            shared = len(np.intersect1d(left, right, assume_unique=True))
+            both = np.concatenate([left, right])
+            both.sort()
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
             out.append(100 * shared >= percent * (len(left) + len(right) - shared))
         return pa.array(out, pa.bool_())
 
@@ -148,14 +159,16 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     line numbers: of equal places the lines of all rows stay or go together.
     """
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    components = linked_components(_buckets(source, least_bytes), lambda ids: _sets(source, ids, least_bytes, percent), percent)
-    places = saved(_places(source, least_bytes).where("id IS NOT NULL"))
-    firsts = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
-    named = firsts.join(components, "id", "left")
-    groups = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("keeper"))
-    keepers = saved(named.where("component IS NOT NULL").join(groups, "component").select("id", "keeper").unionByName(named.where("component IS NULL AND n > 1").select("id", F.col("first").alias("keeper"))))
-    found = places.join(keepers, "id")
-    return found.select("doc_id", "line", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line").alias("keeper_line"), (F.struct("doc_id", "line") == F.col("keeper")).alias("kept"))
+    with passing_tables(documents.sparkSession):
+        components = linked_components(_buckets(source, least_bytes), lambda ids: _sets(source, ids, least_bytes, percent), percent)
+        places = saved(_places(source, least_bytes).where("id IS NOT NULL"))
+        # most lines have no other like them, so only ids leave the first grouping
+        repeated = places.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("component"))
+        groups = saved(components.unionByName(repeated.join(components, "id", "left_anti")))
+        among = saved(places.join(groups, "id").select("component", "doc_id", "line"))
+        keepers = among.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("keeper"))
+        found = among.join(keepers, "component")
+        return outlasting(found.select("doc_id", "line", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line").alias("keeper_line"), (F.struct("doc_id", "line") == F.col("keeper")).alias("kept")))
 
 
 def without_lines(documents: DataFrame, removed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,5 +193,5 @@ def op9_line_dedup(documents: DataFrame) -> DataFrame:
     One row for each row of documents; null texts have 0 lines, empty ones 1.
     """
     found = removals(documents).where("NOT kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    every = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n_lines"))
+    every = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1).alias("n_lines"))
     return every.join(found, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import _text
-from quarry.llm._work import MaybeAmong, saved
+from quarry.llm._work import MaybeAmong, outlasting, passing_tables, saved
 from quarry.llm.components import connected_components
 from quarry.llm.linking import VALUES, alike, bits_apart, open_pairs, remaining_links, sets_of_items, widened
 
@@ -123,7 +123,12 @@ def components_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     doc_id reachable by links, and the document of that id is kept.  Texts without words (null, empty) are linked with
     nothing.  Rows that share a doc_id are one vertex; rows without one are linked with nothing and kept.
     """
-    source = documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    with passing_tables(documents.sparkSession):
+        return outlasting(_components_of(documents.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")), width, percent))
+
+
+def _components_of(source: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same of rows of id and text, by tables that pass."""
     sketched = saved(sketches(source, width))
     known = sketched.where("n > 0 AND id IS NOT NULL")
     classes = saved(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
