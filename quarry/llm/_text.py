@@ -183,8 +183,11 @@ def minwise(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np
             even[bounds] = True
             part, bounds = part[even], np.concatenate([[0], np.cumsum(even)])[bounds]
         values = (part >> np.uint64(32)).astype(np.uint32)
+        turned = np.empty_like(values)
         for k, seed in enumerate(seeds):
-            least[row : row + count, k] = np.minimum.reduceat((values ^ seed) * np.uint32(0x9E3779B1), bounds)
+            np.bitwise_xor(values, seed, out=turned)
+            np.multiply(turned, np.uint32(0x9E3779B1), out=turned)
+            least[row : row + count, k] = np.minimum.reduceat(turned, bounds)
         row += count
     return least
 

@@ -240,9 +240,9 @@ def remaining_links(rows: DataFrame, sets: Sets, percent: int) -> DataFrame:
     led = saved(led.groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb")))
     found = saved(led.join(sets.confirm(led), ["a", "b"]))
     above = connected_components(found, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("top"))
-    now = posts.join(above, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
-    now = now.join(above.select(F.col("component").alias("main"), F.col("top").alias("main_top")), "main", "left").withColumn("main", F.coalesce("main_top", "main")).drop("main_top")
-    now = saved(now)
+    names = known.select("family", "id", "component", "main").join(above, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+    names = names.join(above.select(F.col("component").alias("main"), F.col("top").alias("main_top")), "main", "left").withColumn("main", F.coalesce("main_top", "main")).drop("main_top")
+    now = saved(posts.drop("component", "main").join(names, ["family", "id"]))
     apart_still = now.groupBy("family", "e").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("family", "e")
     now = saved(now.join(apart_still, ["family", "e"]))
     x, y = now.where("component <> main").alias("x"), now.alias("y")
@@ -273,12 +273,13 @@ def linked_components(rows: DataFrame, describe: Callable[[DataFrame], Sets], pe
     sets = describe(saved(rows.select("id").distinct()))
     rows = saved(rows.join(sets.brief, "id"))
     member = ("id", "n", "b1", "b2")
-    pivot = F.min(F.struct(F.xxhash64("id", "key").alias("h"), *member)).alias("p")
-    sized = saved(rows.join(rows.groupBy("key").agg(F.count("*").alias("size"), pivot), "key"))
+    turn = F.xxhash64("id", "key")
+    sized = saved(rows.join(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(turn).alias("least")), "key"))
     small = sized.where(F.col("size") <= SMALL).select("key", *member)
     large = sized.where(F.col("size") > SMALL)
+    pivot = large.where(turn == F.col("least")).groupBy("key").agg(F.min(F.struct(*member)).alias("p"))
     same = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & alike("x", "y", percent)).select(*_ordered("x", "y"), bits_apart("x", "y").alias("bits"))
-    starred = large.select(F.struct(*member).alias("x"), "p").where("x.id <> p.id").where(alike("x", "p", percent)).select(*_ordered("x", "p"), bits_apart("x", "p").alias("bits"))
+    starred = large.join(pivot, "key").select(F.struct(*member).alias("x"), "p").where("x.id <> p.id").where(alike("x", "p", percent)).select(*_ordered("x", "p"), bits_apart("x", "p").alias("bits"))
     pairs = saved(same.unionByName(starred).distinct())
     # first each thing with its most promising partner, then only pairs that still lie in different components
     turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
