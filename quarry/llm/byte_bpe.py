@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from quarry.llm import _text
 
 #: Bytes of text that are merged together, of the longest piece that the arrays take, and pieces that a task remembers.
-SLICE_BYTES, LONG_PIECE, KNOWN_PIECES = 2 << 20, 128, 200_000
+SLICE_BYTES, LONG_PIECE, KNOWN_PIECES = 1 << 19, 128, 200_000
+#: Ids that are decoded together.
+SLICE_IDS = 1 << 16
 
 #: Sizes of the two halves of the rank map (primes); a pair is in the one place or the other.
 FIRST, SECOND = 181_081, 229_937
@@ -158,72 +160,85 @@ def merge_long(piece: bytes, vocabulary: dict[bytes, int]) -> list[int]:
     return [vocabulary[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def encode(documents: DataFrame, vocabulary: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token ids of every whole text: doc_id, ids (array of int).
+class Pieces:
+    """The bytes of every token of a vocabulary, end to end."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        size = max(vocabulary.values()) + 1
+        pieces = [b""] * size
+        for token, rank in vocabulary.items():
+            pieces[rank] = token
+        self.flat, self.bounds = np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum([0, *map(len, pieces)])
+        self.given = np.isin(np.arange(size), list(vocabulary.values()))
+
+    def _joined(self, column: pa.ListArray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
+        value = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = (value >= 0) & (value < len(self.given))
+        value = np.where(known, value, 0)
+        known &= self.given[value]
+        sizes = (self.bounds[value + 1] - self.bounds[value]) * known
+        body = self.flat[_ranges(self.bounds[value], sizes)]
+        at = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        wrong = np.concatenate([[0], np.cumsum(~known)])[ends]
+        null = (np.diff(wrong) > 0) | pc.is_null(column).to_numpy(zero_copy_only=False)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)])
+        return pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+
+    def decode(self, column: pa.ListArray) -> pa.Array:
+        """The bytes of each row's ids; null where the row is null or holds a null or unknown id."""
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
+        row, parts = 0, [pa.array([], pa.binary())]
+        while row < len(column):  # bounded ids at a time, or one longer row
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE_IDS, side="right")) - 1)
+            parts.append(self._joined(column.slice(row, stop - row)))
+            row = stop
+        return pa.concat_arrays(parts)
+
+
+def encode(documents: DataFrame, vocabulary: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
+    """Token ids of every whole text: doc_id, ids (array of int); with a name given, a column `decoded` from the ids.
 
     One row for each row of documents, repeated ones included; null and empty texts have no ids.  Special
-    tokens are ordinary text.  Other columns are ignored, whatever their names.
+    tokens are ordinary text.  Other columns are ignored, whatever their names.  Decoding here does what `decode`
+    does, in the same Python worker: a task of both apart holds two.
     """
-    held = documents.sparkSession.sparkContext.broadcast((vocabulary, np.array(rank_map(vocabulary), dtype=np.int64)))
+    held = documents.sparkSession.sparkContext.broadcast((vocabulary, np.array(rank_map(vocabulary), dtype=np.int64), Pieces(vocabulary) if decoded else None))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        merger, find = Merger(*held.value), regex.compile(pattern).findall
+        vocabulary, slots, pieces = held.value
+        merger, find = Merger(vocabulary, slots), regex.compile(pattern).findall
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).fill_null("")
             sizes = np.cumsum([0, *pc.binary_length(texts).to_pylist()])
             row = 0
             while row < len(texts):
                 stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + SLICE_BYTES, side="right")) - 1)
-                ids = merger.encode([find(text) for text in texts.slice(row, stop - row).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), _text.list_column(ids, pa.int32())], names=["doc_id", "ids"])
+                ids = _text.list_column(merger.encode([find(text) for text in texts.slice(row, stop - row).to_pylist()]), pa.int32())
+                own = {"doc_id": batch.column(0).slice(row, stop - row), "ids": ids} | ({decoded: pieces.decode(ids)} if decoded else {})
+                yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
                 row = stop
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, f"doc_id {kind}, ids array<int>")
+    source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(cut, f"doc_id {kind}, ids array<int>" + (f", {decoded} binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, vocabulary: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that ids stand for (binary); null where ids is null or holds a null or unknown id."""
-    size = max(vocabulary.values()) + 1
-    pieces = [b""] * size
-    for token, rank in vocabulary.items():
-        pieces[rank] = token
-    bounds = np.cumsum([0, *map(len, pieces)])
-    held = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), dtype=np.uint8), bounds, np.isin(np.arange(size), list(vocabulary.values()))))
-
-    def pieces_of(column: pa.ListArray) -> pa.Array:
-        flat, bounds, given = held.value
-        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))])
-        value = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        known = (value >= 0) & (value < len(given))
-        value = np.where(known, value, 0)
-        known &= given[value]
-        sizes = (bounds[value + 1] - bounds[value]) * known
-        body = flat[_ranges(bounds[value], sizes)]
-        at = np.concatenate([[0], np.cumsum(sizes)])[ends]
-        wrong = np.concatenate([[0], np.cumsum(~known)])[ends]
-        null = (np.diff(wrong) > 0) | pc.is_null(column).to_numpy(zero_copy_only=False)
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)])
-        return pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+    held = encoded.sparkSession.sparkContext.broadcast(Pieces(vocabulary))
 
     @F.arrow_udf("binary")
     def join(column: pa.Array) -> pa.Array:
-        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_pylist()])
-        row, parts = 0, [pa.array([], pa.binary())]
-        while row < len(column):  # bounded ids at a time, or one longer row
-            stop = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE_BYTES // 4, side="right")) - 1)
-            parts.append(pieces_of(column.slice(row, stop - row)))
-            row = stop
-        return pa.concat_arrays(parts)
+        return held.value.decode(column)
 
     return encoded.withColumn(out, join(F.col(ids)))
 
 
 def op10_byte_bpe(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes every text: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    vocabulary = ranks(path)
-    done = decode(encode(documents, vocabulary, pattern), vocabulary)
+    done = encode(documents, ranks(path), pattern, decoded="decoded")
     listed = F.btrim(F.to_json("ids"), F.lit("[]"))  # to_json writes [1,2,3]
     return done.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
@@ -46,6 +48,15 @@ def test_decode_marks_unknown_ids(spark):
     assert out[0] is not None and out[1:4] == [None, None, None] and bytes(out[4]) == b""
 
 
+def test_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "one text"), (2, None), (3, "\u00e9" * 70_000)], "doc_id long, text string")
+    for df in (byte_bpe.op10_byte_bpe(docs, PATH, PATTERN), corpus_pipeline.tokens(spark, docs, "")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall("MapInArrow|ArrowEvalPython", plan)) == 1, plan
+    both = byte_bpe.encode(docs, byte_bpe.ranks(PATH), PATTERN, decoded="at_once")
+    assert byte_bpe.decode(both, byte_bpe.ranks(PATH)).where("decoded = at_once").count() == 3
+
+
 def test_empty_table(spark):
     assert byte_bpe.op10_byte_bpe(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).count() == 0
 
