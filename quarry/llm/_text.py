@@ -106,7 +106,9 @@ class Texts:
         power, inverse = _power_tables(len(self.data) + 1)
         total = np.empty(len(self.data) + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE[self.data] * power[: len(self.data)], out=total[1:])
+        parts = _BYTE[self.data]
+        parts *= power[: len(self.data)]
+        np.cumsum(parts, out=total[1:])
         return mix((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
 
 
@@ -165,28 +167,32 @@ def minhashes(items: np.ndarray, seeds: np.ndarray, block: int = 2048) -> np.nda
     return best
 
 
-def minwise(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, half: bool = False) -> np.ndarray:
-    """Minwise values (uint32) of many runs of scrambled hashes (of one item at least), one row a run.
+def minwise(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seeds: np.ndarray, half: bool = False, raw: bool = False) -> np.ndarray:
+    """Minwise values of many runs of scrambled hashes (of one item at least), one row a run.
 
-    With half, only items of even hash count, so near-equal sets still agree; a run's first item stands in
-    where none would be left.
+    They have the type of the seeds: uint32, or uint16, which takes half the time and suits runs of a few thousand
+    items (more make equal values of unlike runs likely).  With half, only items of even hash count, so near-equal
+    sets still agree; a run's first item stands in where none would be left.  With raw, items are scrambled here.
     """
-    least = np.empty((len(starts), len(seeds)), dtype=np.uint32)
+    kind = seeds.dtype.type
+    shift, factor = np.uint64(64 - 8 * seeds.dtype.itemsize), kind(0x9E3779B1 & np.iinfo(kind).max)
+    least = np.empty((len(starts), len(seeds)), dtype=kind)
     row = 0
     while row < len(starts):  # blocks that stay in the processor's cache
         ends = np.cumsum(sizes[row : row + 512])
-        count = min(max(1, int(np.searchsorted(ends, 1 << 15, side="right"))), len(ends))
+        count = min(max(1, int(np.searchsorted(ends, 1 << 16, side="right"))), len(ends))
         part = np.concatenate([hashes[a : a + n] for a, n in zip(starts[row : row + count], sizes[row : row + count], strict=True)])
+        part = mix(part) if raw else part
         bounds = ends[:count] - sizes[row : row + count]
         if half:
             even = (part & np.uint64(1)) == 0
             even[bounds] = True
             part, bounds = part[even], np.concatenate([[0], np.cumsum(even)])[bounds]
-        values = (part >> np.uint64(32)).astype(np.uint32)
+        values = (part >> shift).astype(kind)
         turned = np.empty_like(values)
         for k, seed in enumerate(seeds):
             np.bitwise_xor(values, seed, out=turned)
-            np.multiply(turned, np.uint32(0x9E3779B1), out=turned)
+            np.multiply(turned, factor, out=turned)
             least[row : row + count, k] = np.minimum.reduceat(turned, bounds)
         row += count
     return least

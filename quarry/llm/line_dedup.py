@@ -25,27 +25,37 @@ SHINGLE, BANDS, ROWS = 8, 12, 4
 LEAST, PERCENT = 24, 85
 
 _SEEDS = _text.seeds(BANDS * ROWS, salt=9).astype(np.uint32)
-_SKETCH_SEEDS = _text.seeds(VALUES, salt=109).astype(np.uint32)
+#: Signatures of lines have minwise values of 16 bits up to some SHORT shingles, and of 32 bits from SHORT on.
+SHORT, _SHORT_SEEDS = 4096, _SEEDS.astype(np.uint16)
+_SKETCH_SEEDS = _text.seeds(VALUES, salt=109).astype(np.uint16)
+#: Bytes of white space that are taken off all lines together.
+STEPS = 16
 
 
 def _trimmed(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines without ASCII white space at their ends."""
+    """Lines without ASCII white space at their ends; lines of white space alone end where they start."""
     starts, stops, first = texts.lines()
-    shown = np.flatnonzero(_text.NOT_SPACE[texts.data])
-    if not len(shown):
-        return starts, starts.copy(), first
-    begin = np.searchsorted(shown, starts)
-    end = np.searchsorted(shown, stops)
-    some = end > begin
-    left = np.where(some, shown[np.minimum(begin, len(shown) - 1)], starts)
-    right = np.where(some, shown[np.maximum(end, 1) - 1] + 1, starts)
+    left, right = starts.copy(), stops.copy()
+    for edge, at, step in ((left, 0, 1), (right, -1, -1)):
+        open_ = np.flatnonzero(left < right)
+        for _ in range(STEPS):
+            open_ = open_[~_text.NOT_SPACE[texts.data[edge[open_] + at]]]
+            edge[open_] += step
+            open_ = open_[left[open_] < right[open_]]
+            if not len(open_):
+                break
+        for k in open_:  # long runs of white space
+            shown = np.flatnonzero(_text.NOT_SPACE[texts.data[left[k] : right[k]]])
+            edge[k] = left[k] + (shown[0] if step > 0 else shown[-1] + 1) if len(shown) else left[k] if step < 0 else right[k]
+    blank = left >= right
+    left[blank] = right[blank] = starts[blank]
     return left, right, first
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on, as one number."""
+    """The 8 bytes from each position on, as one number: a view."""
     padded = np.concatenate([data, np.zeros(SHINGLE, np.uint8)])
-    return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
+    return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))
 
 
 def _distinct(windows: np.ndarray) -> np.ndarray:
@@ -58,7 +68,7 @@ def _distinct(windows: np.ndarray) -> np.ndarray:
 
 def _minwise(windows: np.ndarray, starts: np.ndarray, stops: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Minwise values of lines, one row a line."""
-    return _text.minwise(_text.mix(windows), starts, stops - starts - SHINGLE + 1, seeds)
+    return _text.minwise(windows, starts, stops - starts - SHINGLE + 1, seeds, raw=True)
 
 
 def _long_lines(texts: _text.Texts, least_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,13 +80,27 @@ def _long_lines(texts: _text.Texts, least_bytes: int) -> tuple[np.ndarray, np.nd
     return ids, starts[at], stops[at]
 
 
-def _buckets(source: DataFrame, least_bytes: int) -> DataFrame:
+def _signatures(texts: _text.Texts, least_bytes: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of a slice's contents, and the id of each.
+
+    Similar sets differ in size by percent at most, so two share a kind of value: both have 16 bits if the
+    smaller is below SHORT, else both have 32.
+    """
+    ids, starts, stops = _long_lines(texts, least_bytes)
+    windows, size = _windows(texts.data), stops - starts - SHINGLE + 1
+    keys, owners = [], []
+    for own, seeds, salt in ((size <= SHORT * 100 // percent, _SHORT_SEEDS, 0), (size >= SHORT, _SEEDS, 1)):
+        bands = band_keys(_minwise(windows, starts[own], stops[own], seeds), ROWS, salt)
+        keys.append(bands.ravel())
+        owners.append(np.repeat(ids[own], bands.shape[1]))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _buckets(source: DataFrame, least_bytes: int, percent: int) -> DataFrame:
     """Buckets of contents: key, id."""
 
     def signatures(texts: _text.Texts) -> tuple[np.ndarray, np.ndarray]:
-        ids, starts, stops = _long_lines(texts, least_bytes)
-        keys = band_keys(_minwise(_windows(texts.data), starts, stops, _SEEDS), ROWS)
-        return keys.ravel(), np.repeat(ids, keys.shape[1])
+        return _signatures(texts, least_bytes, percent)
 
     return shared_buckets(source, signatures)
 
@@ -160,7 +184,7 @@ def removals(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     source = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with passing_tables(documents.sparkSession):
-        components = linked_components(_buckets(source, least_bytes), lambda ids: _sets(source, ids, least_bytes, percent), percent)
+        components = linked_components(_buckets(source, least_bytes, percent), lambda ids: _sets(source, ids, least_bytes, percent), percent)
         places = saved(_places(source, least_bytes).where("id IS NOT NULL"))
         # most lines have no other like them, so only ids leave the first grouping
         repeated = places.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("component"))
