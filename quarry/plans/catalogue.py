@@ -387,7 +387,9 @@ def _templated(v: Views) -> DataFrame:
     share = F.round(F.col("l_discount") * 100).cast("int")
     rows = v.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), share.alias("share"), "l_linenumber").distinct()
     key = F.concat_ws("-", *rows.columns)
-    return rows.select(key.alias("chunk_id"), F.format_string("Throughput of %d t/day at a temperature of %d-%d degC; copper recovery not less than %d %%.", "q", F.col("q") + 5, F.col("q"), "share").alias("text"))
+    figure = lambda n: F.coalesce(n.cast("string"), F.lit("null"))
+    q, said = F.col("q"), [F.lit(x) for x in ("Throughput of ", " t/day at a temperature of ", "-", " degC; copper recovery not less than ", " %.")]
+    return rows.select(key.alias("chunk_id"), F.concat(said[0], figure(q), said[1], figure(q + 5), said[2], figure(q), said[3], figure(F.col("share")), said[4]).alias("text"))
 
 
 @query("""SELECT chunk_id, parameter, value, value_min, value_max, comparator, unit FROM (
@@ -395,7 +397,7 @@ SELECT DISTINCT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_quantity::INT
 LATERAL (SELECT 'productivity' AS parameter, q::DOUBLE AS value, NULL::DOUBLE AS value_min, NULL::DOUBLE AS value_max, '=' AS comparator, 't/day' AS unit
 UNION ALL SELECT 'temperature', NULL, q::DOUBLE, q + 5.0, 'range', 'degC' UNION ALL SELECT 'extraction_recovery', share::DOUBLE, NULL, NULL, '>=', '%')""", prelude=False)
 def numeric_extract_templated(v: Views) -> DataFrame:
-    return extraction.numeric_values(_templated(v)).select("chunk_id", "parameter", "value", "value_min", "value_max", "comparator", "unit")
+    return extraction.numeric_values(_templated(v), repeated=True).select("chunk_id", "parameter", "value", "value_min", "value_max", "comparator", "unit")
 
 
 _SHARES = "(SELECT DISTINCT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_quantity::INTEGER, round(l_discount * 100)::INTEGER, l_linenumber) AS chunk_id, round(l_discount * 100)::INTEGER AS share FROM lineitem)"
