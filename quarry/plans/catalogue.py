@@ -405,11 +405,8 @@ _SHARES = "(SELECT DISTINCT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_q
 
 @query(f"SELECT chunk_id, share >= 5 AS copper, false AS zinc FROM {_SHARES}", prelude=False)
 def contextual_guard(v: Views) -> DataFrame:
-    texts = _templated(v)
     recovery = [Constraint("extraction_recovery", ">=", value=5, unit="%"), Constraint("productivity", ">=", value=0, unit="t/day")]
-    passed = [extraction.guarded(texts, [metal], recovery).select("chunk_id", F.lit(True).alias(name)) for metal, name in (("cu", "copper"), ("zn", "zinc"))]
-    joined = texts.join(passed[0], "chunk_id", "left").join(passed[1], "chunk_id", "left")
-    return joined.select("chunk_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("copper", "zinc")))
+    return extraction.guard_verdicts(_templated(v), {"copper": ["cu"], "zinc": ["zn"]}, recovery).select("chunk_id", "copper", "zinc")
 
 
 _UNITS_SQL = "|".join(sorted((s.replace(".", "\\.") for spellings in extraction.UNITS.values() for s in spellings if s != "ph"), key=len, reverse=True))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quarry.functions.numeric import Constraint
 from quarry.operators import extraction
 from quarry.plans import registry
 
@@ -14,11 +15,20 @@ def test_values_of_repeated_texts(spark):
     rows = [("a", "Temperature 20-30 °C, copper recovery 90 %."), ("b", "Temperature 20-30 °C, copper recovery 90 %."), ("b", "5 mg/l"), ("c", "no figures"), ("d", None), (None, "5 mg/l")]
     chunks = spark.createDataFrame(rows, "chunk_id string, text string")
     once, each = extraction.numeric_values(chunks, repeated=True), extraction.numeric_values(chunks)
-    assert once.schema == each.schema
+    assert once.dtypes == each.dtypes
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, each.collect()), key=str) and once.count() == 6
 
 
-@pytest.mark.parametrize("name", ["numeric_extract_templated"])
+def test_verdicts_of_repeated_texts(spark):
+    rows = [(1, "copper recovery 90 %"), (2, "copper recovery 90 %"), (2, "copper recovery 1 %"), (3, "zinc 90 %"), (4, None), (None, "copper recovery 90 %")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, text string")
+    recovery, asked = [Constraint("extraction_recovery", ">=", value=5, unit="%")], {"copper": ["cu"], "zinc": ["zn"], "any": []}
+    got = [tuple(r) for r in extraction.guard_verdicts(chunks, asked, recovery).collect()]
+    assert sorted(got, key=str) == sorted([(*r, *(extraction.passes_guard(r[1], m, recovery) for m in asked.values())) for r in rows], key=str)
+    assert sum(x[2] for x in got) == 3 == extraction.guarded(chunks, ["cu"], recovery).count()
+
+
+@pytest.mark.parametrize("name", ["numeric_extract_templated", "contextual_guard"])
 def test_python_reads_different_texts_alone(spark, sf_dir, name):
     found = plan(registry.queries()[name](spark, sf_dir))
     assert not any(x in found for x in ("MapInPandas", "ArrowEvalPython", "PythonUDTF"))  # the rows of lines don't go to Python
