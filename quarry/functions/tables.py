@@ -3,7 +3,8 @@
     register(spark)
     spark.sql("SELECT d.doc_id, v.* FROM documents d, LATERAL measured_values(d.text) v")
 
-They exchange Arrow batches with Python and give the rows of the DataFrame operators.
+They give the rows of the DataFrame operators.  Arrow would make tables of each call's rows, which costs more than the
+few values of a short text; so `measured_values` does without.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ class TextPieces:
         yield from enumerate(chunking.pieces(text, target, overlap))
 
 
-@udtf(returnType=extraction.VALUE, useArrow=True)
+@udtf(returnType=extraction.VALUE, useArrow=False)
 class MeasuredValues:
     """measured_values(text): values with units, as `extraction.numeric_values` finds them.  Null texts have none."""
 

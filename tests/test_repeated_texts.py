@@ -28,7 +28,7 @@ def test_verdicts_of_repeated_texts(spark):
     assert sum(x[2] for x in got) == 3 == extraction.guarded(chunks, ["cu"], recovery).count()
 
 
-@pytest.mark.parametrize("name", ["numeric_extract_templated", "contextual_guard"])
+@pytest.mark.parametrize("name", ["numeric_extract_templated", "contextual_guard", "table_function_values"])
 def test_python_reads_different_texts_alone(spark, sf_dir, name):
     found = plan(registry.queries()[name](spark, sf_dir))
     assert not any(x in found for x in ("MapInPandas", "ArrowEvalPython", "PythonUDTF"))  # the rows of lines don't go to Python
