@@ -1,9 +1,9 @@
-"""Texts that many rows share are read once each."""
+"""Texts that many rows share are read once each, and names that have equals are looked up alone."""
 
 import pytest
 
 from quarry.functions.numeric import Constraint
-from quarry.operators import extraction
+from quarry.operators import entities, extraction
 from quarry.plans import registry
 
 
@@ -32,3 +32,15 @@ def test_verdicts_of_repeated_texts(spark):
 def test_python_reads_different_texts_alone(spark, sf_dir, name):
     found = plan(registry.queries()[name](spark, sf_dir))
     assert not any(x in found for x in ("MapInPandas", "ArrowEvalPython", "PythonUDTF"))  # the rows of lines don't go to Python
+
+
+def test_names_that_all_have_equals_need_no_containment(spark):
+    asked = spark.createDataFrame([("d", "Nickel Ore"), ("d", "nickel  ore"), ("e", "ёлка"), ("e", None)], "document string, name string")
+    known = spark.createDataFrame([("d", "e2", "nickel ore"), ("d", "e1", "NICKEL ORE"), ("e", "e3", "Елка")], "document string, entity_id string, name string")
+    found = entities.resolved(asked, known, "document")
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("d", "Nickel Ore", "e1", "exact"), ("d", "nickel  ore", "e1", "exact"), ("e", "ёлка", "e3", "exact")]
+    keys = known.selectExpr("document", "min(entity_id) OVER (PARTITION BY document) AS entity_id", "translate(lower(name), 'ё', 'е') AS name").distinct()
+    assert sorted(entities.resolved(asked, keys, "document", keyed=True).collect()) == sorted(found.collect())
+    some = entities.resolved(asked.unionByName(spark.createDataFrame([("d", "ore of nickel ore")], asked.schema)), known.where("entity_id <> 'e1'"), "document")
+    assert ("d", "ore of nickel ore", "e2", "contained") in set(map(tuple, some.collect()))
