@@ -28,3 +28,16 @@ def test_an_index_written_in_slices(spark, sf_dir, tmp_path, monkeypatch):
     assert index.bm25(asked, 20).collect() == retrieval.bm25(retrieval.saved_counts(docs, asked), range(3), 20).collect()
     assert index.live("postings").count() == segments.positional(docs).count()
     assert index.bm25(["", "--"], 5).count() == 0
+
+
+def test_an_overlay_written_in_slices(spark, sf_dir, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS chunk_id", "doc_id AS document_id", "text").repartition(2)
+    monkeypatch.setattr(segments, "SLICE", 1)
+    folder = str(tmp_path / "index")
+    segments.write_segment(spark, folder, docs, layout=(4, 2))
+    again = docs.where("chunk_id % 3 = 0").selectExpr("chunk_id", "document_id", "'of the tion ' || text AS text").repartition(2)
+    index = segments.write_segment(spark, folder, again, removed=docs.where("chunk_id % 3 = 1").select("document_id"))
+    live, asked = again.unionByName(docs.where("chunk_id % 3 = 2")), ["of-the", "tion"]
+    assert index.bm25(asked, 20).collect() == retrieval.bm25(retrieval.saved_counts(live, asked), range(2), 20).collect()
+    # an index written at once has one file of each part and spread; slices add theirs
+    assert len(spark.read.parquet(f"{folder}/postings/segment={index.segments[0]}").inputFiles()) == 8
